@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from leadloom import vocab
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 OTHER_DIGIT_CLASS = "٠-٩۰-۹"
 OTHER_DIGITS = vocab.ARABIC_INDIC_DIGITS + vocab.EASTERN_ARABIC_INDIC_DIGITS
 
@@ -23,27 +28,36 @@ def ascii_digits(text: Column) -> Column:
 
     ``translate`` is slow per character, so texts without such digits pass by it.
     """
-    return F.when(text.rlike(f"[{OTHER_DIGIT_CLASS}]"), F.translate(text, OTHER_DIGITS, "0123456789" * 2)).otherwise(text)
+    return let(
+        text,
+        lambda t: F.when(
+            t.rlike(f"[{OTHER_DIGIT_CLASS}]"), F.translate(t, OTHER_DIGITS, "0123456789" * 2)
+        ).otherwise(t),
+    )
 
 
 def collapse_spaces(text: Column) -> Column:
     """White-space runs to one blank, ends trimmed; rare kinds of space cost only texts that hold them."""
     rare = f"[{vocab.RARE_SPACE_CHARS}]"
-    usual = F.when(text.rlike(rare), F.regexp_replace(text, rare, " ")).otherwise(text)
+    usual = let(text, lambda t: F.when(t.rlike(rare), F.regexp_replace(t, rare, " ")).otherwise(t))
     return F.trim(F.regexp_replace(usual, r"\s+", " "))
 
 
 def compact_text(text: Column) -> Column:
     """Links removed, white space collapsed, trimmed."""
-    unlinked = F.when(text.contains("://"), F.regexp_replace(text, vocab.LINK, " ")).otherwise(text)
+    unlinked = let(text, lambda t: F.when(t.contains("://"), F.regexp_replace(t, vocab.LINK, " ")).otherwise(t))
     return collapse_spaces(unlinked)
 
 
 def extract_links(text: Column) -> Column:
     """All links in order, without trailing punctuation."""
-    found = F.regexp_extract_all(text, F.lit(vocab.LINK), F.lit(0))
-    trimmed = F.transform(found, lambda link: F.rtrim(link, F.lit(vocab.LINK_TRAILERS)))
-    return F.when(text.contains("://"), trimmed).when(text.isNotNull(), F.array().cast("array<string>"))
+
+    def found(t: Column) -> Column:
+        links = F.regexp_extract_all(t, F.lit(vocab.LINK), F.lit(0))
+        trimmed = F.transform(links, lambda link: F.rtrim(link, F.lit(vocab.LINK_TRAILERS)))
+        return F.when(t.contains("://"), trimmed).when(t.isNotNull(), F.array().cast("array<string>"))
+
+    return let(text, found)
 
 
 def digits_only(text: Column) -> Column:
@@ -66,9 +80,11 @@ def distinct_non_blank(values: Column) -> Column:
     return F.array_distinct(kept)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def map_literal(table: dict[str, str]) -> Column:
+    """A string map as one literal; Spark folds it to a constant. Keys and values hold no control characters."""
+    return F.str_to_map(
+        F.lit("\x01".join(f"{k}\x02{v}" for k, v in table.items())), F.lit("\x01"), F.lit("\x02")
+    )
 
 
 def rewrite_matches(text: Column, pattern: str, rewrite: Callable[[Column], Column]) -> Column:
@@ -78,19 +94,18 @@ def rewrite_matches(text: Column, pattern: str, rewrite: Callable[[Column], Colu
     replacement is looked at twice.
     """
 
-    def rebuild(found: Column) -> Column:
-        pieces = F.split(text, pattern, -1)
-        tail = F.transform(
-            F.arrays_zip(
-                F.transform(found, rewrite).alias("m"),
-                F.slice(pieces, F.lit(2), F.size(found)).alias("p"),
-            ),
-            lambda z: F.concat(z["m"], z["p"]),
-        )
-        return F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
+    def rewritten(t: Column) -> Column:
+        def rebuild(found: Column) -> Column:
+            pieces = F.split(t, pattern, -1)
+            tail = F.zip_with(
+                F.transform(found, rewrite), F.slice(pieces, F.lit(2), F.size(found)), lambda m, p: F.concat(m, p)
+            )
+            return F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
+
+        rebuilt = let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), rebuild)
+        return F.when(t.rlike(pattern), rebuilt).otherwise(t)
 
-    rebuilt = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), rebuild)
-    return F.when(text.rlike(pattern), rebuilt).otherwise(text)
+    return let(text, rewritten)
 
 
 # ---- case and accent folding ----------------------------------------------------
@@ -153,14 +168,11 @@ _FOLDABLE_LOWER = r"[\xb5\u0149\u017f-\u0588\u10a0-\x{10ffff}]"
 def _map_matches(text: Column, pattern: str, mapper: Callable[[str], str]) -> Column:
     """Send the matches of ``pattern``, and only these, through a character mapping."""
     source, target, multi = _char_maps(mapper)
-    table = F.create_map(*[F.lit(part) for pair in multi.items() for part in pair])
+    table = map_literal(multi)
     spelled = _char_class(list(multi))
 
     def map_run(run: Column) -> Column:
-        return let(
-            F.translate(run, source, target),
-            lambda r: rewrite_matches(r, spelled, lambda c: F.try_element_at(table, c)),
-        )
+        return rewrite_matches(F.translate(run, source, target), spelled, lambda c: F.try_element_at(table, c))
 
     return rewrite_matches(text, pattern, map_run)
 
@@ -171,23 +183,26 @@ def casefold(text: Column) -> Column:
     ``lower`` and one ``replace`` do nearly all of it; the tables see rare characters only.
     """
     lowered = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    return let(lowered, lambda t: _map_matches(t, rf"{_FOLDABLE_LOWER}+", _casefold_char))
+    return _map_matches(lowered, rf"{_FOLDABLE_LOWER}+", _casefold_char)
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
 def fold(text: Column) -> Column:
     """Case folding plus removal of accents and other combining marks; null counts as empty."""
-    plain = F.lower(text)
-    for accented, letter in _LATIN_FOLDS.items():
-        plain = F.regexp_replace(plain, f"[{accented}]", letter)
-    lowered = F.lower(text)
-    quick = F.when(F.octet_length(lowered) == F.length(lowered), lowered).otherwise(plain)
-    full = let(
-        quick,
-        lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(
-            _map_matches(t, r"[^\x00-\x7f]+", _fold_char)
-        ),
-    )
-    return F.coalesce(full, F.lit(""))
+
+    def latin(t: Column) -> Column:
+        plain = t
+        for accented, letter in _LATIN_FOLDS.items():
+            plain = F.regexp_replace(plain, f"[{accented}]", letter)
+        return F.when(_is_ascii(t), t).otherwise(plain)
+
+    def others(t: Column) -> Column:
+        return F.when(_is_ascii(t), t).otherwise(_map_matches(t, r"[^\x00-\x7f]+", _fold_char))
+
+    return F.coalesce(let(let(F.lower(text), latin), others), F.lit(""))
 
 
 def casefold_str(text: str) -> str:
