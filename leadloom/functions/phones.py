@@ -1,6 +1,6 @@
 """Phone extraction as native expressions: one text in, an array of candidates out.
 
-Stages (each a plain column, so a filter can sit between them):
+Stages:
 
 1. ``spans``       number-shaped runs with their 0-based code-point offsets
 2. ``candidates``  raw text, E.164 form and context of each run
@@ -37,6 +37,7 @@ MAYBE_NUMBER = rf"{_ANY_DIGIT}(?:{_SEP}{_ANY_DIGIT}){{7}}"
 
 _MARK = "\x01"
 _SPAN = "array<struct<start:int,n:int>>"
+PHONES = "array<struct<raw:string,e164:string,valid:boolean,region:string,kind:string>>"
 
 
 def _marked(text: Column) -> Column:
@@ -195,23 +196,37 @@ def first_per_number(found: Column, kinds: Mapping[str, str] | None = None) -> C
     )
 
 
-def with_phones(
-    df: DataFrame,
-    text_col: str = "text",
-    out: str = "phones",
+def phones(
+    text: Column,
     *,
     other_countries: Sequence[tuple[str, int]] = (),
     kinds: Mapping[str, str] | None = None,
     price_pattern: str = vocab.PRICE_CONTEXT,
-) -> DataFrame:
-    """Add ``array<struct<raw,e164,valid,region,kind>>`` to every row; no shuffle.
+) -> Column:
+    """``array<struct<raw,e164,valid,region,kind>>`` of a text; null counts as empty.
 
     Texts without eight digits in near sequence skip the number pattern altogether.
     """
-    source = F.coalesce(F.col(text_col), F.lit(""))
-    return (
-        df.withColumn("__spans", F.when(source.rlike(MAYBE_NUMBER), spans(source)).otherwise(F.array().cast(_SPAN)))
-        .withColumn("__found", accepted(candidates(source, F.col("__spans")), other_countries, price_pattern))
-        .withColumn(out, first_per_number(F.col("__found"), kinds))
-        .drop("__spans", "__found")
-    )
+
+    def extracted(t: Column) -> Column:
+        found = tx.let(spans(t), lambda s: accepted(candidates(t, s), other_countries, price_pattern))
+        return F.when(t.rlike(MAYBE_NUMBER), tx.let(found, lambda f: first_per_number(f, kinds))).otherwise(
+            F.array().cast(PHONES)
+        )
+
+    return tx.let(F.coalesce(text, F.lit("")), extracted)
+
+
+def with_phones(df: DataFrame, text_col: str = "text", out: str = "phones", **options) -> DataFrame:
+    """Add the phones of a text to every row; no shuffle."""
+    return df.withColumn(out, phones(F.col(text_col), **options))
+
+
+def only_with_phones(df: DataFrame, text_col: str = "text", out: str = "phones", **options) -> DataFrame:
+    """The rows whose text holds a phone, with their phones.
+
+    Written as a generator instead of a filter: a filter would be moved to the scan and the
+    extraction would run there and again for the column.
+    """
+    found = tx.let(phones(F.col(text_col), **options), lambda p: F.when(F.size(p) > 0, F.array(p)))
+    return df.select("*", F.explode_outer(found).alias(out)).filter(F.col(out).isNotNull())

@@ -25,7 +25,7 @@ def trailing_activity(
     so a busy source spreads over its slices instead of filling one task.
     """
     width = seconds * 1_000_000
-    us = F.unix_micros(ts)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
     slice_no = F.floor(us / F.lit(width)).cast("bigint")
     marked = events.withColumns({"__us": us, "__home": slice_no}).withColumn(
         "__slice", F.explode(F.array(F.col("__home"), F.col("__home") + 1))
@@ -51,8 +51,8 @@ def mean_gap(events: DataFrame, source: str = "source", ts: str = "ts") -> DataF
 
     The gaps add up to the whole span, so no ordering is needed.
     """
-    us = F.unix_micros(ts)
-    span = (F.max(us) - F.min(us)) / F.lit(1_000_000.0)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    gap = (F.max(us) - F.min(us)) / (F.count("*") - 1) / F.lit(1_000_000.0)
     return events.groupBy(source).agg(
-        F.count("*").alias("n"), F.when(F.count("*") > 1, span / (F.count("*") - 1)).alias("mean_gap_seconds")
+        F.count("*").alias("n"), F.when(F.count("*") > 1, gap).alias("mean_gap_seconds")
     )

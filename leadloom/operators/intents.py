@@ -8,7 +8,7 @@ without sharing a substring.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -131,13 +131,16 @@ def verdict(text: Column, clean: Column, hits: Column, scores: Column) -> Column
     def decided(best: Column) -> Column:
         total = F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + s["score"])
         own = F.filter(hits, lambda h: h["intent"] == best["intent"])
-        words = F.flatten(F.transform(own, lambda h: h["words"]))
-        first = F.get(words, F.lit(0))
-        found = F.struct(
-            best["intent"].alias("intent"),
-            F.bround(best["score"] / total, 3).alias("confidence"),
-            F.array_distinct(words).alias("matched_keywords"),
-            excerpt(text, clean, first, F.length(first)).alias("raw_excerpt"),
+        found = tx.let(
+            F.flatten(F.transform(own, lambda h: h["words"])),
+            lambda words: F.struct(
+                best["intent"].alias("intent"),
+                F.bround(best["score"] / total, 3).alias("confidence"),
+                F.array_distinct(words).alias("matched_keywords"),
+                tx.let(F.get(words, F.lit(0)), lambda first: excerpt(text, clean, first, F.length(first))).alias(
+                    "raw_excerpt"
+                ),
+            ),
         )
         nothing = F.struct(
             F.lit("other").alias("intent"),
@@ -147,6 +150,7 @@ def verdict(text: Column, clean: Column, hits: Column, scores: Column) -> Column
         )
         return F.when(best["score"] > 0, found).otherwise(nothing)
 
+    # array_max picks by score, then priority.
     return tx.let(F.array_max(scores), decided)
 
 
@@ -164,25 +168,35 @@ def classify_intents(
 
     ``key_col`` names a unique key of ``df``; only the join form for large rule tables needs it.
     """
-    gate = F.lit(has_phone) if isinstance(has_phone, bool) else has_phone
+    gate = F.lit(has_phone) if isinstance(has_phone, bool) else F.coalesce(has_phone, F.lit(False))
     text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def judged(hits: Callable[[Column], Column]) -> Column:
+        # Bound step by step: whatever the optimizer moves, nothing is computed per keyword.
+        def from_hits(t: Column, h: Column) -> Column:
+            return tx.let(
+                intent_scores(h),
+                lambda s: F.struct(verdict(t, tx.compact_text(t), h, s).alias("verdict"), s.alias("scores")),
+            )
+
+        return tx.let(text, lambda t: tx.let(hits(t), lambda h: from_hits(t, h)))
+
     if keyword_count(rules) <= max_literal_keywords:
-        with_hits = df.withColumn("__norm", normalise(text)).withColumn(
-            "__hits", rule_hits(F.col("__norm"), rules, gate)
+        result = df.withColumn(
+            "__judged", judged(lambda t: tx.let(normalise(t), lambda n: rule_hits(n, rules, gate)))
         )
     else:
         if key_col is None:
             raise ValueError("a large rule table needs key_col, a unique key of the texts")
-        keyed = df.withColumn("__norm", normalise(text)).withColumn("__gate", gate)
-        hits = keyword_hits_by_join(keyed.select(key_col, "__norm", "__gate"), rules, key_col)
+        keyed = df.select(key_col, normalise(text).alias("__norm"), gate.alias("__gate"))
+        hits = keyword_hits_by_join(keyed, rules, key_col)
         no_hits = F.array().cast("array<struct<intent:string,weight:double,words:array<string>>>")
-        with_hits = keyed.join(hits, key_col, "left").withColumn("__hits", F.coalesce("__hits", no_hits))
-    scores = f"{out}_scores"
-    return (
-        with_hits.withColumn(scores, intent_scores(F.col("__hits")))
-        .withColumn(out, verdict(text, tx.compact_text(text), F.col("__hits"), F.col(scores)))
-        .drop("__norm", "__hits", "__gate")
-    )
+        result = df.join(hits, key_col, "left").withColumn(
+            "__judged", judged(lambda t: F.coalesce(F.col("__hits"), no_hits))
+        )
+    return result.withColumns(
+        {out: F.col("__judged.verdict"), f"{out}_scores": F.col("__judged.scores")}
+    ).drop("__judged", "__hits")
 
 
 def keyword_hits_by_join(texts: DataFrame, rules: Sequence[IntentRule], key_col: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import text as tx
@@ -28,16 +28,15 @@ def match_labels(
     """Rows whose normalised text has 1 to ``max_len`` characters, holds a keyword or matches a
     regex, and holds no excluded word."""
 
-    def holds(words: Sequence[str]):
+    def holds(norm: Column, words: Sequence[str]) -> Column:
         folded = list(dict.fromkeys(tx.fold_str(w) for w in words))
-        return F.exists(F.lit(folded), lambda w: F.contains(F.col("__norm"), w)) if folded else F.lit(False)
-
-    wanted = holds(include)
-    for pattern in regexes:
-        wanted = wanted | F.col("__norm").rlike("(?iU)" + pattern)
-    kept = (
-        df.withColumn("__norm", tx.collapse_spaces(tx.fold(F.col(text_col))))
-        .filter(F.length("__norm").between(1, max_len) & wanted & ~holds(exclude))
-        .drop("__norm")
-    )
+        return F.exists(F.lit(folded), lambda w: F.contains(norm, w)) if folded else F.lit(False)
+
+    def wanted(norm: Column) -> Column:
+        hit = holds(norm, include)
+        for pattern in regexes:
+            hit = hit | norm.rlike("(?iU)" + pattern)
+        return F.length(norm).between(1, max_len) & hit & ~holds(norm, exclude)
+
+    kept = df.filter(tx.let(tx.collapse_spaces(tx.fold(F.col(text_col))), wanted))
     return kept if limit is None else kept.limit(limit)

@@ -43,9 +43,9 @@ def lead_rows(
     for name, kind in ENRICHMENT.items():
         if name not in posts.columns:
             posts = posts.withColumn(name, F.lit(None).cast(kind))
-    called = ph.with_phones(
+    called = ph.only_with_phones(
         posts, text_col, "__phones", other_countries=other_countries, kinds=kinds, price_pattern=price_pattern
-    ).filter(F.size("__phones") > 0)
+    )
     judged = classify_intents(called, rules, text_col, has_phone=True, key_col=key_col, out="__intent")
     described = judged.withColumn("__clean", tx.compact_text(F.col(text_col))).select(
         *keep,
@@ -76,9 +76,6 @@ def lead_rows(
     )
 
 
-SEQUENCE = "struct<batch_no:bigint,post_order:bigint,is_comment:int,comment_order:bigint,phone_pos:int>"
-
-
 def sightings(
     posts: DataFrame,
     comments: DataFrame | None,
@@ -89,10 +86,12 @@ def sightings(
 ) -> DataFrame:
     """Lead rows of posts and their comments in one frame, with a total order ``seq``.
 
-    ``posts``: text, link, source_group_id, post_order, seen_at.
+    ``posts``: text, link, source_group_id, post_order, seen_at; comment_order may break ties.
     ``comments``: the same plus comment_order, author, timestamp_unix, permalink.
     """
-    own = posts.withColumns({"is_comment": F.lit(0), "comment_order": F.lit(0).cast("bigint")})
+    own = posts.withColumn("is_comment", F.lit(0))
+    if "comment_order" not in posts.columns:
+        own = own.withColumn("comment_order", F.lit(0).cast("bigint"))
     keep = ["post_order", "is_comment", "comment_order", "seen_at"]
     found = lead_rows(own, rules, keep=keep, **options)
     if comments is not None:

@@ -43,15 +43,15 @@ def rank_within_key(
     placed = _range_sorted(df, keys, order)
     runs = placed.groupBy(*keys, "__part").agg(F.count("*").alias("__n"), F.min("__row").alias("__from"))
     before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    runs = runs.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    same = [placed[k].eqNullSafe(runs[k]) for k in keys] + [placed["__part"] == runs["__part"]]
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
-    return placed.join(runs, condition).select(
-        *[placed[c] for c in df.columns],
-        (placed["__row"] - runs["__from"] + runs["__before"] + 1).cast("bigint").alias(out),
+    runs = runs.select(
+        *[F.col(k).alias(f"__run_{k}") for k in keys],
+        F.col("__part").alias("__run_part"),
+        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__from") + 1).alias("__shift"),
     )
+    same = F.col("__part") == F.col("__run_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__run_{k}"))
+    return placed.join(runs, same).select(*df.columns, (F.col("__row") + F.col("__shift")).cast("bigint").alias(out))
 
 
 def blocks_within_key(

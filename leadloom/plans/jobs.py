@@ -103,7 +103,7 @@ def ingest_pages(
             posts = posts.orderBy("page_id", "post_no").limit(limit)
         shaped = posts.select(
             "text", "link", F.lit(group_id).alias("source_group_id"), F.col("captured_at").alias("seen_at"),
-            (F.col("page_id") * 1_000_000 + F.col("post_no")).alias("post_order"),
+            F.col("page_id").alias("post_order"), F.col("post_no").alias("comment_order"),
         )
         shaped = tables.write("page_posts", shaped, tables.next_version("page_posts"))
         n_posts = shaped.count()

@@ -63,10 +63,13 @@ def posts_from_pages(
     base: str = vocab.DEFAULT_RELATIVE_BASE,
     keep: Sequence[str] = ("page_id",),
 ) -> DataFrame:
-    """One row per post of each page, with its place on the page and its enrichment fields."""
+    """One row per post of each page, with its place on the page and its enrichment fields.
+
+    The outer generator keeps Spark from adding a filter that would parse every page twice.
+    """
     listed = pages.withColumn("__posts", page_posts(F.col("html"), limit, base)).select(
-        *keep, F.posexplode("__posts").alias("post_no", "__post")
-    )
+        *keep, F.posexplode_outer("__posts").alias("post_no", "__post")
+    ).filter(F.col("post_no").isNotNull())
     block = F.col("__post.block")
     return listed.select(
         *keep,
@@ -165,8 +168,8 @@ def comments_from_pages(pages: DataFrame, keep: Sequence[str] = ("page_id",), ht
         lambda c: c["author"].isNotNull() | ((c["text"] != "") & (c["text"] != "N/A")),
     )
     rows = pages.withColumn("__comments", tx.let(tx.let(worth, kept), nested)).select(
-        *keep, "captured_at", F.posexplode("__comments").alias("comment_no", "__row")
-    )
+        *keep, "captured_at", F.posexplode_outer("__comments").alias("comment_no", "__row")
+    ).filter(F.col("comment_no").isNotNull())
     posted_at = times.parse_timestamp(F.col("__row.c.time_text"), F.col("captured_at"))
     return rows.select(
         *keep,

@@ -10,20 +10,28 @@ from pyspark.sql import functions as F
 
 from leadloom import schemas, vocab
 from leadloom.functions import text as tx
+from leadloom.functions.phones import NUMBER_RUN
 from leadloom.operators.reports import list_leads
 
-MASKED_TEXTS = ("phone_raw", "phone_normalized", "name", "what", "why", "intent_raw_excerpt", "raw_text")
+MASKED_TEXTS = ("name", "author", "what", "why", "intent_raw_excerpt", "raw_text")
+
+
+def _hide_numbers(text):
+    """Home numbers keep their first two digits; other international numbers keep nothing."""
+
+    def foreign(run):
+        digits = F.regexp_replace(run, r"\D", "")
+        home = (F.length(digits) == 8) | digits.rlike(rf"^(?:00)?{vocab.HOME_COUNTRY_CODE}")
+        return F.when(home, run).otherwise(F.lit("+XXX XXX XXX"))
+
+    return tx.mask_phones(tx.rewrite_matches(tx.ascii_digits(text), NUMBER_RUN, foreign))
 
 
 def _masked(leads: DataFrame) -> DataFrame:
-    """Phones hidden wherever they stand; any other digits of a phone column are hidden, too."""
-    hidden = {c: tx.mask_phones(F.col(c)) for c in MASKED_TEXTS if c in leads.columns}
-    for c in ("phone_raw", "phone_normalized"):
-        own = F.col(c)
-        hidden[c] = F.when(tx.mask_phones(own) == own, tx.mask_id(own)).otherwise(tx.mask_phones(own))
-    hidden["links"] = F.transform("links", tx.mask_phones)
-    if "author" in leads.columns:
-        hidden["author"] = tx.mask_phones(F.col("author"))
+    """Phones hidden wherever they stand. Texts with other digits get ASCII ones."""
+    phone = _hide_numbers(F.col("phone_normalized"))
+    hidden = {c: _hide_numbers(F.col(c)) for c in MASKED_TEXTS if c in leads.columns}
+    hidden |= {"phone_normalized": phone, "phone_raw": phone, "links": F.transform("links", _hide_numbers)}
     return leads.withColumns(hidden)
 
 

@@ -22,7 +22,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     Large inputs bring enough splits of their own and pass through without a shuffle.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if size < SPREAD_BELOW_BYTES and cores > 1 else df
 
