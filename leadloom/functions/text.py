@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import sys
 import unicodedata
 from collections.abc import Callable, Sequence
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,7 +60,7 @@ def extract_links(text: Column) -> Column:
 
 
 def digits_only(text: Column) -> Column:
-    return F.regexp_replace(ascii_digits(text), r"\D", "")
+    return F.regexp_replace(ascii_digits(text), r"\D+", "")
 
 
 def context(text: Column, start: Column, end: Column, radius: int) -> Column:
@@ -111,6 +110,10 @@ def rewrite_matches(text: Column, pattern: str, rewrite: Callable[[Column], Colu
 # ---- case and accent folding ----------------------------------------------------
 
 
+# All characters but ideographs, Hangul syllables, surrogates and private use, which do not fold.
+_FOLDABLE_BLOCKS = ((0, 0x3400), (0xA000, 0xAC00), (0xF900, 0x20000), (0x2F800, 0x2FA20))
+
+
 @lru_cache(maxsize=None)
 def _char_maps(mapper: Callable[[str], str]) -> tuple[str, str, dict[str, str]]:
     """Split a character mapping into its one-to-one part, for ``translate``, and the rest.
@@ -119,10 +122,7 @@ def _char_maps(mapper: Callable[[str], str]) -> tuple[str, str, dict[str, str]]:
     ``translate`` spells deletion. Hangul syllables are left composed.
     """
     single_from, single_to, deleted, multi = [], [], [], {}
-    for code in range(sys.maxunicode + 1):
-        if 0xD800 <= code <= 0xDFFF or 0xAC00 <= code <= 0xD7A3:
-            continue
-        char = chr(code)
+    for char in map(chr, chain.from_iterable(range(*block) for block in _FOLDABLE_BLOCKS)):
         out = mapper(char)
         if out == char:
             continue
@@ -261,8 +261,8 @@ def sentences(clean: Column) -> Column:
 
 
 def first_sentence_matching(clean: Column, pattern: str) -> Column:
-    """First sentence of compacted text that matches, else the whole text; at most 280 characters."""
-    hits = F.filter(sentences(clean), lambda s: s.rlike(pattern))
+    """First sentence of compacted text that matches in lower case, else the whole text; at most 280 characters."""
+    hits = F.filter(sentences(clean), lambda s: F.lower(s).rlike(pattern))
     return truncate(F.coalesce(F.get(hits, F.lit(0)), clean), vocab.SENTENCE_CAP)
 
 

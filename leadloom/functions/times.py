@@ -47,25 +47,40 @@ DATE_FORMATS = (
 )
 
 
-def _minus(base: Column, n: Column, unit: str) -> Column:
-    field = {"second": "secs", "minute": "mins", "hour": "hours", "day": "days", "week": "weeks"}.get(unit, unit + "s")
-    return base - F.make_interval(**{field: n})
+_UNIT_OF = {w: unit for unit, words in UNIT_WORDS.items() for w in words.split("|")}
+_DUAL_OF = {w: unit for unit, words in DUAL_WORDS.items() for w in words.split("|")}
+_COUNTED = rf"^(il y a|منذ|قبل|since|about)?\s*(?:(\d{{1,5}})|({ONE_WORDS})\s)?\s*(\p{{L}}+)(?:\s+ago)?$"
+
+
+def _minus(base: Column, n: Column, unit: Column) -> Column:
+    steps = {
+        "second": F.make_interval(secs=n),
+        "minute": F.make_interval(mins=n),
+        "hour": F.make_interval(hours=n),
+        "day": F.make_interval(days=n),
+        "week": F.make_interval(weeks=n),
+        "month": F.make_interval(months=n),
+        "year": F.make_interval(years=n),
+    }
+    out = F.lit(None).cast("timestamp")
+    for name, step in steps.items():
+        out = F.when(unit == name, base - step).otherwise(out)
+    return out
 
 
 def _relative(shown: Column, base: Column) -> Column:
-    out = F.lit(None).cast("timestamp")
-    frame = r"^(?:il y a|منذ|قبل|since|about)?\s*"
-    for unit, words in UNIT_WORDS.items():
-        counted = rf"{frame}(\d{{1,5}})\s*(?:{words})(?:\s+ago)?$"
-        single = rf"{frame}(?:{ONE_WORDS})\s+(?:{words})(?:\s+ago)?$"
-        n = F.regexp_extract(shown, counted, 1).try_cast("int")
-        out = (
-            F.when(shown.rlike(counted), _minus(base, n, unit))
-            .when(shown.rlike(single) | shown.rlike(rf"^(?:منذ|قبل)\s+(?:{words})$"), _minus(base, F.lit(1), unit))
-            .when(shown.rlike(rf"{frame}(?:{DUAL_WORDS[unit]})$"), _minus(base, F.lit(2), unit))
-            .otherwise(out)
+    """A number (or one, or an Arabic dual) and a unit, counted back from ``base``."""
+    part = lambda i: F.regexp_extract(shown, _COUNTED, i)
+
+    def counted(word: Column) -> Column:
+        dual = F.try_element_at(tx.map_literal(_DUAL_OF), word)
+        bare_one = (part(3) != "") | part(1).isin("منذ", "قبل")
+        n = F.coalesce(part(2).try_cast("int"), F.when(dual.isNotNull(), 2), F.when(bare_one, 1))
+        return F.when(
+            word != "", _minus(base, n, F.coalesce(dual, F.try_element_at(tx.map_literal(_UNIT_OF), word)))
         )
-    return out
+
+    return tx.let(part(4), counted)
 
 
 def _named_day(shown: Column, base: Column) -> Column:

@@ -168,7 +168,7 @@ def _customer_texts(spark, sf) -> DataFrame:
     text = kinds[-1]
     for i, shape in enumerate(kinds[:-1]):
         text = F.when(F.col("c_custkey") % len(kinds) == i, shape).otherwise(text)
-    return _customer(spark, sf).select("c_custkey", "c_mktsegment", "c_nationkey", text.alias("text"))
+    return spread(_customer(spark, sf)).select("c_custkey", "c_mktsegment", text.alias("text"))
 
 
 def local_phones(spark, sf):
@@ -192,7 +192,7 @@ def _judged(spark, sf) -> DataFrame:
 
 
 def intent_scores(spark, sf):
-    scores = _judged(spark, sf).select("doc_id", F.explode("intent_result_scores").alias("s"))
+    scores = _judged(spark, sf).select("doc_id", F.explode_outer("intent_result_scores").alias("s"))
     return scores.select("doc_id", F.col("s.intent").alias("intent"), F.col("s.score").alias("score"))
 
 
@@ -556,7 +556,7 @@ def post_ids(spark, sf):
         .when(n == 5, F.concat(F.lit("/groups/1/videos/"), key, F.lit("#c")))
         .otherwise(F.concat(root, F.lit("groups/1/posts/a%20b")))
     )
-    rows = _orders(spark, sf).select("o_orderkey", url.alias("url"))
+    rows = spread(_orders(spark, sf)).select("o_orderkey", url.alias("url"))
     return rows.select(
         "o_orderkey", urls.post_id(F.col("url")).alias("post_id"), urls.canonical_url(F.col("url")).alias("canonical"),
         urls.is_post_url(F.col("url")).alias("is_post"),
@@ -584,7 +584,7 @@ def _order_blocks(spark, sf) -> DataFrame:
         F.col("o_orderpriority"), F.lit('</div></div><abbr title="'), long_date,
         F.lit('">x</abbr><a href="https://www.facebook.com/groups/77/posts/'), key, F.lit('?ref=1">l</a></div>'),
     )
-    return _orders(spark, sf).select(
+    return spread(_orders(spark, sf)).select(
         "o_orderkey", html.alias("html"), newer.alias("newer"), F.lit("2024-01-01").cast("timestamp").alias("captured_at")
     )
 
@@ -619,7 +619,7 @@ def comment_rows(spark, sf):
         F.lit('<div aria-label="Comment by"><div></div></div>'),
         block("Reply by", F.lit("other"), F.col("role"), F.concat(key, F.lit("r"))),
     )
-    pages = _conversations(spark, sf).select(
+    pages = spread(_conversations(spark, sf)).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), html.alias("html"),
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id")).alias("captured_at"),
     )
@@ -640,8 +640,8 @@ def time_texts(spark, sf):
         .when(kind == 2, F.lit("منذ ساعتين")).when(kind == 3, F.concat(F.lit("Yesterday at "), s, F.lit(":05 PM")))
         .when(kind == 4, F.date_format("ts", "MMMM d 'at' h:mm a")).otherwise(F.lit("who knows"))
     )
-    rows = _events(spark, sf).select("event_id", times.to_unix(times.parse_timestamp(shown, F.col("ts"))).alias("unix"))
-    return rows
+    parsed = times.to_unix(times.parse_timestamp(shown, F.col("ts")))
+    return spread(_events(spark, sf)).select("event_id", parsed.alias("unix"))
 
 
 def freshness(spark, sf):
@@ -705,7 +705,7 @@ def validation_totals(spark, sf):
 
 def thread_leads(spark, sf):
     """Posts and comments with a number each, to sightings, to merged leads: the whole way."""
-    turns = _conversations(spark, sf)
+    turns = spread(_conversations(spark, sf))
     number = F.concat(F.lit("2"), F.lpad((F.col("conv_id") * 2 + F.col("turn") % 2).cast("string"), 7, "0"))
     text = F.concat("text", F.lit(" Tel "), number)
     base = turns.select(

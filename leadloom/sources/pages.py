@@ -108,24 +108,36 @@ def post_fields(blocks: DataFrame, html_col: str = "html", url_col: str | None =
 
     Needs ``captured_at``. A block without an id gets one from its content.
     """
-    html = F.col(html_col)
-    url = F.col(url_col) if url_col else urls.post_link(html)
-    parsed = (
-        blocks.withColumn("__url", url)
-        .withColumn("author", hx.block_author(html))
-        .withColumn("text", hx.block_message(html))
-        .withColumn("posted_at", times.parse_timestamp(hx.block_time_text(html), F.col("captured_at")))
-    )
-    useful = (F.col("text") != "") | F.col("author").isNotNull() | F.col("posted_at").isNotNull()
-    made_up = F.concat(F.lit("gen_"), F.substring(F.sha2(html, 256), 1, 12))
-    return parsed.filter(useful).select(
+    url = F.col(url_col) if url_col else urls.post_link(F.col(html_col))
+
+    def fields(html: Column) -> Column:
+        posted_at = times.parse_timestamp(hx.block_time_text(html), F.col("captured_at"))
+        return F.struct(
+            url.alias("url"),
+            hx.block_author(html).alias("author"),
+            hx.block_message(html).alias("text"),
+            posted_at.alias("timestamp"),
+            F.concat(F.lit("gen_"), F.substring(F.sha2(html, 256), 1, 12)).alias("made_up"),
+        )
+
+    def if_useful(post: Column) -> Column:
+        useful = (post["text"] != "") | post["author"].isNotNull() | post["timestamp"].isNotNull()
+        return F.when(useful, F.array(post))
+
+    # An outer generator, so that the test does not parse the blocks a second time.
+    parsed = blocks.select(
         *[c for c in blocks.columns if c != html_col],
-        F.coalesce(urls.post_id(F.col("__url")), made_up).alias("post_fb_id"),
-        urls.canonical_url(F.col("__url")).alias("permalink"),
-        "author",
-        "text",
-        F.col("posted_at").alias("timestamp"),
-        times.to_unix(F.col("posted_at")).alias("timestamp_unix"),
+        F.explode_outer(tx.let(tx.let(F.col(html_col), fields), if_useful)).alias("__post"),
+    ).filter(F.col("__post").isNotNull())
+    post = F.col("__post")
+    return parsed.select(
+        *[c for c in parsed.columns if c != "__post"],
+        F.coalesce(urls.post_id(post["url"]), post["made_up"]).alias("post_fb_id"),
+        urls.canonical_url(post["url"]).alias("permalink"),
+        post["author"].alias("author"),
+        post["text"].alias("text"),
+        post["timestamp"].alias("timestamp"),
+        times.to_unix(post["timestamp"]).alias("timestamp_unix"),
     )
 
 

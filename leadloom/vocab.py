@@ -40,13 +40,14 @@ PRICE_CONTEXT = r"(?iU)(prix|price|dt|tnd|dinars?|دينار|السوم|الثم
 HOME_LINE_KINDS = {"2": "mobile", "4": "mobile", "5": "mobile", "9": "mobile", "7": "landline"}
 
 # ---- fixed values: lead text ----------------------------------------------------
+# Offer and need patterns are matched on lower-cased sentences, so they need no slow case flags.
 SENTENCE_BREAK = r"(?<=[.!?؟؛\n]) +"
 NEED = (
-    r"(?iU)(cherche|recherche|besoin|needed?|looking for|want(?:ed)?|مطلوب|نلوج|نحب|نحتاج|يلزم|انتداب|ننتدب|"
+    r"(cherche|recherche|besoin|needed?|looking for|want(?:ed)?|مطلوب|نلوج|نحب|نحتاج|يلزم|انتداب|ننتدب|"
     r"نشرى|نشتري|نبغي|نلقا|فما|شكون|وين|كيفاش|بقداش|قداش|سعر|ثمن|combien|prix|price|dispo\?|available\?)"
 )
 OFFER = (
-    r"(?iU)(atelier|usine|factory|sous[- ]?trait|fa[çc]on|tissu|fabric|couture|confection|نخدم|نقبل|نوفر|متوفر|"
+    r"(atelier|usine|factory|sous[- ]?trait|fa[çc]on|tissu|fabric|couture|confection|نخدم|نقبل|نوفر|متوفر|"
     r"للبيع|نبيع|خياطة|خياط|خيط|مصنع|معمل|قماش|موداليست|modeliste|styliste|designer|couturier|needle|tricot|"
     r"knit|crochet|تريكو|حياكة|تفصيل|تفصيلة|مرحبا\s+بيك|مرحبا\s+في|ااجا|انخيط|اخيط|نخيط|نخدم|na5dem|"
     r"na5demlek|n5dm|disponible|available|j'ai|3andi|عندي|موجود)"
