@@ -134,14 +134,14 @@ def names(spark, sf):
 
 
 def document_phones(spark, sf):
-    found = ph.with_phones(_documents(spark, sf)).select("doc_id", F.posexplode("phones").alias("pos", "p"))
+    found = ph.only_with_phones(_documents(spark, sf)).select("doc_id", F.posexplode("phones").alias("pos", "p"))
     return found.select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("p.raw").alias("raw"), F.col("p.e164").alias("e164")
     )
 
 
 def phones_by_source(spark, sf):
-    found = ph.with_phones(_documents(spark, sf)).select("source", "doc_id", F.explode("phones.e164").alias("e164"))
+    found = ph.only_with_phones(_documents(spark, sf)).select("source", "doc_id", F.explode("phones.e164").alias("e164"))
     per_number = found.groupBy("source", "e164").agg(F.count("*").alias("n"))
     return per_number.groupBy("source").agg(F.sum("n").alias("n_phones"), F.count("*").alias("n_numbers"))
 
@@ -172,7 +172,7 @@ def _customer_texts(spark, sf) -> DataFrame:
 
 
 def local_phones(spark, sf):
-    found = ph.with_phones(_customer_texts(spark, sf)).select("c_custkey", F.posexplode("phones").alias("pos", "p"))
+    found = ph.only_with_phones(_customer_texts(spark, sf)).select("c_custkey", F.posexplode("phones").alias("pos", "p"))
     return found.select(
         "c_custkey", F.col("pos").cast("bigint").alias("pos"), F.col("p.raw").alias("raw"),
         F.col("p.e164").alias("e164"), F.col("p.kind").alias("kind"), F.col("p.region").alias("region"),
@@ -180,7 +180,7 @@ def local_phones(spark, sf):
 
 
 def phone_prefix_counts(spark, sf):
-    found = ph.with_phones(_customer_texts(spark, sf)).select(F.explode("phones.e164").alias("phone_normalized"))
+    found = ph.only_with_phones(_customer_texts(spark, sf)).select(F.explode("phones.e164").alias("phone_normalized"))
     return reports.counts_by_prefix(found)
 
 
