@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from leadloom import vocab
 from leadloom.functions import text as tx
 from leadloom.operators.ranking import blocks_within_key
-from leadloom.session import cut_lineage
+from leadloom.session import broadcast_if_few, cut_lineage
 
 LAST_NON_EMPTY = ("phone_raw", "name", "what", "why")
 LAST = ("intent", "intent_confidence", "intent_matched_keywords", "intent_raw_excerpt", "source_group_id")
@@ -27,6 +27,8 @@ LAST_NON_NULL = ("author", "timestamp_unix", "permalink", "reactions_count", "co
 # A key beyond either bound has its texts folded in chunks instead of in one array.
 FOLD_ROWS = 4_096
 FOLD_CHARS = 8_000_000
+# Leads with more distinct links keep them in the long form only.
+MAX_CELL_LINKS = 100_000
 
 
 def last_value(value: Column, seq: Column, where: Column | None = None) -> Column:
@@ -77,28 +79,51 @@ def fold_scalars(
     )
 
 
-def distinct_links(rows: DataFrame, key: str = "phone_normalized", seq: str = "seq", links: str = "links") -> DataFrame:
+def distinct_links(
+    rows: DataFrame,
+    key: str = "phone_normalized",
+    seq: str = "seq",
+    links: str = "links",
+    state: DataFrame | None = None,
+) -> DataFrame:
     """``key, link, first_at``: the ordered distinct union of the link lists, one row per link.
 
-    ``first_at`` orders the links of a key. The grouping is by key *and* link, so a hot key
-    spreads over all tasks.
+    ``first_at`` orders the links of a key; links of the ``state`` (same shape) keep theirs.
+    The grouping is by key *and* link, so a hot key spreads over all tasks.
     """
     listed = rows.select(key, F.col(seq).alias("__seq"), F.posexplode(links).alias("__pos", "link"))
-    return (
-        listed.filter(tx.collapse_spaces(F.col("link")) != "")
-        .groupBy(key, "link")
-        .agg(F.min(F.struct(F.col("__seq").alias("seq"), F.col("__pos").alias("pos"))).alias("first_at"))
+    found = listed.filter(tx.collapse_spaces(F.col("link")) != "").select(
+        key, "link", F.struct(F.col("__seq").alias("seq"), F.col("__pos").alias("pos")).alias("first_at")
     )
+    if state is not None:
+        found = found.unionByName(state)
+    return found.groupBy(key, "link").agg(F.min("first_at").alias("first_at"))
 
 
-def link_arrays(links: DataFrame, key: str = "phone_normalized") -> DataFrame:
-    """The long form as one ordered array per key, for sinks that need a list in a cell.
+def with_link_lists(
+    leads: DataFrame, links: DataFrame, key: str = "phone_normalized", max_cell: int = MAX_CELL_LINKS
+) -> DataFrame:
+    """Leads with their links as one ordered array, for sinks that need a list in a cell.
 
-    Only distinct links arrive here, but a cell must hold all of a key's; readers that can do
-    without arrays should stay with the long form.
+    Only the links of the given leads are collected. A lead with more than ``max_cell`` links
+    gets null and stays in the long form, which has all of them; see ``overfull``.
     """
+    many = overfull(links, key, max_cell)
+    listed = links.join(leads.select(key), key, "left_semi").join(many, key, "left_anti")
     pairs = F.array_sort(F.collect_list(F.struct("first_at", "link")))
-    return links.groupBy(key).agg(pairs.alias("p")).select(key, F.transform("p", lambda p: p["link"]).alias("links"))
+    lists = listed.groupBy(key).agg(pairs.alias("p")).select(key, F.transform("p", lambda p: p["link"]).alias("links"))
+    empty = F.array().cast("array<string>")
+    return (
+        leads.join(lists, key, "left")
+        .join(many.withColumn("__many", F.lit(True)), key, "left")
+        .withColumn("links", F.when(F.col("__many").isNull(), F.coalesce("links", empty)))
+        .drop("__many")
+    )
+
+
+def overfull(links: DataFrame, key: str = "phone_normalized", max_cell: int = MAX_CELL_LINKS) -> DataFrame:
+    """Keys with more links than one cell should hold."""
+    return links.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > max_cell).select(key)
 
 
 # ---- raw text ---------------------------------------------------------------------
@@ -148,11 +173,11 @@ def fold_raw_text(
     if hot.isEmpty():
         return _fold_arrays(source, key, initial, cap, text)
 
-    small = source.join(hot.select(key), key, "left_anti")
-    firsts = (
-        source.join(hot.select(key), key, "left_semi").groupBy(key, "__text").agg(F.min("__seq").alias("__seq"))
+    hot_keys = broadcast_if_few(hot.select(key))
+    small = source.join(hot_keys, key, "left_anti")
+    firsts = cut_lineage(
+        source.join(hot_keys, key, "left_semi").groupBy(key, "__text").agg(F.min("__seq").alias("__seq"))
     )
-    firsts = cut_lineage(firsts)
     room = firsts.groupBy(key).agg(
         F.sum(F.length("__text") + len(vocab.RAW_TEXT_SEPARATOR)).alias("__distinct")
     )
@@ -170,7 +195,8 @@ def fold_raw_text(
     folded = _fold_arrays(small, key, initial, cap, text).unionByName(_fold_arrays(copies, key, initial, cap, text))
     if chunked.isEmpty():
         return folded
-    return folded.unionByName(_fold_chunks(source.join(chunked, key), key, initial, cap, text))
+    large = source.join(broadcast_if_few(chunked), key)
+    return folded.unionByName(_fold_chunks(large, key, initial, cap, text))
 
 
 def _ordered_texts() -> Column:
@@ -269,20 +295,18 @@ def before_all(seq_type: T.StructType) -> Column:
 def merge_leads(found: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """Fold sightings into the lead table, starting from ``state``: one row per phone.
 
-    ``found`` should be a written table or checkpoint: scalars, links and texts each read it.
+    The links are a table of their own, ``distinct_links``. ``found`` should be a written
+    table or checkpoint: scalars and texts each read it.
     """
-    rows = as_fold_rows(found)
     key = "phone_normalized"
+    rows = as_fold_rows(found).drop("links")
     if state is not None:
         rows = rows.unionByName(state.withColumn("seq", before_all(found.schema["seq"].dataType)), True)
-    scalars = fold_scalars(rows)
-    links = link_arrays(distinct_links(rows))
-    texts = fold_raw_text(as_fold_rows(found), state=state)
+    texts = fold_raw_text(found, state=state)
     if state is not None:
         untouched = state.select(key, F.col("raw_text").alias("__old"))
         texts = untouched.join(texts, key, "full").select(key, F.coalesce("raw_text", "__old").alias("raw_text"))
-    merged = scalars.join(links, key, "left").join(texts, key, "left")
-    return merged.withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
+    return fold_scalars(rows).join(texts, key, "left")
 
 
 def upsert_counts(found: DataFrame, state: DataFrame | None = None, key: str = "phone_normalized") -> DataFrame:

@@ -21,6 +21,14 @@ POST_LAST_NON_NULL = ("author", "author_fb_id", "timestamp_unix")
 POST_LAST_NON_EMPTY = ("raw_text", "source_kind")
 
 
+def _spread_nulls(value: Column, by: Column) -> Column:
+    """A join key that equals ``value``; nulls become scattered keys that match nothing.
+
+    Outer and anti joins would send all null keys to one task.
+    """
+    return F.coalesce(value, F.concat(F.lit("\x01"), F.pmod(F.xxhash64(by), F.lit(4096)).cast("string")))
+
+
 def inserting_pairs(
     rows: DataFrame, id_col: str = "post_fb_id", link_col: str = "permalink", seq: str = "seq",
     state: DataFrame | None = None,
@@ -38,15 +46,22 @@ def inserting_pairs(
     while not live.isEmpty():
         first_of_id = live.dropna(subset=["id"]).groupBy("id").agg(F.min("at").alias("id_at"))
         first_of_link = live.dropna(subset=["link"]).groupBy("link").agg(F.min("at").alias("link_at"))
-        ranked = live.join(first_of_id, "id", "left").join(first_of_link, "link", "left")
+        ranked = (
+            live.withColumn("__id", _spread_nulls(F.col("id"), F.col("at")))
+            .join(first_of_id.withColumnRenamed("id", "__id"), "__id", "left")
+            .withColumn("__link", _spread_nulls(F.col("link"), F.col("at")))
+            .join(first_of_link.withColumnRenamed("link", "__link"), "__link", "left")
+        )
         leads = (F.col("id").isNull() | (F.col("at") == F.col("id_at"))) & (
             F.col("link").isNull() | (F.col("at") == F.col("link_at"))
         )
         new = cut_lineage(ranked.filter(leads).select("id", "link", "at"))
         chosen = chosen.unionByName(new)
         live = cut_lineage(
-            live.join(new.select("id").dropna(), "id", "left_anti")
-            .join(new.select("link").dropna(), "link", "left_anti")
+            live.withColumn("__id", _spread_nulls(F.col("id"), F.col("at")))
+            .join(new.select(F.col("id").alias("__id")).dropna(), "__id", "left_anti")
+            .withColumn("__link", _spread_nulls(F.col("link"), F.col("at")))
+            .join(new.select(F.col("link").alias("__link")).dropna(), "__link", "left_anti")
             .select("id", "link", "at")
         )
     return chosen
@@ -76,14 +91,15 @@ def resolve_posts(
     by_link = owners.dropna(subset=["link"]).select(
         F.col("link").alias("__link"), F.col("key").alias("__link_key"), F.col("at").alias("__link_at")
     )
-    seen = rows.withColumn("__id", F.nullif(F.col(id_col), F.lit(""))).withColumn(
-        "__link", F.nullif(F.col(link_col), F.lit(""))
+    own_id, own_link = F.nullif(F.col(id_col), F.lit("")), F.nullif(F.col(link_col), F.lit(""))
+    seen = rows.withColumns(
+        {"__id": _spread_nulls(own_id, F.col(seq)), "__link": _spread_nulls(own_link, F.col(seq))}
     )
     matched = seen.join(by_id, "__id", "left").join(by_link, "__link", "left")
     order = F.col(seq)
     id_stored = F.col("__id_key").isNotNull() & (F.col("__id_at").isNull() | (F.col("__id_at") <= order))
     link_stored = F.col("__link_key").isNotNull() & (F.col("__link_at").isNull() | (F.col("__link_at") <= order))
-    keyless = F.col("__id").isNull() & F.col("__link").isNull()
+    keyless = own_id.isNull() & own_link.isNull()
     own_key = F.sha2(F.concat(F.lit("row:"), F.coalesce(F.col("raw_text"), F.lit("")), order.cast("string")), 256)
     inserted = keyless | F.coalesce(F.col("__id_at") == order, F.col("__link_at") == order, F.lit(False))
     return matched.select(

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from leadloom import schemas
 from leadloom.operators.intents import IntentRule
 from leadloom.operators.leads import sightings
-from leadloom.operators.merge import first_per_id, merge_leads, upsert_counts
+from leadloom.operators.merge import distinct_links, first_per_id, merge_leads, upsert_counts
 from leadloom.operators.posts import merge_posts, resolve_posts
 from leadloom.sources.pages import posts_from_pages
 from leadloom.sources.sinks import append_runs, export_leads
@@ -65,14 +65,21 @@ class Tables:
         append_runs(self.spark.createDataFrame([tuple(one.values())], schemas.RUNS), self._folder("runs"))
 
 
+def write_leads(tables: Tables, found: DataFrame, version: int) -> DataFrame:
+    """Write sightings, links and leads of one version, the leads last; returns the written sightings."""
+    found = tables.write("sightings", found, version)
+    known_links = tables.read("lead_links", schemas.LEAD_LINKS, before=version)
+    tables.write("lead_links", schemas.evolve(distinct_links(found, state=known_links), schemas.LEAD_LINKS), version)
+    state = tables.read("leads", schemas.LEADS, before=version)
+    tables.write("leads", schemas.evolve(merge_leads(found, state), schemas.LEADS), version)
+    return found
+
+
 def _update_leads(tables: Tables, found: DataFrame) -> tuple[int, int]:
-    """Write the sightings once, then the next lead table; returns (inserted, duplicates)."""
+    """Bring the lead tables to the next version; returns (inserted, duplicates)."""
     version = tables.next_version("leads")
-    found = tables.write("sightings", found, version)
-    state = tables.read("leads", schemas.LEADS)
-    counts = upsert_counts(found, state).first()
-    merged = merge_leads(found, state)
-    tables.write("leads", schemas.evolve(merged, schemas.LEADS), version)
+    written = write_leads(tables, found, version)
+    counts = upsert_counts(written, tables.read("leads", schemas.LEADS, before=version)).first()
     return counts["inserted"], counts["duplicates"]
 
 
@@ -188,7 +195,7 @@ def ingest_and_export(
 ) -> str:
     """``ingest_pages``, then an export of the whole lead table."""
     ingest_pages(tables, pages, rules, group_id, limit=limit)
-    return export_leads(tables.read("leads", schemas.LEADS), folder, output_format, mask=mask)
+    return export_job(tables, folder, output_format, mask=mask)
 
 
 def export_job(
@@ -196,7 +203,7 @@ def export_job(
     since: str | None = None, limit: int | None = None, mask: bool = True,
 ) -> str:
     """A filtered export of the current lead table."""
-    leads = tables.read("leads", schemas.LEADS)
-    if leads is None:
+    leads, links = tables.read("leads", schemas.LEADS), tables.read("lead_links", schemas.LEAD_LINKS)
+    if leads is None or links is None:
         raise ValueError("there are no leads yet")
-    return export_leads(leads, folder, output_format, intent=intent, since=since, limit=limit, mask=mask)
+    return export_leads(leads, links, folder, output_format, intent=intent, since=since, limit=limit, mask=mask)

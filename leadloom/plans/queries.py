@@ -307,8 +307,9 @@ def link_union(spark, sf):
 
 
 def link_lists(spark, sf):
-    links = merge.link_arrays(merge.distinct_links(_order_sightings(spark, sf)))
-    return links.select("phone_normalized", F.array_join("links", "|").alias("links"))
+    found = _order_sightings(spark, sf)
+    listed = merge.with_link_lists(found.select("phone_normalized").distinct(), merge.distinct_links(found))
+    return listed.select("phone_normalized", F.array_join("links", "|").alias("links"))
 
 
 def raw_text_fold(spark, sf):
@@ -327,7 +328,7 @@ def raw_text_fold_hot(spark, sf):
 
 def merged_leads(spark, sf):
     found = _order_sightings(spark, sf)
-    folded = merge.merge_leads(found)
+    folded = merge.with_link_lists(merge.merge_leads(found), merge.distinct_links(found))
     return folded.select(
         "phone_normalized", "phone_raw", "intent", "post_count", F.array_join("links", "|").alias("links"), "raw_text"
     )

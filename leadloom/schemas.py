@@ -26,10 +26,29 @@ def _schema(columns: str) -> T.StructType:
 LEADS = _schema(
     "phone_normalized string, phone_raw string, name string, what string, why string, intent string, "
     "intent_confidence double, intent_matched_keywords array<string>, intent_raw_excerpt string, "
-    "first_seen timestamp, last_seen timestamp, post_count bigint, links array<string>, "
+    "first_seen timestamp, last_seen timestamp, post_count bigint, "
     "source_group_id string, raw_text string, author string, timestamp_unix bigint, permalink string, "
     "reactions_count bigint, comments_count bigint"
 )
+# One row per lead and link: a lead's list may be long, so it is no cell of the lead table.
+SEQUENCE = T.StructType(
+    [
+        T.StructField("batch_no", T.LongType()),
+        T.StructField("post_order", T.LongType()),
+        T.StructField("is_comment", T.IntegerType()),
+        T.StructField("comment_order", T.LongType()),
+        T.StructField("phone_pos", T.IntegerType()),
+    ]
+)
+LEAD_LINKS = T.StructType(
+    [
+        T.StructField("phone_normalized", T.StringType()),
+        T.StructField("link", T.StringType()),
+        T.StructField(
+            "first_at", T.StructType([T.StructField("seq", SEQUENCE), T.StructField("pos", T.IntegerType())])
+        ),
+    ]
+)
 RUNS = _schema(
     "run_id string, started_at timestamp, finished_at timestamp, source_mode string, status string, "
     "posts_fetched bigint, posts_parsed bigint, leads_inserted bigint, leads_skipped_duplicate bigint, "

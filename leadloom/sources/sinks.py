@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leadloom import schemas, vocab
 from leadloom.functions import text as tx
 from leadloom.functions.phones import NUMBER_RUN
+from leadloom.operators.merge import MAX_CELL_LINKS, overfull, with_link_lists
 from leadloom.operators.reports import list_leads
 
 MASKED_TEXTS = ("name", "author", "what", "why", "intent_raw_excerpt", "raw_text")
@@ -35,15 +36,16 @@ def _masked(leads: DataFrame) -> DataFrame:
     return leads.withColumns(hidden)
 
 
-def export_frame(leads: DataFrame, *, mask: bool = True) -> DataFrame:
+def export_frame(leads: DataFrame, *, mask: bool = True, salt: str | None = None) -> DataFrame:
     """All columns plus a row id. Masked exports salt the id, so it cannot be traced to a phone."""
-    salt = secrets.token_hex(16) if mask else ""
-    with_id = leads.withColumn("id", F.sha2(F.concat(F.lit(salt), F.col("phone_normalized")), 256))
+    used = (salt or secrets.token_hex(16)) if mask else ""
+    with_id = leads.withColumn("id", F.sha2(F.concat(F.lit(used), F.col("phone_normalized")), 256))
     return _masked(with_id) if mask else with_id
 
 
 def export_leads(
     leads: DataFrame,
+    links: DataFrame,
     folder: str,
     output_format: str = "csv",
     *,
@@ -51,14 +53,20 @@ def export_leads(
     since: str | None = None,
     limit: int | None = None,
     mask: bool = True,
+    max_cell: int = MAX_CELL_LINKS,
 ) -> str:
     """Write the listed leads as CSV (16 columns, header) or JSON (all columns); returns the path.
 
-    The order of ``list_leads`` is kept across the part files.
+    The order of ``list_leads`` is kept across the part files. Leads with more links than
+    ``max_cell`` have them, one per row and under the same id, in ``{path}_links``.
     """
     if output_format not in ("csv", "json"):
         raise ValueError(f"unsupported export format: {output_format}")
-    rows = export_frame(list_leads(leads, intent=intent, since=since, limit=limit), mask=mask)
+    options = {"intent": intent, "since": since, "limit": limit}
+    chosen = list_leads(leads, **options)
+    listed = list_leads(with_link_lists(chosen, links, max_cell=max_cell))
+    salt = secrets.token_hex(16)
+    rows = export_frame(listed, mask=mask, salt=salt)
     stamp = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%SZ")
     path = f"{folder.rstrip('/')}/leads{'_' + intent if intent else ''}_{stamp}.{output_format}"
     if output_format == "json":
@@ -74,6 +82,13 @@ def export_leads(
             .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ssXXX")
             .csv(path)
         )
+    many = overfull(links, max_cell=max_cell).join(chosen.select("phone_normalized"), "phone_normalized", "left_semi")
+    if not many.isEmpty():
+        own_id = F.sha2(F.concat(F.lit(salt if mask else ""), F.col("phone_normalized")), 256)
+        link = _hide_numbers(F.col("link")) if mask else F.col("link")
+        links.join(many, "phone_normalized", "left_semi").select(
+            own_id.alias("id"), link.alias("link"), F.col("first_at").alias("first_at")
+        ).write.json(path + "_links")
     return path
 
 

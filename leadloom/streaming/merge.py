@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from leadloom import schemas
 from leadloom.operators.intents import IntentRule
 from leadloom.operators.leads import sightings
-from leadloom.operators.merge import merge_leads
-from leadloom.plans.jobs import Tables
+from leadloom.plans.jobs import Tables, write_leads
 
 
 def merge_batch(tables: Tables, posts: DataFrame, batch_id: int, rules: Sequence[IntentRule]) -> bool:
@@ -23,9 +21,7 @@ def merge_batch(tables: Tables, posts: DataFrame, batch_id: int, rules: Sequence
     """
     if batch_id in tables.versions("leads"):
         return False
-    found = tables.write("sightings", sightings(posts, None, rules, batch_no=batch_id), batch_id)
-    state = tables.read("leads", schemas.LEADS, before=batch_id)
-    tables.write("leads", schemas.evolve(merge_leads(found, state), schemas.LEADS), batch_id)
+    write_leads(tables, sightings(posts, None, rules, batch_no=batch_id), batch_id)
     return True
 
 

@@ -60,7 +60,12 @@ def test_ingest_report_and_export(spark, tmp_path):
     with pytest.raises(ValueError):
         jobs.export_job(store, str(tmp_path / "out4"), since="20 May")
     with pytest.raises(ValueError):
-        sinks.export_leads(leads, str(tmp_path), "xml")
+        sinks.export_leads(leads, store.read("lead_links", schemas.LEAD_LINKS), str(tmp_path), "xml")
+    long_lists = sinks.export_leads(
+        leads, store.read("lead_links", schemas.LEAD_LINKS), str(tmp_path / "out5"), "json", max_cell=0
+    )
+    ids = {json.loads(line)["id"] for line in csv_text(long_lists + "_links").splitlines()}
+    assert ids and ids <= {json.loads(line)["id"] for line in csv_text(long_lists).splitlines()}
 
 
 def test_pages_without_posts(spark, tmp_path):
