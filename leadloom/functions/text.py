@@ -262,8 +262,13 @@ def sentences(clean: Column) -> Column:
 
 def first_sentence_matching(clean: Column, pattern: str) -> Column:
     """First sentence of compacted text that matches in lower case, else the whole text; at most 280 characters."""
-    hits = F.filter(sentences(clean), lambda s: F.lower(s).rlike(pattern))
-    return truncate(F.coalesce(F.get(hits, F.lit(0)), clean), vocab.SENTENCE_CAP)
+    # A fold that keeps its first find: sentences after it are not matched.
+    hit = F.aggregate(
+        sentences(clean),
+        F.lit(None).cast("string"),
+        lambda found, s: F.coalesce(found, F.when(F.lower(s).rlike(pattern), s)),
+    )
+    return truncate(F.coalesce(hit, clean), vocab.SENTENCE_CAP)
 
 
 def intent_json(intent: Column, confidence: Column, keywords: Column, excerpt: Column) -> Column:

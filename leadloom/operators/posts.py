@@ -29,6 +29,17 @@ def _spread_nulls(value: Column, by: Column) -> Column:
     return F.coalesce(value, F.concat(F.lit("\x01"), F.pmod(F.xxhash64(by), F.lit(4096)).cast("string")))
 
 
+def _without(live: DataFrame, stored: DataFrame) -> DataFrame:
+    """The pairs that share neither id nor link with a stored one."""
+    return (
+        live.withColumn("__id", _spread_nulls(F.col("id"), F.col("at")))
+        .join(stored.select(F.col("id").alias("__id")).dropna(), "__id", "left_anti")
+        .withColumn("__link", _spread_nulls(F.col("link"), F.col("at")))
+        .join(stored.select(F.col("link").alias("__link")).dropna(), "__link", "left_anti")
+        .select("id", "link", "at")
+    )
+
+
 def inserting_pairs(
     rows: DataFrame, id_col: str = "post_fb_id", link_col: str = "permalink", seq: str = "seq",
     state: DataFrame | None = None,
@@ -39,8 +50,7 @@ def inserting_pairs(
     ).filter(F.col("id").isNotNull() | F.col("link").isNotNull())
     live = known.groupBy("id", "link").agg(F.min(seq).alias("at"))
     if state is not None:
-        live = live.join(state.select(F.col(id_col).alias("id")).dropna(), "id", "left_anti")
-        live = live.join(state.select(F.col(link_col).alias("link")).dropna(), "link", "left_anti")
+        live = _without(live, state.select(F.col(id_col).alias("id"), F.col(link_col).alias("link")))
     live = cut_lineage(live.select("id", "link", "at"))
     chosen = live.limit(0)
     while not live.isEmpty():
@@ -57,13 +67,7 @@ def inserting_pairs(
         )
         new = cut_lineage(ranked.filter(leads).select("id", "link", "at"))
         chosen = chosen.unionByName(new)
-        live = cut_lineage(
-            live.withColumn("__id", _spread_nulls(F.col("id"), F.col("at")))
-            .join(new.select(F.col("id").alias("__id")).dropna(), "__id", "left_anti")
-            .withColumn("__link", _spread_nulls(F.col("link"), F.col("at")))
-            .join(new.select(F.col("link").alias("__link")).dropna(), "__link", "left_anti")
-            .select("id", "link", "at")
-        )
+        live = cut_lineage(_without(live, new))
     return chosen
 
 
