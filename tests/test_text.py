@@ -114,3 +114,29 @@ def test_match_labels(spark):
     got = labels.match_labels(df, ["all comments"], [r"\bview \d+ repl(y|ies)\b"], ["hide"]).collect()
     assert [r[0] for r in got] == ["View 3  replies", "view all comments"]
     assert labels.match_labels(df, ["view"], limit=1).count() == 1
+
+
+def test_keyword_groups(spark):
+    from leadloom.sources.keywords import load_keyword_groups
+
+    groups = load_keyword_groups()
+    assert len(groups.words) == 7 and len(groups.excludes) == 3
+    wanted = {
+        "view_more_comments": ["Voir plus de commentaires", "عرض المزيد من التعليقات", "See MORE COMMENTS here"],
+        "view_replies": ["View 3 replies", "View all replies", "Voir plus de réponses", "Voir les 3 réponses", "عرض الردود"],
+        "close_hide": ["Close", "Annuler", "إغلاق"],
+        "see_more_text": ["See more", "Voir plus", "عرض المزيد"],
+        "sort_all": ["All comments", "كل التعليقات"],
+        "sort_current": ["Most relevant", "Newest"],
+    }
+    rows = [(g, t) for g, texts in wanted.items() for t in texts]
+    df = spark.createDataFrame(rows + [("none", "Write a comment"), ("none", "Submit reply")], "g string, text string")
+    for g, texts in wanted.items():
+        hit = {r["text"] for r in labels.text_matches(df, groups.words[g]).filter("matches").collect()}
+        assert set(texts) <= hit and not hit & {"Write a comment", "Submit reply"}
+    buttons = labels.match_labels(
+        df, groups.words["view_more_comments"], groups.regexes["view_more_comments"], groups.excludes["comments"]
+    )
+    assert {r["text"] for r in buttons.collect()} == {
+        "Voir plus de commentaires", "عرض المزيد من التعليقات", "See MORE COMMENTS here", "عرض المزيد",
+    }
