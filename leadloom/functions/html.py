@@ -47,8 +47,8 @@ def decode_entities(text: Column) -> Column:
             usual = F.when(ref == name, F.lit(out)).otherwise(usual)
         digits = F.regexp_extract(ref, r"^&#([0-9]+)", 1)
         hexes = F.regexp_extract(ref, r"^&#[xX]([0-9a-fA-F]+)", 1)
-        numeric = F.when(digits != "", _from_code_point(digits.cast("bigint"))).when(
-            hexes != "", _from_code_point(F.conv(hexes, 16, 10).cast("bigint"))
+        numeric = F.when(digits != "", _from_code_point(digits.try_cast("bigint"))).when(
+            hexes != "", _from_code_point(F.conv(hexes, 16, 10).try_cast("bigint"))
         )
         return F.coalesce(
             usual, F.when(ref.startswith("&#"), numeric).otherwise(F.try_element_at(table, ref)), ref

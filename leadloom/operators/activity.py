@@ -26,7 +26,8 @@ def trailing_activity(
     """
     width = seconds * 1_000_000
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    slice_no = F.floor(us / F.lit(width)).cast("bigint")
+    # The dividend is a multiple of the width, so the quotient is exact.
+    slice_no = ((us - F.pmod(us, F.lit(width))) / F.lit(width)).cast("bigint")
     marked = events.withColumns({"__us": us, "__home": slice_no}).withColumn(
         "__slice", F.explode(F.array(F.col("__home"), F.col("__home") + 1))
     )

@@ -202,9 +202,8 @@ def classify_intents(
 def keyword_hits_by_join(texts: DataFrame, rules: Sequence[IntentRule], key_col: str) -> DataFrame:
     """``key_col, __hits`` for texts with any hit, found by an equi-join on keyword prefixes.
 
-    Every text position offers its next characters; keywords are matched on their first
-    ``width`` characters and checked in full. Positions repeat few prefixes, so they are made
-    distinct per text before the shuffle.
+    Every text position offers its next characters, made distinct per text; keywords are
+    matched on their first ``width`` characters and checked in full.
     """
     spark = texts.sparkSession
     rows = [
@@ -218,8 +217,10 @@ def keyword_hits_by_join(texts: DataFrame, rules: Sequence[IntentRule], key_col:
     words = spark.createDataFrame(rows, "rule int, pos int, word string, folded string, kind string").withColumn(
         "gram", F.substring("folded", 1, width)
     )
-    positions = F.sequence(F.lit(1), F.length("__norm") - width + 1)
-    windows = F.array_distinct(F.transform(positions, lambda p: F.substring(F.col("__norm"), p, F.lit(longest))))
+    # An empty match with a captured look-ahead at every character: linear in the text, while
+    # a substring per position would walk it from the start each time.
+    ahead = rf"(?s)(?=([^\x{{d800}}-\x{{dfff}}].{{{width - 1},{longest - 1}}}))"
+    windows = F.array_distinct(F.regexp_extract_all("__norm", F.lit(ahead), F.lit(1)))
     found = (
         texts.filter(F.length("__norm") >= width)
         .select(key_col, "__gate", F.explode(windows).alias("window"))

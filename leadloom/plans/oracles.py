@@ -275,6 +275,7 @@ FROM phones JOIN documents USING (doc_id) GROUP BY source""",
     "phone_prefix_counts": f"""WITH {_LOCAL_PHONES} SELECT substr(e164, 5, 2) AS prefix, count(*) AS count FROM phones
 WHERE e164 LIKE '+216%' GROUP BY 1""",
     "intent_scores": f"{_JUDGED} SELECT doc_id, intent, score FROM score",
+    "intent_scores_by_join": f"{_JUDGED} SELECT doc_id, intent, score FROM score",
     "intent_best": f"{_JUDGED} SELECT doc_id, intent, confidence FROM judged",
     "intent_evidence": rf"""{_JUDGED},
 found AS (SELECT j.*, words, CASE WHEN won THEN instr({_casefold("j.text")}, {_casefold("words[1]")}) - 1 END AS k_at, length(words[1]) AS kl

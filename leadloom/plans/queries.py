@@ -196,6 +196,16 @@ def intent_scores(spark, sf):
     return scores.select("doc_id", F.col("s.intent").alias("intent"), F.col("s.score").alias("score"))
 
 
+def intent_scores_by_join(spark, sf):
+    """The same scores through the form for large rule tables."""
+    docs = _documents(spark, sf)
+    judged = classify_intents(
+        docs, PROSE_RULES, has_phone=F.col("lang") == "en", key_col="doc_id", max_literal_keywords=0
+    )
+    scores = judged.select("doc_id", F.explode_outer("intent_result_scores").alias("s"))
+    return scores.select("doc_id", F.col("s.intent").alias("intent"), F.col("s.score").alias("score"))
+
+
 def intent_best(spark, sf):
     r = F.col("intent_result")
     return _judged(spark, sf).select("doc_id", r["intent"].alias("intent"), r["confidence"].alias("confidence"))
@@ -725,7 +735,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         compact_and_digits, folded_text, masked_text, masked_ids, page_links, ordered_link_list, page_text,
-        offer_and_need, names, document_phones, phones_by_source, local_phones, phone_prefix_counts, intent_scores,
+        offer_and_need, names, document_phones, phones_by_source, local_phones, phone_prefix_counts, intent_scores, intent_scores_by_join,
         intent_best, intent_evidence, intents_by_source, documents_with_keyword, short_labels, lead_sightings,
         lead_merge, lead_merge_in_batches, link_union, link_lists, raw_text_fold, raw_text_fold_hot, merged_leads,
         upsert_counts, first_comment_wins, post_identity, post_upsert, posts_with_comment_counts,
