@@ -226,6 +226,12 @@ def _fold_chunks(source: DataFrame, key: str, initial: DataFrame | None, cap: in
     places = chunks.select(key, "__block", F.row_number().over(W.partitionBy(key).orderBy("__block")).alias("__no"))
     chunks = cut_lineage(chunks.join(places, [key, "__block"]).drop("__block"))
     at = [key, "__no"]
+    context = source.sparkSession.sparkContext
+    n = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), context.defaultParallelism)
+
+    def fanned_out(joined: DataFrame) -> DataFrame:
+        # Folding costs much CPU for few bytes; sized by bytes alone, it would end up in few tasks.
+        return joined.repartition(n, *at)
 
     first = chunks.filter(F.col("__no") == 1).select(*at)
     if initial is None:
@@ -234,7 +240,7 @@ def _fold_chunks(source: DataFrame, key: str, initial: DataFrame | None, cap: in
         fixed = first.join(initial, key, "left").select(*at, F.col("__initial").alias("__start"))
     guessed = chunks.filter(F.col("__no") > 1).select(*at, F.lit("").alias("__start"))
     folded = cut_lineage(
-        chunks.join(fixed.unionByName(guessed), at).select(
+        fanned_out(chunks.join(fixed.unionByName(guessed), at)).select(
             *at, "__start", _fold_array(F.col("__start"), F.col("__texts"), cap).alias("__end")
         )
     )
@@ -264,7 +270,7 @@ def _fold_chunks(source: DataFrame, key: str, initial: DataFrame | None, cap: in
             .filter(F.col("__next") != F.col("__start"))
             .select(*at, "__next")
         )
-        again = chunks.join(starts, at).select(
+        again = fanned_out(chunks.join(starts, at)).select(
             *at, "__next", _fold_array(F.col("__next"), F.col("__texts"), cap).alias("__again")
         )
         folded = cut_lineage(
