@@ -191,12 +191,13 @@ def fold_raw_text(
     rows_per_chunk = F.greatest(
         F.least(F.lit(max_rows), F.floor(F.lit(max_chars) * F.col("__n") / F.col("__chars"))), F.lit(1)
     )
-    chunked = room.filter(~F.col("__fits")).select(key, rows_per_chunk.alias("__per_chunk"))
+    chunked = room.filter(~F.col("__fits")).select(key, "__n", rows_per_chunk.alias("__per_chunk"))
+    n_chunks = chunked.agg(F.sum(F.ceil(F.col("__n") / F.col("__per_chunk")))).first()[0] or 0
     folded = _fold_arrays(small, key, initial, cap, text).unionByName(_fold_arrays(copies, key, initial, cap, text))
-    if chunked.isEmpty():
+    if not n_chunks:
         return folded
-    large = source.join(broadcast_if_few(chunked), key)
-    return folded.unionByName(_fold_chunks(large, key, initial, cap, text))
+    large = source.join(broadcast_if_few(chunked.drop("__n")), key)
+    return folded.unionByName(_fold_chunks(large, key, initial, cap, text, int(n_chunks)))
 
 
 def _ordered_texts() -> Column:
@@ -211,7 +212,9 @@ def _fold_arrays(source: DataFrame, key: str, initial: DataFrame | None, cap: in
     return grouped.select(key, _fold_array(start, F.col("__texts"), cap).alias(text))
 
 
-def _fold_chunks(source: DataFrame, key: str, initial: DataFrame | None, cap: int, text: str) -> DataFrame:
+def _fold_chunks(
+    source: DataFrame, key: str, initial: DataFrame | None, cap: int, text: str, n_chunks: int
+) -> DataFrame:
     """Fold large keys chunk by chunk, all chunks at once.
 
     Each chunk folds from a guessed start and hands its end to the next one; chunks whose
@@ -220,14 +223,13 @@ def _fold_chunks(source: DataFrame, key: str, initial: DataFrame | None, cap: in
     characters, and the state at a key's first wrong chunk is passed in the same round over
     all following chunks that hold nothing new for it.
     """
-    blocks = blocks_within_key(source, [key], ["__seq"], F.col("__per_chunk"))
+    blocks = blocks_within_key(source, [key], ["__seq"], F.col("__per_chunk"), n_chunks)
     chunks = blocks.groupBy(key, "__block").agg(_ordered_texts().alias("__texts"))
     # One slim row per chunk: its place among the key's chunks.
     places = chunks.select(key, "__block", F.row_number().over(W.partitionBy(key).orderBy("__block")).alias("__no"))
     chunks = cut_lineage(chunks.join(places, [key, "__block"]).drop("__block"))
     at = [key, "__no"]
-    context = source.sparkSession.sparkContext
-    n = max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), context.defaultParallelism)
+    n = min(n_chunks, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def fanned_out(joined: DataFrame) -> DataFrame:
         # Folding costs much CPU for few bytes; sized by bytes alone, it would end up in few tasks.

@@ -13,14 +13,16 @@ from leadloom.session import cut_lineage
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
-def _range_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+def _range_sorted(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], partitions: int | None = None
+) -> DataFrame:
     """Range-partitioned and sorted by key and order; a hot key spans several partitions.
 
     The split points come from sampling, so the placed rows are checkpointed: every later
     reading sees the same partition and row numbers.
     """
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = max(min(partitions or 1_000_000, int(spark.conf.get("spark.sql.shuffle.partitions"))), 1)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     placed = (
         df.repartitionByRange(n, *keys, *order_cols)
@@ -55,12 +57,17 @@ def rank_within_key(
 
 
 def blocks_within_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_block: Column | int
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    rows_per_block: Column | int,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add ``__block``: consecutive, ordered pieces of each key of at most ``rows_per_block`` rows.
 
-    Blocks sort like the rows they hold; a block never spans two partitions.
+    Blocks sort like the rows they hold; a block never spans two partitions, so ``partitions``
+    should not be more than there are blocks.
     """
-    placed = _range_sorted(df, keys, order)
+    placed = _range_sorted(df, keys, order, partitions)
     block = F.struct(F.col("__part"), F.floor(F.col("__row") / rows_per_block).alias("__piece"))
     return placed.withColumn("__block", block).select(*df.columns, "__block")
