@@ -22,10 +22,10 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query_equals_sql(spark, con, name):
     assert difference(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) is None
 
