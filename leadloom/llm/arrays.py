@@ -20,6 +20,24 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], bytes_
 
 
+_factors = np.zeros(0, np.uint64)
+
+
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit multilinear hash of each run of bytes; the factors come from a fixed seed, so all workers agree."""
+    global _factors
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    if size.max() > len(_factors):
+        need = max(1024, 1 << int(size.max()).bit_length())
+        _factors = np.random.default_rng(20240229).integers(1, 1 << 63, need, np.uint64) * np.uint64(2) + np.uint64(1)
+    first = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(first, size)
+    value = (data[place + np.repeat(starts, size)].astype(np.uint64) + np.uint64(1)) * _factors[place]
+    return np.add.reduceat(value, first)
+
+
 def by_size(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``most`` bytes of a string column; a longer text comes alone."""
     offsets, _ = text_bytes(batch.column(column))
@@ -29,3 +47,25 @@ def by_size(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Record
         last = min(max(last, first + 1), batch.num_rows)
         yield batch.slice(first, last - first)
         first = last
+
+
+_INNER = np.array([True if i >= 128 else chr(i).isalnum() for i in range(256)])
+_LOWER = np.array([ord(chr(i).lower()) if i < 128 else i for i in range(256)], np.uint8)
+
+
+def word_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts (runs of letters and digits, ASCII letters in lower case).
+
+    Hashes, first and last byte (exclusive) of each word in the texts' joint bytes, and where each text's words begin (one
+    more at the end).
+    """
+    offsets, data = text_bytes(texts)
+    inner = _INNER[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    cut[1:-1] |= inner[1:] != inner[:-1]
+    at = np.flatnonzero(cut)
+    starts, ends = at[:-1], at[1:]
+    words = inner[starts] if len(starts) else np.zeros(0, bool)
+    starts, ends = starts[words], ends[words]
+    return hash_runs(_LOWER[data], starts, ends), starts, ends, np.searchsorted(starts, offsets)

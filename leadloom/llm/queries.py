@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import exact_dedup, mixing, packing, url_filters
+from leadloom.llm import (
+    exact_dedup,
+    mixing,
+    order_minhash,
+    packing,
+    rotated_codes,
+    secret_scan,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+    url_filters,
+)
 from leadloom.llm.common import read_documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +39,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", F.round("rate", 6).alias("rate"), "shuffle_key", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.toxicity_scores(read_documents(spark, sf_dir), labels)
+
+
 LISTS = ("adult", "gambling", "malware")
 
 
@@ -53,6 +69,27 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.unix_timestamp("fetched_at").alias("fetched_s"), "host", "n_lists", "lists", "blocked")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(read_documents(spark, sf_dir))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read_documents(spark, sf_dir))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(read_documents(spark, sf_dir))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rotated_codes.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_documents(spark, sf_dir), tokenizer_path())
 
@@ -60,7 +97,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_toxicity": op3_toxicity,
     "op4_url_filters": op4_url_filters,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_secrets": op7_secrets,
+    "op8_nearest": op8_nearest,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
 }
 
