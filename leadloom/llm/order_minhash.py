@@ -6,10 +6,11 @@ share a sketch if they share those shingles in that order. Documents with a comm
 alignment of their words verifies them: the aligned share of the longer text has to reach the similarity.
 
 Texts with the same words are one class from the start. Within a bucket all candidates are compared with the smallest
-id, not with each other; those that are not similar to it go on: in a small rest with each other, in a large one in
-finer buckets, which also share a sketch of single words (texts of that similarity share most words, texts that have no
-more than a passage in common don't), then against one leader after the other. That ends when no bucket has a rest, and
-no large group is expanded into its pairs. Classes are the connected components of the links.
+id, not with each other; those that are not similar to it go on: in a small rest with each other; the documents of large
+rests (a passage that very many share) in buckets of longer sketches over single words, which similar texts share and
+texts with no more than a passage in common hardly ever; and what is still too many meets one leader after the other. That
+ends when no bucket has a rest, so no candidate is left out and no large group is expanded into its pairs. Classes are
+the connected components of the links.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ from leadloom.llm.common import keep, whole_text
 from leadloom.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, TAKE = 24, 2
-#: Sketches of single words, for finer buckets.
-WORD_BANDS, WORD_TAKE = 16, 3
-#: Rests of a bucket, and of a finer one, up to these sizes are compared pairwise.
-SMALL, SMALL_FINER = 64, 512
+BANDS, TAKE = 32, 2
+#: Sketches over single words, for the documents of large rests.
+WORD_BANDS, WORD_TAKE = 48, 7
+#: Rests of a bucket up to this size are compared pairwise.
+SMALL = 24
 _BYTES = 4 << 20
 _rng = np.random.default_rng(5)
 _MIX = _rng.integers(1, 1 << 63, BANDS + WORD_BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,7 +64,7 @@ def labelled(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(values: np.ndarray, bands: range, take: int) -> np.ndarray:
+def sketches(values: np.ndarray, bands: range = range(BANDS), take: int = TAKE) -> np.ndarray:
     """A hash per band, of the ``take`` smallest labelled values in text order."""
     own = (values + labelled(values) * _STEP) * _STEP
     take = min(take, len(own))
@@ -137,7 +138,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in by_size(whole, 1, _BYTES):
             words, _, _, at = word_runs(batch.column(1))
-            digests, sizes, keys, word_keys = [], [], [], []
+            digests, sizes, keys = [], [], []
             none = np.zeros(0, np.int64)
             offsets, data = text_bytes(batch.column(1))
             for i in range(batch.num_rows):
@@ -145,11 +146,21 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 content = own.tobytes() if len(own) else b"text:" + data[offsets[i] : offsets[i + 1]].tobytes()
                 digests.append(hashlib.blake2b(content, digest_size=16).digest())
                 sizes.append(len(own))
-                keys.append(sketches(shingles(own), range(BANDS), TAKE) if len(own) else none)
-                word_keys.append(sketches(own, range(BANDS, BANDS + WORD_BANDS), WORD_TAKE) if len(own) else none)
-            lists = [pa.array(k, pa.list_(pa.int64())) for k in (keys, word_keys)]
-            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), *lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "keys", "word_keys"])
+                keys.append(sketches(shingles(own)) if len(own) else none)
+            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "keys"])
+
+
+def _word_sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, n, key): the word sketches of rows (doc, n, text)."""
+    for whole in batches:
+        for batch in by_size(whole, 2, _BYTES):
+            words, _, _, at = word_runs(batch.column(2))
+            own = [sketches(words[i:j], range(BANDS, BANDS + WORD_BANDS), WORD_TAKE) for i, j in zip(at[:-1], at[1:])]
+            row = pa.array(np.repeat(np.arange(batch.num_rows), WORD_BANDS))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(own))], names=["doc", "n", "key"]
+            )
 
 
 def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -172,11 +183,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def similar_links(documents: DataFrame, reps: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``a, b``: links that join all similar candidates among ``reps`` (rep, n, keys, word_keys), directly or by way of others."""
+    """``a, b``: links that join all similar candidates among ``reps`` (rep, n, keys), directly or by way of others."""
     texts = documents.select("doc_id", whole_text().alias("text"))
     bands = reps.where(F.size("keys") > 0).select(F.col("rep").alias("doc"), "n", F.explode("keys").alias("key"))
-    words = reps.select(F.col("rep").alias("doc"), "word_keys")
-    tested, level = None, 0
+    tested, rounds = None, 0
     while True:
         leaders = bands.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1")
         leaders = keep(leaders.select("key", F.col("lead.doc").alias("a"), F.col("lead.n").alias("lead_n")), "leaders")
@@ -187,27 +197,25 @@ def similar_links(documents: DataFrame, reps: DataFrame, least: float = SIMILARI
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         told = _verify(pairs, texts, least)
-        tested = told if tested is None else keep(tested.unionByName(told), "tested")
+        tested = told if tested is None else tested.unionByName(told)
         rest = members.join(tested.select("a", F.col("b").alias("doc"), "similar"), ["a", "doc"], "left")
         rest = keep(rest.where("not coalesce(similar, false)").select("key", "doc", "n"), "rest")
         counts = keep(rest.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "rest-sizes")
         largest = counts.agg(F.max("m")).first()[0]
         if largest is None:
             break
-        most = SMALL_FINER if level else SMALL
-        small = rest.join(counts.where(F.col("m") <= most), "key")
+        small = rest.join(counts.where(F.col("m") <= SMALL), "key")
         other = small.select("key", F.col("doc").alias("b"), F.col("n").alias("n_b"))
         near = F.least("n", "n_b") >= least * F.greatest("n", "n_b")
         pairs = small.join(other, "key").where((F.col("doc") < F.col("b")) & near).select(F.col("doc").alias("a"), "b").distinct()
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        tested = keep(tested.unionByName(_verify(pairs, texts, least)), "tested")
-        if largest <= most:
+        tested = tested.unionByName(_verify(pairs.join(tested, ["a", "b"], "left_anti"), texts, least))
+        if largest <= SMALL:
             break
-        large = rest.join(counts.where(F.col("m") > most).select("key"), "key")
-        if level == 0:
-            finer = large.join(words, "doc").select("doc", "n", "key", F.explode("word_keys").alias("own"))
-            large = finer.select("doc", "n", F.xxhash64("key", "own").alias("key"))
-        bands, level = keep(large.select("doc", "n", "key").distinct(), "finer"), level + 1
+        large = rest.join(counts.where(F.col("m") > SMALL).select("key"), "key")
+        if rounds == 0:
+            rows = keep(large.select("doc", "n").distinct(), "large-rests").join(texts, F.col("doc") == F.col("doc_id"))
+            large = rows.select("doc", "n", "text").mapInArrow(_word_sketch_rows, "doc bigint, n int, key bigint")
+        bands, rounds = keep(large.select("doc", "n", "key"), "finer"), rounds + 1
     return tested.where("similar").select("a", "b")
 
 
@@ -220,9 +228,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     kept only then. Empty input gives no rows; other columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
-    told = keep(slim.mapInArrow(_sketch_rows, "doc_id bigint, digest binary, n int, keys array<bigint>, word_keys array<bigint>"), "sketches")
-    groups = told.where("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys", "word_keys")).alias("r"))
-    reps = keep(groups.select("digest", F.col("r.doc_id").alias("rep"), "r.n", "r.keys", "r.word_keys"), "representatives")
+    told = keep(slim.mapInArrow(_sketch_rows, "doc_id bigint, digest binary, n int, keys array<bigint>"), "sketches")
+    groups = told.where("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys")).alias("r"))
+    reps = keep(groups.select("digest", F.col("r.doc_id").alias("rep"), "r.n", "r.keys"), "representatives")
     roots = connected_components(similar_links(slim, reps, least))
     classes = reps.select("digest", "rep").join(roots, F.col("rep") == F.col("node"), "left")
     classes = keep(classes.select("digest", F.coalesce("root", "rep").alias("class_id")), "classes")
