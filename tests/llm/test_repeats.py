@@ -177,12 +177,42 @@ def test_every_long_run_has_a_seed():
     for n in (0, 3, 40):
         texts = [" ".join(prose(rng, n) + run + prose(rng, 30)), " ".join(prose(rng, 25) + run), " ".join(run)]
         words, _, _, at = substring_dedup.word_runs(pa.array(texts))
-        doc, _, value = substring_dedup.seeds(words, at)
+        doc, _, value, _ = substring_dedup.seeds(words, at)
         assert set.intersection(*[set(value[doc == d].tolist()) for d in range(3)])
     words, _, _, at = substring_dedup.word_runs(pa.array(["", "a b", "a b c d e"]))
     assert substring_dedup.seeds(words, at)[0].tolist() == [2]
 
 
+def test_seeds_that_are_stuck_cannot_grow(spark):
+    rng = random.Random(9)
+    rows, truth = [], []
+    for _ in range(300):
+        seed = prose(rng, 5)
+        sides = [prose(rng, rng.choice([3, 12, 12])) for _ in range(2)]
+        copies = [[w if rng.random() < share else rng.choice(WORDS) for w in s] for s in sides for share in [rng.choice([0.1, 0.5, 1.0])]]
+        texts = [sides[0] + seed + sides[1], copies[0] + seed + copies[1]]
+        words, _, _, at = substring_dedup.word_runs(pa.array([" ".join(t) for t in texts]))
+        ids = {tuple(words[at[d] + len(sides[0]) : at[d] + len(sides[0]) + 5].tolist()) for d in range(2)}
+        assert len(ids) == 1
+        around = []
+        for d in range(2):
+            own = words[at[d] : at[d + 1]]
+            code, p = 0, len(sides[0])
+            for k in range(substring_dedup.AROUND):
+                for shift, i in ((k, p - 1 - k), (substring_dedup.AROUND + k, p + 5 + k)):
+                    code |= (int(own[i] % np.uint64(7)) if 0 <= i < len(own) else 7) << (3 * shift)
+            around.append(code)
+        a, b = (words[at[d] : at[d + 1]] for d in range(2))
+        p = len(sides[0])
+        grown = max(substring_dedup._grow(a[:p][::-1], b[:p][::-1], 4.0), substring_dedup._grow(a[p + 5 :], b[p + 5 :], 4.0))
+        rows.append(around)
+        truth.append(grown)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a long, b long")
+    got = [r[1] for r in df.select("i", substring_dedup.stuck(F.col("a"), F.col("b"), 0.8)).orderBy("i").collect()]
+    assert 50 < sum(got) < 290
+    assert all(grown <= substring_dedup.AROUND for stuck, grown in zip(got, truth) if stuck)
+
+
 def test_passages_are_found_and_clean_documents_left_alone(spark):
     rng = random.Random(6)
     passage = prose(rng, 70)
