@@ -1,11 +1,12 @@
-"""Field extraction from HTML blocks by regular expressions.
+"""Field extraction from HTML blocks.
 
-Right for flat blocks (article, p, abbr, a, one level of div); selectors that need a full
-document tree are out of scope.
+Blocks are cut where their own closing tag stands (``balanced_blocks``), however deep they are nested; what lies in a
+block is found by flat regular expressions.
 """
 
 from __future__ import annotations
 
+import re
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -57,6 +58,67 @@ def decode_entities(text: Column) -> Column:
     return tx.rewrite_matches(text, _ENTITY, decoded)
 
 
+_SPAN = "array<struct<start:bigint,size:bigint>>"
+_MARK = "\x01"
+
+
+def balanced_spans(html: Column, tag: str, wanted: str, *, top_only: bool = False) -> Column:
+    """``array<struct<start,size>>``: places (0-based) and lengths of the elements ``tag`` whose opening tag matches ``wanted``.
+
+    One walk over the tags of that name carries the depth and the wanted elements that are open, so the work is linear in
+    the page. Nested elements are found too, unless ``top_only``; they come in the order of their beginnings. An element
+    that is never closed runs to the end.
+    """
+    names = rf"(?is)(<(?:{tag})(?:\s[^>]*)?>|</(?:{tag})\s*>)"
+    parts = F.split(F.regexp_replace(F.translate(html, _MARK, "\x02"), names, f"{_MARK}$1{_MARK}"), _MARK, -1)
+    open_ = "array<struct<start:bigint,depth:int>>"
+    start = F.struct(
+        F.lit(0).cast("bigint").alias("at"),
+        F.lit(False).alias("is_tag"),
+        F.lit(0).alias("depth"),
+        F.array().cast(open_).alias("open"),
+        F.array().cast(_SPAN).alias("done"),
+    )
+
+    def step(acc: Column, part: Column) -> Column:
+        after = acc["at"] + F.length(part)
+        closes = acc["is_tag"] & part.startswith("</")
+        opens = acc["is_tag"] & ~closes & ~part.endswith("/>")
+        begins = opens & part.rlike(wanted)
+        if top_only:
+            begins = begins & (F.size(acc["open"]) == 0)
+        depth = F.when(opens, acc["depth"] + 1).when(closes, F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
+        newest = F.try_element_at(acc["open"], F.lit(-1))
+        ends = closes & F.coalesce(newest["depth"] == acc["depth"], F.lit(False))
+        grown = F.array_append(acc["open"], F.struct(acc["at"].alias("start"), (acc["depth"] + 1).alias("depth")))
+        span = F.struct(newest["start"].alias("start"), (after - newest["start"]).alias("size"))
+        return F.struct(
+            after.alias("at"),
+            (~acc["is_tag"]).alias("is_tag"),
+            depth.alias("depth"),
+            F.when(begins, grown)
+            .when(ends, F.slice(acc["open"], F.lit(1), F.size(acc["open"]) - 1))
+            .otherwise(acc["open"])
+            .alias("open"),
+            F.when(ends, F.array_append(acc["done"], span)).otherwise(acc["done"]).alias("done"),
+        )
+
+    def finish(acc: Column) -> Column:
+        left = F.transform(acc["open"], lambda o: F.struct(o["start"].alias("start"), (acc["at"] - o["start"]).alias("size")))
+        return F.array_sort(F.concat(acc["done"], left))
+
+    return F.aggregate(parts, start, step, finish)
+
+
+def cut_spans(html: Column, spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.substring(html, (s["start"] + 1).cast("int"), s["size"].cast("int")))
+
+
+def balanced_blocks(html: Column, tag: str, wanted: str, *, top_only: bool = False) -> Column:
+    """``array<string>``: those elements, their own tags included."""
+    return tx.let(html, lambda h: cut_spans(h, balanced_spans(h, tag, wanted, top_only=top_only)))
+
+
 def element_text(block: Column) -> Column:
     """Visible text: pieces between tags joined by single blanks."""
     return tx.collapse_spaces(decode_entities(F.regexp_replace(without_invisible(block), _TAG, " ")))
@@ -111,8 +173,8 @@ def author(block: Column) -> Column:
 def permalink(block: Column, group_id: str) -> Column:
     """The post's own address, by three address forms in order."""
     forms = (
-        rf"(?i)href=\"(https?://[^\"]*?/{group_id}/permalink/[^\"]+)\"",
-        rf"(?i)href=\"(https?://[^\"]*?/{group_id}/posts/[^\"]+)\"",
+        rf"(?i)href=\"(https?://[^\"]*?/{re.escape(group_id)}/permalink/[^\"]+)\"",
+        rf"(?i)href=\"(https?://[^\"]*?/{re.escape(group_id)}/posts/[^\"]+)\"",
         r"(?i)href=\"(https?://[^\"]*?/story\.php\?[^\"]*story_fbid=[^\"]+)\"",
     )
     return F.coalesce(*[_none_if_empty(F.regexp_extract(block, f, 1)) for f in forms])
@@ -144,10 +206,7 @@ def comments_count(block: Column) -> Column:
 _STRONG_AUTHOR = r"(?is)<h[23]\b[^>]*>(?:(?!</h[23]>).)*?<strong\b[^>]*>(.*?)</strong>"
 _SPAN_AUTHOR = r"(?is)<a\b[^>]*href=\"[^\"]*(?:/groups/[^\"]*/user/|/profile\.php)[^\"]*\"[^>]*>\s*<span\b[^>]*>(.*?)</span>"
 _LINK_AUTHOR = r"(?is)<span\b[^>]*>\s*<strong\b[^>]*>\s*<a\b[^>]*role=\"link\"[^>]*>(.*?)</a>"
-_MESSAGE = (
-    r"(?is)<div\b[^>]*(?:data-ad-rendering-role=\"story_message\"|data-ad-preview=\"message\"|"
-    r"data-ad-comet-preview=\"message\")[^>]*>((?:\s*<div\b[^>]*>.*?</div>)+|.*?</div>)"
-)
+_MESSAGE = r"(?is)\s(?:data-ad-rendering-role=\"story_message\"|data-ad-preview=\"message\"|data-ad-comet-preview=\"message\")"
 _AUTO_DIV = r"(?is)<div\b[^>]*dir=\"auto\"[^>]*>(.*?)</div>"
 _TIME_LINK = (
     r"(?is)<a\b[^>]*href=\"[^\"]*/(?:posts|videos|photos)/[^\"]*\"[^>]*>\s*"
@@ -167,11 +226,12 @@ def block_message(block: Column) -> Column:
     """The message's child blocks, one per line; else its whole text; else a plain text block."""
 
     def lines(container: Column) -> Column:
-        children = F.regexp_extract_all(container, F.lit(r"(?is)<div\b[^>]*>(.*?)</div>"), F.lit(1))
-        texts = F.filter(F.transform(children, element_text), lambda t: t != "")
-        return F.when(F.size(texts) > 0, F.array_join(texts, "\n")).otherwise(element_text(container))
+        inner = F.regexp_replace(container, r"(?is)^<div\b[^>]*>|</div\s*>$", "")
+        texts = F.filter(F.transform(balanced_blocks(inner, "div", ".", top_only=True), element_text), lambda t: t != "")
+        return tx.let(texts, lambda t: F.when(F.size(t) > 0, F.array_join(t, "\n")).otherwise(element_text(container)))
 
-    message = tx.let(F.regexp_extract(block, _MESSAGE, 1), lines)
+    found = balanced_blocks(block, "div", _MESSAGE, top_only=True)
+    message = F.when(block.rlike(rf"(?is)<div\b[^>]*{_MESSAGE.removeprefix("(?is)")}"), tx.let(F.get(found, F.lit(0)), lines))
     return F.coalesce(_none_if_empty(message), _inner_text(block, _AUTO_DIV), F.lit(""))
 
 
@@ -179,10 +239,38 @@ def block_time_text(block: Column) -> Column:
     return F.coalesce(abbr_title(block), _inner_text(block, _TIME_LINK))
 
 
+def link_labels(block: Column) -> Column:
+    """Titles and labels, longer than five characters, of links that may show a time, in order."""
+    anchors = F.regexp_extract_all(block, F.lit(r"(?is)<a\b(?:[^>]*\bhref=\"[^\"]*/posts/|[^>]*\baria-label=)[^>]*>"), F.lit(0))
+    labels = F.flatten(F.transform(anchors, lambda a: F.array(attribute(a, "title"), attribute(a, "aria-label"))))
+    return F.filter(labels, lambda text: F.coalesce(F.length(text) > 5, F.lit(False)))
+
+
 COMMENT_LABELS = "Comment by|Commentaire de|تعليق بواسطة"
 REPLY_LABELS = "Reply by|Reponse de|رد بواسطة"
-_COMMENT_OPEN = rf"<div\b[^>]*aria-label=\"[^\"]*(?:{COMMENT_LABELS}|{REPLY_LABELS})[^\"]*\""
-COMMENT_BLOCK = rf"(?is){_COMMENT_OPEN}[^>]*>.*?(?={_COMMENT_OPEN}|\z)"
+_COMMENT_OPEN = rf"(?is)\saria-label=\"[^\"]*(?:{COMMENT_LABELS}|{REPLY_LABELS})[^\"]*\""
+ARTICLE_ROLE = r"(?is)\srole=[\"']article[\"']"
+_PERMALINK_LABEL = r"(?is)<a\b[^>]*\saria-label=\"([^\"]*Comment permalink[^\"]*)\""
+
+
+def comment_spans(html: Column) -> Column:
+    """Comment elements: labelled ones, and those with the article role that lie in a list item."""
+
+    def in_items(page: Column) -> Column:
+        items = balanced_spans(page, "li", ".", top_only=True)
+        articles = balanced_spans(page, "div", ARTICLE_ROLE)
+        inside = lambda s: lambda i: (i["start"] < s["start"]) & (s["start"] < i["start"] + i["size"])
+        return tx.let(items, lambda its: F.filter(articles, lambda s: F.exists(its, inside(s))))
+
+    listed = F.when(html.rlike(r"(?is)<li\b"), in_items(html)).otherwise(F.array().cast(_SPAN))
+    labelled = F.when(html.rlike(rf"(?is)<div\b[^>]*{_COMMENT_OPEN.removeprefix("(?is)")}"), balanced_spans(html, "div", _COMMENT_OPEN))
+    return F.array_sort(F.array_distinct(F.concat(F.coalesce(labelled, F.array().cast(_SPAN)), listed)))
+
+
+def comment_time_text(block: Column) -> Column:
+    label = F.regexp_replace(F.regexp_extract(block, _PERMALINK_LABEL, 1), "Comment permalink", " ")
+    return F.coalesce(abbr_title(block), decode_entities(_none_if_empty(tx.collapse_spaces(label))))
+
 
 _COMMENTER = (
     r"(?is)<a\b[^>]*href=['\"][^'\"]*(?:/user/|/profile\.php)[^'\"]*['\"][^>]*>\s*<span\b[^>]*>(.*?)</span>",

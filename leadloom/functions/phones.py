@@ -82,8 +82,16 @@ def e164(raw: Column) -> Column:
     )
 
 
-def is_valid_number(number: Column, other_countries: Sequence[tuple[str, int]] = ()) -> Column:
-    """Known numbering plans: home prefixes, NANP and the caller's (code, national length) pairs."""
+#: Every known (country code, national length).
+ALL_COUNTRIES = tuple((code, length) for code, lengths in vocab.OTHER_COUNTRIES.items() for length in lengths)
+
+
+def foreign_pattern(countries: Sequence[tuple[str, int]]) -> str:
+    return r"^\+(?:" + "|".join(rf"{code}\d{{{length}}}" for code, length in countries) + ")$"
+
+
+def is_valid_number(number: Column, other_countries: Sequence[tuple[str, int]] = ALL_COUNTRIES) -> Column:
+    """Known numbering plans: home prefixes, NANP and (code, national length) pairs, all known countries by default."""
     home = "+" + vocab.HOME_COUNTRY_CODE
     valid = (
         number.startswith(home)
@@ -91,8 +99,8 @@ def is_valid_number(number: Column, other_countries: Sequence[tuple[str, int]] =
         & F.substring(number, len(home) + 1, 2).rlike(vocab.HOME_PREFIX)
     )
     valid = valid | (number.startswith("+1") & F.substring(number, 3, 20).rlike(vocab.NANP_NATIONAL))
-    for code, length in other_countries:
-        valid = valid | (number.startswith("+" + code) & (F.length(number) == 1 + len(code) + length))
+    if other_countries:
+        valid = valid | number.rlike(foreign_pattern(other_countries))
     return F.coalesce(valid, F.lit(False))
 
 
@@ -170,7 +178,7 @@ def candidates(text: Column, number_spans: Column) -> Column:
 
 def accepted(
     found: Column,
-    other_countries: Sequence[tuple[str, int]] = (),
+    other_countries: Sequence[tuple[str, int]] = ALL_COUNTRIES,
     price_pattern: str = vocab.PRICE_CONTEXT,
 ) -> Column:
     return F.filter(
@@ -199,7 +207,7 @@ def first_per_number(found: Column, kinds: Mapping[str, str] | None = None) -> C
 def phones(
     text: Column,
     *,
-    other_countries: Sequence[tuple[str, int]] = (),
+    other_countries: Sequence[tuple[str, int]] = ALL_COUNTRIES,
     kinds: Mapping[str, str] | None = None,
     price_pattern: str = vocab.PRICE_CONTEXT,
 ) -> Column:

@@ -30,23 +30,40 @@ ONE_WORDS = "a|an|one|un|une"
 NOW_WORDS = "now|just now|maintenant|à l'instant|الآن"
 TODAY_WORDS = "today|aujourd'hui|اليوم"
 YESTERDAY_WORDS = "yesterday|hier|أمس|امس"
-WEEKDAY_WORDS = "monday|tuesday|wednesday|thursday|friday|saturday|sunday|mon|tue|wed|thu|fri|sat|sun"
-DATE_FORMATS = (
-    "MMMM d yyyy h:mm a",
-    "MMM d yyyy h:mm a",
-    "MMMM d yyyy H:mm",
-    "MMM d yyyy H:mm",
-    "MMMM d yyyy",
-    "MMM d yyyy",
-    "d MMMM yyyy h:mm a",
-    "d MMM yyyy h:mm a",
-    "d MMMM yyyy H:mm",
-    "d MMM yyyy H:mm",
-    "d MMMM yyyy",
-    "d MMM yyyy",
+# Days from Monday on, months from January on: English, French, Arabic.
+WEEKDAYS = (
+    "monday|mon|lundi|lun|الاثنين|الإثنين",
+    "tuesday|tue|mardi|mar|الثلاثاء",
+    "wednesday|wed|mercredi|mer|الأربعاء|الاربعاء",
+    "thursday|thu|jeudi|jeu|الخميس",
+    "friday|fri|vendredi|ven|الجمعة",
+    "saturday|sat|samedi|sam|السبت",
+    "sunday|sun|dimanche|dim|الأحد|الاحد",
 )
+MONTHS = (
+    "january|jan|janvier|janv|يناير|جانفي",
+    "february|feb|février|fevrier|févr|fevr|fév|فبراير|فيفري",
+    "march|mar|mars|مارس",
+    "april|apr|avril|avr|أبريل|ابريل|أفريل|افريل",
+    "may|mai|مايو|ماي",
+    "june|jun|juin|يونيو|جوان",
+    "july|jul|juillet|juil|يوليو|جويلية",
+    "august|aug|août|aout|أغسطس|اغسطس|أوت|اوت",
+    "september|sep|sept|septembre|سبتمبر",
+    "october|oct|octobre|أكتوبر|اكتوبر",
+    "november|nov|novembre|نوفمبر",
+    "december|dec|décembre|decembre|déc|ديسمبر",
+)
+DATE_FORMATS = ("M d yyyy", "d M yyyy")
+CLOCK_FORMATS = ("", " h:mm a", " H:mm", " H:mm:ss")
+NUMERIC_DATES = ("d/M/yyyy", "d.M.yyyy", "d-M-yyyy")
 
 
+_MONTH_OF = {w: str(i) for i, words in enumerate(MONTHS, 1) for w in words.split("|")}
+_DAY_OF = {w: i for i, words in enumerate(WEEKDAYS) for w in words.split("|")}
+_ANY_MONTH = "|".join(sorted(_MONTH_OF, key=len, reverse=True))
+_ANY_DAY = "|".join(sorted(_DAY_OF, key=len, reverse=True))
+_CLOCK = r"(?:\s*(?:at|à|,|الساعة)?\s*(\d{1,2})[:h](\d{2})\s*(am|pm)?)?$"
 _UNIT_OF = {w: unit for unit, words in UNIT_WORDS.items() for w in words.split("|")}
 _DUAL_OF = {w: unit for unit, words in DUAL_WORDS.items() for w in words.split("|")}
 _COUNTED = rf"^(il y a|منذ|قبل|since|about)?\s*(?:(\d{{1,5}})|({ONE_WORDS})\s)?\s*(\p{{L}}+)(?:\s+ago)?$"
@@ -83,32 +100,57 @@ def _relative(shown: Column, base: Column) -> Column:
     return tx.let(part(4), counted)
 
 
+def _at_clock(shown: Column, pattern: str, day: Column, same_time: Column) -> Column:
+    """Midnight ``day`` plus the pattern's clock time; without one ``same_time``."""
+    hour, minute, half = (F.regexp_extract(shown, pattern, i) for i in (1, 2, 3))
+    hour, minute = hour.try_cast("int"), minute.try_cast("int")
+    hour24 = F.when(half == "pm", hour % 12 + 12).when(half == "am", hour % 12).otherwise(hour)
+    return F.when(hour.isNull(), same_time).otherwise(day + F.make_interval(hours=hour24, mins=minute))
+
+
 def _named_day(shown: Column, base: Column) -> Column:
-    clock = r"(?:\s*(?:at|à|,|الساعة)?\s*(\d{1,2})[:h](\d{2})\s*(am|pm)?)?$"
+    """Now, today, yesterday, or the last such weekday before ``base``."""
     out = F.when(shown.rlike(rf"^(?:{NOW_WORDS})$"), base)
+    today = F.date_trunc("day", base)
     for words, back in ((TODAY_WORDS, 0), (YESTERDAY_WORDS, 1)):
-        pattern = rf"^(?:{words}){clock}"
-        hour = F.regexp_extract(shown, pattern, 1).try_cast("int")
-        minute = F.regexp_extract(shown, pattern, 2).try_cast("int")
-        half = F.regexp_extract(shown, pattern, 3)
-        hour24 = F.when(half == "pm", hour % 12 + 12).when(half == "am", hour % 12).otherwise(hour)
-        midnight = F.date_trunc("day", base) - F.make_interval(days=F.lit(back))
-        timed = midnight + F.make_interval(hours=hour24, mins=minute)
-        out = out.when(shown.rlike(pattern), F.when(hour.isNull(), base - F.make_interval(days=F.lit(back))).otherwise(timed))
-    return out
+        pattern = rf"^(?:{words}){_CLOCK}"
+        step = F.make_interval(days=F.lit(back))
+        out = out.when(shown.rlike(pattern), _at_clock(shown, pattern, today - step, base - step))
+    pattern = rf"^(?:{_ANY_DAY}){_CLOCK}"
+    day = F.try_element_at(tx.map_literal(_DAY_OF), F.regexp_extract(shown, rf"^({_ANY_DAY})", 1))
+    # Monday is 0 here and in weekday(); the same weekday is a week ago.
+    back = F.pmod(F.weekday(base) - day - 1, F.lit(7)) + 1
+    midnight = today - F.make_interval(days=back)
+    return out.when(shown.rlike(pattern), _at_clock(shown, pattern, midnight, midnight))
 
 
 def _absolute(shown: Column, base: Column) -> Column:
-    plain = F.regexp_replace(shown, rf"^(?:{WEEKDAY_WORDS})\b[,.]?\s*", "")
-    plain = tx.collapse_spaces(F.regexp_replace(plain, r",|\bat\b|\bà\b", " "))
-    day = r"^([a-z]+\s+\d{1,2}|\d{1,2}\s+[a-z]+)\b"
-    dollar_year = F.concat(F.lit("$1 "), F.year(base).cast("string"))
+    """ISO times, numeric dates (day first), and dates with a month's name; without a year that of ``base``."""
+    plain = F.regexp_replace(shown, rf"^(?:{_ANY_DAY})(?![\p{{L}}])[,.]?\s*", "")
+    plain = tx.collapse_spaces(F.regexp_replace(plain, r",|(?<!\S)(?:at|à|الساعة)(?!\S)", " "))
+    month = rf"(?<![\p{{L}}])({_ANY_MONTH})(?![\p{{L}}])\.?"
+    numbered = tx.rewrite_matches(
+        plain, month, lambda w: F.try_element_at(tx.map_literal(_MONTH_OF), F.regexp_replace(w, r"\.$", ""))
+    )
+    named = F.when(plain.rlike(month), tx.collapse_spaces(numbered))
+    # Where the month stood tells which number it is: marked texts keep the order of the words.
+    month_first = plain.rlike(rf"^(?:{_ANY_MONTH})(?![\p{{L}}])")
     with_year = tx.let(
-        plain, lambda p: F.when(p.rlike(r"\b\d{4}\b"), p).otherwise(F.regexp_replace(p, day, dollar_year))
+        named,
+        lambda p: F.when(p.rlike(r"^\d{1,2} \d{1,2} \d{4}\b"), p).otherwise(
+            F.regexp_replace(p, r"^(\d{1,2} \d{1,2})\b", F.concat(F.lit("$1 "), F.year(base).cast("string")))
+        ),
     )
     iso = F.when(shown.rlike(r"^\d{4}-\d{2}-\d{2}"), F.upper(shown).try_cast("timestamp"))
-    dated = tx.let(with_year, lambda d: F.coalesce(*[F.try_to_timestamp(d, F.lit(f)) for f in DATE_FORMATS]))
-    return F.coalesce(iso, dated)
+
+    def read(text: Column, dates) -> Column:
+        upper = F.upper(text)
+        return F.coalesce(*[F.try_to_timestamp(upper, F.lit(d + c)) for d in dates for c in CLOCK_FORMATS])
+
+    dated = tx.let(
+        with_year, lambda d: F.when(month_first, read(d, DATE_FORMATS[:1])).otherwise(read(d, DATE_FORMATS[1:]))
+    )
+    return F.coalesce(iso, dated, F.when(plain.rlike(r"^\d{1,2}[/.\-]"), read(plain, NUMERIC_DATES)))
 
 
 def parse_timestamp(text: Column, captured_at: Column) -> Column:

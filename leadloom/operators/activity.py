@@ -31,15 +31,26 @@ def trailing_activity(
     marked = events.withColumns({"__us": us, "__home": slice_no}).withColumn(
         "__slice", F.explode(F.array(F.col("__home"), F.col("__home") + 1))
     )
-    part = W.partitionBy(source, "__slice")
-    ordered = part.orderBy("__us", event_id)
-    reach = part.orderBy("__us").rangeBetween(-width, 0)
-    counted = marked.withColumn("__no", F.row_number().over(ordered))
-    counted = counted.withColumns(
-        {"__first": F.min("__no").over(reach), "__oldest": F.min("__us").over(reach)}
-    ).filter(F.col("__slice") == F.col("__home"))
-    earlier = F.col("__no") - F.col("__first")
-    wait = F.greatest(F.col("__oldest") + width - F.col("__us"), F.lit(0)) / F.lit(1_000_000.0)
+    # Each event also leaves a row at the moment it expires. Walking both kinds in order, the window holds the arrivals
+    # so far less the expiries so far, and its oldest event is the next one to expire: running sums, one pass.
+    moments = F.array(
+        F.struct(F.col("__us").alias("at"), F.lit(0).alias("kind")),
+        F.struct((F.col("__us") + width).alias("at"), F.lit(1).alias("kind")),
+    )
+    walked = marked.withColumn("__moment", F.explode(moments))
+    order = ("__moment.at", "__moment.kind", event_id)
+    so_far = W.partitionBy(source, "__slice").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    still_to_come = (
+        W.partitionBy(source, "__slice").orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
+    arrives = F.col("__moment.kind") == 0
+    inside = F.sum(F.when(arrives, 1).otherwise(-1)).over(so_far)
+    next_expiry = F.last(F.when(~arrives, F.col("__moment.at")), ignorenulls=True).over(still_to_come)
+    counted = walked.withColumns({"__inside": inside, "__free": next_expiry}).filter(
+        arrives & (F.col("__slice") == F.col("__home"))
+    )
+    earlier = F.col("__inside") - 1
+    wait = F.greatest(F.col("__free") - F.col("__us"), F.lit(0)) / F.lit(1_000_000.0)
     return counted.select(
         *events.columns,
         earlier.cast("bigint").alias("in_window"),

@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from leadloom import vocab
 from leadloom.functions import text as tx
+from leadloom.session import broadcast_if_few
 
 # Rule tables with more keywords than this use the join form.
 MAX_LITERAL_KEYWORDS = 2_000
+# Characters of a keyword's beginning that the join form looks for.
+GRAM = 6
 
 
 @dataclass(frozen=True)
@@ -160,13 +163,13 @@ def classify_intents(
     text_col: str = "text",
     *,
     has_phone: Column | bool = True,
-    key_col: str | None = None,
     out: str = "intent_result",
     max_literal_keywords: int = MAX_LITERAL_KEYWORDS,
 ) -> DataFrame:
     """Add the verdict struct ``out`` and the scores ``{out}_scores``; every input row is kept.
 
-    ``key_col`` names a unique key of ``df``; only the join form for large rule tables needs it.
+    Rules hit a text alike wherever it stands, so the join form for large rule tables looks at each text once and
+    finds its rows again by the text's digest.
     """
     gate = F.lit(has_phone) if isinstance(has_phone, bool) else F.coalesce(has_phone, F.lit(False))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -186,24 +189,26 @@ def classify_intents(
             "__judged", judged(lambda t: tx.let(normalise(t), lambda n: rule_hits(n, rules, gate)))
         )
     else:
-        if key_col is None:
-            raise ValueError("a large rule table needs key_col, a unique key of the texts")
-        keyed = df.select(key_col, normalise(text).alias("__norm"), gate.alias("__gate"))
-        hits = keyword_hits_by_join(keyed, rules, key_col)
+        digest = F.sha2(text, 256)
+        keyed = df.select(
+            F.concat(digest, gate.cast("string")).alias("__key"), normalise(text).alias("__norm"), gate.alias("__gate")
+        ).dropDuplicates(["__key"])
+        hits = keyword_hits_by_join(keyed, rules, "__key")
         no_hits = F.array().cast("array<struct<intent:string,weight:double,words:array<string>>>")
-        result = df.join(hits, key_col, "left").withColumn(
+        result = df.withColumn("__key", F.concat(digest, gate.cast("string"))).join(hits, "__key", "left").withColumn(
             "__judged", judged(lambda t: F.coalesce(F.col("__hits"), no_hits))
         )
     return result.withColumns(
         {out: F.col("__judged.verdict"), f"{out}_scores": F.col("__judged.scores")}
-    ).drop("__judged", "__hits")
+    ).drop("__judged", "__hits", "__key")
 
 
 def keyword_hits_by_join(texts: DataFrame, rules: Sequence[IntentRule], key_col: str) -> DataFrame:
     """``key_col, __hits`` for texts with any hit, found by an equi-join on keyword prefixes.
 
-    Every text position offers its next characters, made distinct per text; keywords are
-    matched on their first ``width`` characters and checked in full.
+    A text offers its distinct character grams. Those that begin no keyword leave before any shuffle (the keywords'
+    grams are one row each and are broadcast once a count shows that they are few); only what is left goes on with the
+    text's end from there, and keywords are checked in full.
     """
     spark = texts.sparkSession
     rows = [
@@ -212,23 +217,33 @@ def keyword_hits_by_join(texts: DataFrame, rules: Sequence[IntentRule], key_col:
         for kind, words in (("use", rule.keywords), ("exclude", rule.exclude_keywords))
         for pos, word in enumerate(words)
     ]
-    width = min(4, min(len(r[3]) for r in rows))
-    longest = max(len(r[3]) for r in rows)
-    words = spark.createDataFrame(rows, "rule int, pos int, word string, folded string, kind string").withColumn(
-        "gram", F.substring("folded", 1, width)
+    # One bucket of keywords per gram length: short keywords don't shorten the grams of the others.
+    found = None
+    for width in sorted({min(GRAM, len(r[3])) for r in rows}):
+        words = spark.createDataFrame(
+            [r for r in rows if min(GRAM, len(r[3])) == width], "rule int, pos int, word string, folded string, kind string"
+        ).withColumn("gram", F.substring("folded", 1, width))
+        # An empty match with a captured look-ahead at every character: linear in the text, while
+        # a substring per position would walk it from the start each time.
+        ahead = rf"(?s)(?=([^\x{{d800}}-\x{{dfff}}].{{{width - 1}}}))" if width > 1 else r"(?s)(?=([^\x{d800}-\x{dfff}]))"
+        grams = F.array_distinct(F.regexp_extract_all("__norm", F.lit(ahead), F.lit(1)))
+        firsts = broadcast_if_few(words.select("gram").distinct())
+        offered = (
+            texts.filter(F.length("__norm") >= width)
+            .select(key_col, F.explode(grams).alias("gram"))
+            .join(firsts, "gram", "left_semi")
+        )
+        asked = offered.join(words, "gram").select(key_col, "rule", "pos", "word", "folded", "kind")
+        found = asked if found is None else found.unionByName(asked)
+    asked = found.groupBy(key_col).agg(
+        F.collect_list(F.struct("rule", "pos", "word", "folded", "kind")).alias("__asked")
     )
-    # An empty match with a captured look-ahead at every character: linear in the text, while
-    # a substring per position would walk it from the start each time.
-    ahead = rf"(?s)(?=([^\x{{d800}}-\x{{dfff}}].{{{width - 1},{longest - 1}}}))"
-    windows = F.array_distinct(F.regexp_extract_all("__norm", F.lit(ahead), F.lit(1)))
+    # The keywords that a text may hold are at most those of its rule table; the text travels once.
     found = (
-        texts.filter(F.length("__norm") >= width)
-        .select(key_col, "__gate", F.explode(windows).alias("window"))
-        .withColumn("gram", F.substring("window", 1, width))
-        .join(words, "gram")
-        .filter(F.col("window").startswith(F.col("folded")))
-        .select(key_col, "__gate", "rule", "pos", "word", "kind")
-        .distinct()
+        texts.join(asked, key_col)
+        .select(key_col, "__gate", F.filter("__asked", lambda a: F.contains(F.col("__norm"), a["folded"])).alias("h"))
+        .select(key_col, "__gate", F.explode("h").alias("h"))
+        .select(key_col, "__gate", "h.rule", "h.pos", "h.word", "h.kind")
     )
     facts = spark.createDataFrame(
         [(no, r.intent, float(r.weight), r.require_phone) for no, r in enumerate(rules)],

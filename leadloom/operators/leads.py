@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import vocab
@@ -29,9 +29,8 @@ def lead_rows(
     rules: Sequence[IntentRule],
     *,
     text_col: str = "text",
-    key_col: str | None = None,
     keep: Sequence[str] = (),
-    other_countries: Sequence[tuple[str, int]] = (),
+    other_countries: Sequence[tuple[str, int]] = ph.ALL_COUNTRIES,
     kinds: Mapping[str, str] | None = None,
     price_pattern: str = vocab.PRICE_CONTEXT,
 ) -> DataFrame:
@@ -46,7 +45,7 @@ def lead_rows(
     called = ph.only_with_phones(
         posts, text_col, "__phones", other_countries=other_countries, kinds=kinds, price_pattern=price_pattern
     )
-    judged = classify_intents(called, rules, text_col, has_phone=True, key_col=key_col, out="__intent")
+    judged = classify_intents(called, rules, text_col, has_phone=True, out="__intent")
     described = judged.withColumn("__clean", tx.compact_text(F.col(text_col))).select(
         *keep,
         "source_group_id",
@@ -76,6 +75,14 @@ def lead_rows(
     )
 
 
+def order_number(name: str) -> Column:
+    """An order column as a number; a value that is none stops the job with a plain message."""
+    value = F.col(name)
+    number = value.try_cast("bigint")
+    said = F.concat(F.lit(f"{name} has to be a whole number, not: "), value.cast("string"))
+    return F.when(value.isNull() | number.isNotNull(), number).otherwise(F.raise_error(said).cast("bigint"))
+
+
 def sightings(
     posts: DataFrame,
     comments: DataFrame | None,
@@ -98,9 +105,9 @@ def sightings(
         found = found.unionByName(lead_rows(comments.withColumn("is_comment", F.lit(1)), rules, keep=keep, **options))
     seq = F.struct(
         F.lit(batch_no).cast("bigint").alias("batch_no"),
-        F.col("post_order").cast("bigint").alias("post_order"),
+        order_number("post_order").alias("post_order"),
         F.col("is_comment").cast("int").alias("is_comment"),
-        F.col("comment_order").cast("bigint").alias("comment_order"),
+        order_number("comment_order").alias("comment_order"),
         F.col("phone_pos").cast("int").alias("phone_pos"),
     )
     return found.withColumn("seq", seq).drop(*keep[:3], "phone_pos")

@@ -27,8 +27,6 @@ LAST_NON_NULL = ("author", "timestamp_unix", "permalink", "reactions_count", "co
 # A key beyond either bound has its texts folded in chunks instead of in one array.
 FOLD_ROWS = 4_096
 FOLD_CHARS = 8_000_000
-# Leads with more distinct links keep them in the long form only.
-MAX_CELL_LINKS = 100_000
 
 
 def last_value(value: Column, seq: Column, where: Column | None = None) -> Column:
@@ -60,7 +58,10 @@ def fold_scalars(
     order = F.col(seq)
     newest = last_value(F.struct(*last), order)
     aggregates = [
-        *[last_value(F.col(c), order, F.col(c) != "").alias(c) for c in last_non_empty],
+        *[
+            F.coalesce(last_value(F.col(c), order, F.col(c) != ""), first_value(F.col(c), order)).alias(c)
+            for c in last_non_empty
+        ],
         newest.alias("__newest"),
         *[last_value(F.col(c), order, F.col(c).isNotNull()).alias(c) for c in last_non_null],
         F.min("first_seen").alias("first_seen"),
@@ -100,30 +101,15 @@ def distinct_links(
     return found.groupBy(key, "link").agg(F.min("first_at").alias("first_at"))
 
 
-def with_link_lists(
-    leads: DataFrame, links: DataFrame, key: str = "phone_normalized", max_cell: int = MAX_CELL_LINKS
-) -> DataFrame:
+def with_link_lists(leads: DataFrame, links: DataFrame, key: str = "phone_normalized") -> DataFrame:
     """Leads with their links as one ordered array, for sinks that need a list in a cell.
 
-    Only the links of the given leads are collected. A lead with more than ``max_cell`` links
-    gets null and stays in the long form, which has all of them; see ``overfull``.
+    Only the links of the given leads are collected; tables keep links in the long form.
     """
-    many = overfull(links, key, max_cell)
-    listed = links.join(leads.select(key), key, "left_semi").join(many, key, "left_anti")
+    listed = links.join(leads.select(key), key, "left_semi")
     pairs = F.array_sort(F.collect_list(F.struct("first_at", "link")))
     lists = listed.groupBy(key).agg(pairs.alias("p")).select(key, F.transform("p", lambda p: p["link"]).alias("links"))
-    empty = F.array().cast("array<string>")
-    return (
-        leads.join(lists, key, "left")
-        .join(many.withColumn("__many", F.lit(True)), key, "left")
-        .withColumn("links", F.when(F.col("__many").isNull(), F.coalesce("links", empty)))
-        .drop("__many")
-    )
-
-
-def overfull(links: DataFrame, key: str = "phone_normalized", max_cell: int = MAX_CELL_LINKS) -> DataFrame:
-    """Keys with more links than one cell should hold."""
-    return links.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > max_cell).select(key)
+    return leads.join(lists, key, "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
 
 
 # ---- raw text ---------------------------------------------------------------------

@@ -86,13 +86,12 @@ def last_runs(runs: DataFrame, success: tuple[str, ...] = vocab.SUCCESS_STATUSES
 def posts_with_counts(posts: DataFrame, comments: DataFrame, limit: int = 50) -> DataFrame:
     """Newest posts with their comment counts, posts without comments included.
 
-    The posts are picked first; only their comments are counted. The broadcast side is
-    bounded by ``limit``.
+    The posts are picked first; only their comments are counted. AQE sees how many they are.
     """
     newest = posts.orderBy(F.col("first_seen").desc(), F.col("post_key").desc()).limit(limit)
     counts = (
         comments.select("post_key")
-        .join(F.broadcast(newest.select("post_key")), "post_key", "left_semi")
+        .join(newest.select("post_key"), "post_key", "left_semi")
         .groupBy("post_key")
         .agg(F.count("*").alias("comment_count"))
     )
@@ -121,7 +120,7 @@ def recent_comments(posts: DataFrame, comments: DataFrame, limit: int = 50) -> D
         "permalink",
         F.col("author").alias("post_author"),
         F.col("raw_text").alias("post_text"),
-    ).join(F.broadcast(newest.select("post_key").distinct()), "post_key", "left_semi")
+    ).join(newest.select("post_key").distinct(), "post_key", "left_semi")
     return newest.join(theirs, "post_key", "left")
 
 

@@ -19,7 +19,7 @@ from leadloom.operators.intents import IntentRule
 from leadloom.operators.leads import sightings
 from leadloom.operators.merge import distinct_links, first_per_id, merge_leads, upsert_counts
 from leadloom.operators.posts import merge_posts, resolve_posts
-from leadloom.sources.pages import posts_from_pages
+from leadloom.sources.pages import group_page, posts_from_pages
 from leadloom.sources.sinks import append_runs, export_leads
 
 
@@ -56,6 +56,24 @@ class Tables:
     def next_version(self, name: str) -> int:
         return (self.versions(name) or [-1])[-1] + 1
 
+    def has_folded(self, stream: str, batch: int) -> bool:
+        """Is this batch of this stream part of a complete version of the leads? Versions follow each other."""
+        if not self.versions("lead_batches"):
+            return False
+        ledger = self.spark.read.schema("stream string, batch bigint, v bigint").parquet(self._folder("lead_batches"))
+        tried = ledger.filter((F.col("stream") == stream) & (F.col("batch") == batch)).select("v").collect()
+        newest = max(self.versions("leads"), default=-1)
+        return any(r["v"] <= newest for r in tried)
+
+    def vacuum(self, name: str, keep: int = 2) -> list[int]:
+        """Remove all but the newest ``keep`` complete versions; the ledger of batches is never cleared."""
+        jvm = self.spark.sparkContext._jvm
+        gone = self.versions(name)[: -max(keep, 1)] if name != "lead_batches" else []
+        for version in gone:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self._folder(name)}/v={version}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return gone
+
     def runs(self) -> DataFrame:
         return schemas.evolve(self.spark.read.parquet(self._folder("runs")), schemas.RUNS)
 
@@ -65,8 +83,15 @@ class Tables:
         append_runs(self.spark.createDataFrame([tuple(one.values())], schemas.RUNS), self._folder("runs"))
 
 
-def write_leads(tables: Tables, found: DataFrame, version: int) -> DataFrame:
-    """Write sightings, links and leads of one version, the leads last; returns the written sightings."""
+def write_leads(
+    tables: Tables, found: DataFrame, version: int, stream: str = "job", batch: int | None = None
+) -> DataFrame:
+    """Write ledger, sightings, links and leads of one version, the leads last; returns the written sightings.
+
+    Every version has its own row in the ledger, so what an interrupted try left there is overwritten.
+    """
+    row = [(stream, version if batch is None else batch)]
+    tables.write("lead_batches", tables.spark.createDataFrame(row, "stream string, batch bigint"), version)
     found = tables.write("sightings", found, version)
     known_links = tables.read("lead_links", schemas.LEAD_LINKS, before=version)
     tables.write("lead_links", schemas.evolve(distinct_links(found, state=known_links), schemas.LEAD_LINKS), version)
@@ -96,11 +121,13 @@ def ingest_pages(
     limit: int | None = None,
     source_mode: str = "cached",
     status: str = "cache_only",
+    **options,
 ) -> dict:
     """Pages to leads and a run record; posts and comments themselves are not stored.
 
     ``pages``: page_id, html, captured_at. Pages without any post give the status
-    ``empty_or_markup_changed``; an error is recorded as ``parser_error`` and raised.
+    ``empty_or_markup_changed``; an error is recorded as ``parser_error`` and raised. ``options`` are those of
+    ``lead_rows``.
     """
     started = _now()
     run = {"started_at": started, "source_mode": source_mode, "posts_requested": limit, "source_kind": "anonymous"}
@@ -117,7 +144,7 @@ def ingest_pages(
         if n_posts == 0:
             status = "empty_or_markup_changed"
         version = tables.next_version("leads")
-        inserted, duplicates = _update_leads(tables, sightings(shaped, None, rules, batch_no=version))
+        inserted, duplicates = _update_leads(tables, sightings(shaped, None, rules, batch_no=version, **options))
     except Exception as exc:
         tables.add_run(
             **run, finished_at=_now(), status="parser_error", posts_fetched=0, posts_parsed=0, leads_inserted=0,
@@ -133,7 +160,7 @@ def ingest_pages(
 
 
 def ingest_posts_and_comments(
-    tables: Tables, posts: DataFrame, comments: DataFrame, rules: Sequence[IntentRule], group_id: str
+    tables: Tables, posts: DataFrame, comments: DataFrame, rules: Sequence[IntentRule], group_id: str, **options
 ) -> dict:
     """Posts and comments to the post, comment and lead tables and a run record.
 
@@ -173,7 +200,7 @@ def ingest_posts_and_comments(
         F.col("captured_at").alias("seen_at"), "author", "timestamp_unix", F.col("link").alias("permalink"),
     )
     lead_version = tables.next_version("leads")
-    inserted, duplicates = _update_leads(tables, sightings(post_texts, comment_texts, rules, batch_no=lead_version))
+    inserted, duplicates = _update_leads(tables, sightings(post_texts, comment_texts, rules, batch_no=lead_version, **options))
 
     n_posts, attempts = rows.count(), said.count()
     n_before = 0 if known_comments is None else known_comments.count()
@@ -186,7 +213,32 @@ def ingest_posts_and_comments(
         **outcome, started_at=started, finished_at=_now(), source_mode="live", status="live_success",
         posts_requested=n_posts, source_kind="browser_authenticated",
     )
-    return {**outcome, "comment_attempts": attempts, "comments_inserted": n_after - n_before}
+    # Comments of a post that is not in the batch are counted, not lost silently.
+    orphans = comments.count() - attempts
+    return {**outcome, "comment_attempts": attempts, "comments_inserted": n_after - n_before, "comments_without_post": orphans}
+
+
+def ingest_group_pages(
+    tables: Tables, pages: DataFrame, rules: Sequence[IntentRule], group_id: str, **options
+) -> dict:
+    """Pages of single posts, as HTML, to the post, comment and lead tables and a run record.
+
+    ``pages``: page_id, url, html, captured_at. An error is recorded as ``parser_error`` and raised.
+    """
+    started = _now()
+    try:
+        posts, comments = group_page(pages)
+        version = tables.next_version("page_posts_in")
+        posts = tables.write("page_posts_in", posts, version)
+        comments = tables.write("page_comments_in", comments, version)
+        return ingest_posts_and_comments(tables, posts, comments, rules, group_id, **options)
+    except Exception as exc:
+        tables.add_run(
+            started_at=started, finished_at=_now(), source_mode="live", status="parser_error", posts_fetched=0,
+            posts_parsed=0, leads_inserted=0, leads_skipped_duplicate=0, source_kind="browser_authenticated",
+            error_class=type(exc).__name__, error_detail=str(exc),
+        )
+        raise
 
 
 def ingest_and_export(

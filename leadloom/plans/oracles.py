@@ -5,6 +5,9 @@ RE2 has no look-around, so number runs are marked first and their neighbours che
 
 from __future__ import annotations
 
+from leadloom.functions.phones import ALL_COUNTRIES, foreign_pattern
+
+# ---- fixed values: the number shapes and context words of ``vocab``, in RE2 form ----
 _SEP = r"[\s.\-/()]{0,2}"
 _RUN = (
     rf"(\+\d(?:{_SEP}\d){{10}}(?:(?:{_SEP}\d){{2}})?|00{_SEP}\d(?:{_SEP}\d){{10}}"
@@ -56,7 +59,8 @@ formed AS (
 valid AS (
   SELECT * FROM formed
   WHERE length(digits) IN (8, 11, 13)
-    AND (regexp_matches(e164, '^\+216[234579]\d{{7}}$') OR regexp_matches(e164, '^\+1[2-9]\d{{2}}[2-9]\d{{6}}$'))
+    AND (regexp_matches(e164, '^\+216[234579]\d{{7}}$') OR regexp_matches(e164, '^\+1[2-9]\d{{2}}[2-9]\d{{6}}$')
+         OR regexp_matches(e164, '{foreign_pattern(ALL_COUNTRIES)}'))
     AND NOT regexp_matches(run, '^\s*(0?[1-9]|[12]\d|3[01])[./\-](0?[1-9]|1[0-2])[./\-](?:20)?\d{{2}}\s*$')
     AND NOT (len(regexp_extract_all(run, '\d+')) >= 4
              AND len(list_filter(regexp_extract_all(run, '\d+')[1:4], lambda g: length(g) <> 2)) = 0
@@ -79,6 +83,12 @@ _CUSTOMER_TEXT = """SELECT c_custkey, c_mktsegment, CASE c_custkey % 9
   ELSE 'Tailles 2' || a || ' 36 38 40' END AS text
 FROM (SELECT *, k[1:1] AS a, k[2:4] AS b, k[5:7] AS c FROM (SELECT *, lpad(c_custkey::VARCHAR, 7, '0') AS k FROM customer))"""
 
+_FOREIGN_TEXT = """SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'Call +33 6' || lpad(c_custkey::VARCHAR, 8, '7') || ' now'
+  WHEN 1 THEN 'Call +49' || lpad(c_custkey::VARCHAR, 11, '7') || ' now' WHEN 2 THEN 'Call +20' || lpad(c_custkey::VARCHAR, 9, '7') || ' now'
+  WHEN 3 THEN 'Call +999 ' || lpad(c_custkey::VARCHAR, 8, '7') || ' now' WHEN 4 THEN 'Call +33' || lpad(c_custkey::VARCHAR, 11, '7') || ' now'
+  WHEN 5 THEN 'Call 0044 ' || lpad(c_custkey::VARCHAR, 9, '7') || ' now'
+  ELSE 'Livraison le ' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') || '.05.2024 ok' END AS text FROM customer"""
+
 _DOC_PHONES = _phones("SELECT doc_id, source, text FROM documents", "doc_id")
 _LOCAL_PHONES = _phones(_CUSTOMER_TEXT, "c_custkey")
 
@@ -131,7 +141,7 @@ _ORDER_SIGHTINGS = """s AS (SELECT o_custkey::VARCHAR AS phone_normalized, row_n
   FROM orders)"""
 _LEADS = f"""{_ORDER_SIGHTINGS},
 leads AS (SELECT phone_normalized, arg_max(phone_raw, seq) AS phone_raw,
-  arg_max(name, seq) FILTER (name <> '') AS name, arg_max(what, seq) AS what, arg_max(why, seq) FILTER (why <> '') AS why,
+  coalesce(arg_max(name, seq) FILTER (name <> ''), first(name ORDER BY seq)) AS name, arg_max(what, seq) AS what, coalesce(arg_max(why, seq) FILTER (why <> ''), first(why ORDER BY seq)) AS why,
   arg_max(intent, seq) AS intent, arg_max(intent_confidence, seq) AS intent_confidence, arg_max(matched, seq) AS matched,
   arg_max(intent_raw_excerpt, seq) AS intent_raw_excerpt, min(seen_at) AS first_seen, max(seen_at) AS last_seen,
   count(*) AS post_count, arg_max(author, seq) FILTER (author IS NOT NULL) AS author,
@@ -272,6 +282,7 @@ FROM (SELECT doc_id, {_compact("text")} AS c FROM documents)""",
 FROM phones JOIN documents USING (doc_id) GROUP BY source""",
     "local_phones": f"""WITH {_LOCAL_PHONES} SELECT c_custkey, pos, raw, e164,
   CASE WHEN e164[5:5] IN ('2', '4', '5', '9') THEN 'mobile' WHEN e164[5:5] = '7' THEN 'landline' ELSE 'unknown' END AS kind, 'TN' AS region FROM phones""",
+    "foreign_phones": f"""WITH {_phones(_FOREIGN_TEXT, "c_custkey")} SELECT c_custkey, raw, e164 FROM phones""",
     "phone_prefix_counts": f"""WITH {_LOCAL_PHONES} SELECT substr(e164, 5, 2) AS prefix, count(*) AS count FROM phones
 WHERE e164 LIKE '+216%' GROUP BY 1""",
     "intent_scores": f"{_JUDGED} SELECT doc_id, intent, score FROM score",
@@ -284,6 +295,14 @@ SELECT doc_id, intent,
   coalesce(array_to_string(list_filter(words, lambda x, i: list_position(words, x) = i), '|'), '') AS matched,
   CASE WHEN NOT won THEN substr({_compact("text")}, 1, 200) WHEN k_at < 0 THEN substr({_compact("text")}, 1, 160)
   ELSE substr({_compact("(CASE WHEN k_at > 60 THEN '…' ELSE '' END) || substr(text, greatest(k_at - 60, 0) + 1, least(k_at + kl + 60, length(text)) - greatest(k_at - 60, 0)) || (CASE WHEN k_at + kl + 60 < length(text) THEN '…' ELSE '' END)")}, 1, 200) END AS excerpt
+FROM found""",
+    "evidence_json": rf"""{_JUDGED},
+found AS (SELECT j.*, words, CASE WHEN won THEN instr({_casefold("j.text")}, {_casefold("words[1]")}) - 1 END AS k_at, length(words[1]) AS kl
+  FROM judged j LEFT JOIN evidence e USING (doc_id))
+SELECT doc_id, to_json({{'intent': intent, 'confidence': confidence,
+  'matched_keywords': coalesce(list_filter(words, lambda x, i: list_position(words, x) = i), []::VARCHAR[]),
+  'raw_excerpt': length(CASE WHEN NOT won THEN substr({_compact("text")}, 1, 200) WHEN k_at < 0 THEN substr({_compact("text")}, 1, 160)
+  ELSE substr({_compact("(CASE WHEN k_at > 60 THEN '…' ELSE '' END) || substr(text, greatest(k_at - 60, 0) + 1, least(k_at + kl + 60, length(text)) - greatest(k_at - 60, 0)) || (CASE WHEN k_at + kl + 60 < length(text) THEN '…' ELSE '' END)")}, 1, 200) END)::VARCHAR}})::VARCHAR AS evidence
 FROM found""",
     "intents_by_source": f"{_JUDGED} SELECT source, intent, count(*) AS count FROM judged GROUP BY ALL",
     "documents_with_keyword": f"""SELECT doc_id, contains(f, 'elle') OR contains(f, 'strass') OR contains(f, 'acion') OR contains(f, 'thing') AS matches
@@ -299,6 +318,21 @@ SELECT c_custkey, pos AS phone_pos, raw AS phone_raw, e164 AS phone_normalized,
 FROM judged""",
     "lead_merge": f"WITH {_LEADS} SELECT * FROM leads",
     "lead_merge_in_batches": f"WITH {_LEADS} SELECT * FROM leads",
+    "lead_merge_by_stream_batches": f"WITH {_LEADS} SELECT * FROM leads",
+    "export_rows": f"""WITH {_LEADS}, {_LINKS.removeprefix(_ORDER_SIGHTINGS + ",")},
+lists AS (SELECT phone_normalized, string_agg(link, '|' ORDER BY place) AS links FROM first_link GROUP BY 1)
+SELECT sha256(phone_normalized) AS id, phone_normalized, name, intent, post_count, links FROM leads JOIN lists USING (phone_normalized)""",
+    "checked_run_rows": f"""WITH {_RUNS} SELECT run_id, source_mode, status,
+  least(length(source_mode) * 400 + length(run_id), 2000) AS n_detail FROM runs""",
+    "report_totals": f"""WITH {_LEADS}, {_RUNS} SELECT 'leads' AS part, '' AS key, count(*) AS n FROM leads
+UNION ALL SELECT 'by_intent', intent, count(*) FROM leads GROUP BY intent
+UNION ALL SELECT 'runs_by_mode', source_mode, count(*) FROM runs GROUP BY source_mode""",
+    "nested_page_posts": r"""SELECT conv_id::VARCHAR AS post_ref, (conv_id + 10000000)::VARCHAR AS post_fb_id, role AS author,
+  trim(regexp_replace(text, '\s+', ' ', 'g')) || chr(10) || 'end of post' AS text,
+  epoch(TIMESTAMP '2024-01-15 15:05:00')::BIGINT AS timestamp_unix FROM conversations WHERE turn = 0""",
+    "page_comments": r"""SELECT conv_id::VARCHAR AS post_ref, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS comment_order,
+  conv_id || 'c' || turn AS comment_id, role AS author, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text,
+  1700000000 + conv_id - 7200 AS timestamp_unix FROM conversations WHERE turn > 0""",
     "link_union": f"WITH {_LINKS} SELECT phone_normalized, link, first_day, first_order, pos FROM first_link",
     "link_lists": f"WITH {_LINKS} SELECT phone_normalized, string_agg(link, '|' ORDER BY place) AS links FROM first_link GROUP BY 1",
     "raw_text_fold": f"""WITH {_ORDER_SIGHTINGS}, {_text_fold("SELECT phone_normalized AS k, seq, raw_text AS t FROM s")}
@@ -355,7 +389,7 @@ SELECT arg_max(run_id, no) AS last_id, arg_max(status, no) AS last_status,
 SELECT page_id, post_no, post_id, md5(text) AS text_md5, link FROM posts""",
     "paragraph_posts": rf"""WITH {_block_posts(_PARAGRAPHS, r"(?is)<p\b[^>]*>.*?</p>")} SELECT * FROM posts WHERE post_no <= 3""",
     "page_status": rf"""WITH p AS (SELECT page_id, CASE WHEN page_id % 11 = 3 THEN 429 WHEN page_id % 11 = 5 THEN 500 ELSE 200 END AS code,
-  CASE page_id % 7 WHEN 4 THEN '<wml><card>x</card></wml>' WHEN 5 THEN '<html></html>' WHEN 1 THEN '<p>please Log in to FACEBOOK now</p>' || html
+  CASE page_id % 7 WHEN 4 THEN '<wml><card>x</card></wml>' || html WHEN 5 THEN regexp_replace(html, '<(/?)(article|p|div)\b', '<\1x-\2', 'gi') WHEN 1 THEN '<p>please Log in to FACEBOOK now</p>' || html
     WHEN 2 THEN '<p>Captcha needed</p>' || html WHEN 3 THEN '<title>خطأ</title>' || html ELSE html END AS html FROM pages),
 {_block_posts("SELECT * FROM p", r"(?is)<article\b[^>]*>.*?</article>")}
 SELECT page_id, CASE WHEN code IN (401, 403, 429) THEN 'blocked'
@@ -378,17 +412,20 @@ FROM (SELECT o_orderkey, o_orderkey % 7 AS n, lpad(o_orderkey::VARCHAR, 10, '7')
     "post_fields": """SELECT o_orderkey, o_orderkey::VARCHAR AS post_fb_id, 'https://www.facebook.com/groups/77/posts/' || o_orderkey AS permalink,
   'C ' || o_custkey AS author, 'Order ' || o_orderkey || ' & more' || chr(10) || o_orderpriority AS text,
   epoch(date_trunc('minute', o_orderdate))::BIGINT AS timestamp_unix FROM orders""",
-    "comment_rows": """SELECT conv_id * 1000 + turn AS page_id, conv_id || '_' || turn AS comment_id, NULL::VARCHAR AS parent_comment_id, role AS author,
-  'first' AS text, 1700000000 + conv_id - 3 * 3600 AS timestamp_unix, false AS is_reply FROM conversations
-UNION ALL SELECT conv_id * 1000 + turn, conv_id || '_' || turn || 'r', conv_id || '_' || turn, 'other', role, 1700000000 + conv_id - 3 * 3600, true FROM conversations""",
-    "time_texts": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN epoch(ts - to_hours(n))::BIGINT - x WHEN 1 THEN epoch(ts - to_minutes(n))::BIGINT - x
+    "comment_rows": r"""SELECT conv_id * 1000 + turn AS page_id, conv_id || '_' || turn AS comment_id, NULL::VARCHAR AS parent_comment_id, role AS author,
+  trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, 1700000000 + conv_id - 3 * 3600 AS timestamp_unix, false AS is_reply FROM conversations
+UNION ALL SELECT conv_id * 1000 + turn, conv_id || '_' || turn || 'r', conv_id || '_' || turn, 'other', trim(regexp_replace(role || ': ' || text, '\s+', ' ', 'g')), 1700000000 + conv_id - 3 * 3600, true FROM conversations""",
+    "time_texts": """SELECT event_id, CASE event_id % 10 WHEN 0 THEN epoch(ts - to_hours(n))::BIGINT - x WHEN 1 THEN epoch(ts - to_minutes(n))::BIGINT - x
   WHEN 2 THEN epoch(ts - to_hours(2))::BIGINT - x WHEN 3 THEN epoch(date_trunc('day', ts))::BIGINT - 86400 + (n % 12 + 12) * 3600 + 300
-  WHEN 4 THEN epoch(date_trunc('minute', ts))::BIGINT END AS unix
+  WHEN 4 THEN epoch(date_trunc('minute', ts))::BIGINT WHEN 5 THEN epoch(date_trunc('minute', ts))::BIGINT
+  WHEN 6 THEN epoch(date_trunc('day', ts))::BIGINT WHEN 7 THEN epoch(date_trunc('day', ts))::BIGINT - (n % 7 + 1) * 86400 + n * 3600
+  WHEN 8 THEN epoch(date_trunc('minute', ts))::BIGINT END AS unix
 FROM (SELECT *, user_id % 9 + 1 AS n, CASE WHEN epoch(ts)::BIGINT > epoch(ts) THEN 1 ELSE 0 END AS x FROM events)""",
     "freshness": """SELECT event_id, round((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 86400000000.0, 6) AS age,
   epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts) <= 20 * 86400000000 AS fresh FROM events""",
     "rate_window": _EVENT_WINDOW.format(key="user_id", us=6 * 3600 * 1_000_000, cap=3),
     "busy_type_window": _EVENT_WINDOW.format(key="event_type", us=1800 * 1_000_000, cap=8),
+    "dense_window": _EVENT_WINDOW.format(key="(SELECT 1)", us=7 * 86_400 * 1_000_000, cap=8),
     "mean_gap": """SELECT user_id, count(*) AS n, sum(gap)::DOUBLE / count(gap) / 1000000.0 AS mean_gap_seconds FROM (
   SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) GROUP BY 1""",
     "validation_rows": f"""{_EXPECTED} SELECT c_custkey, array_to_string(phones, '|') AS phones, array_to_string(intents, '|') AS intents, passed FROM checked""",

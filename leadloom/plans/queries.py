@@ -22,6 +22,7 @@ from leadloom.operators import activity, labels, merge, posts, reports, threads,
 from leadloom.operators.intents import IntentRule, classify_intents
 from leadloom.operators.leads import lead_rows, sightings
 from leadloom.sources import pages as pg
+from leadloom.sources import sinks
 from leadloom.sources.tables import read_table, spread
 
 # Rules that reach every branch on the invented prose of ``documents``: several languages, a
@@ -184,11 +185,28 @@ def phone_prefix_counts(spark, sf):
     return reports.counts_by_prefix(found)
 
 
+FOREIGN = (("+33 6", 8), ("+49", 11), ("+20", 9), ("+999 ", 8), ("+33", 11), ("0044 ", 9))
+
+
+def foreign_phones(spark, sf):
+    """Numbers of other countries, valid by length or not, and dates in the shape of a number."""
+    def digits(length: int):
+        return F.lpad(F.col("c_custkey").cast("string"), length, "7")
+
+    n = F.col("c_custkey") % (len(FOREIGN) + 1)
+    text = F.concat(F.lit("Livraison le "), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0"), F.lit(".05.2024 ok"))
+    for i, (code, length) in enumerate(FOREIGN):
+        text = F.when(n == i, F.concat(F.lit(f"Call {code}"), digits(length), F.lit(" now"))).otherwise(text)
+    texts = spread(_customer(spark, sf)).select("c_custkey", text.alias("text"))
+    found = ph.only_with_phones(texts).select("c_custkey", F.explode("phones").alias("p"))
+    return found.select("c_custkey", F.col("p.raw").alias("raw"), F.col("p.e164").alias("e164"))
+
+
 # ---- intents ----------------------------------------------------------------------
 
 
 def _judged(spark, sf) -> DataFrame:
-    return classify_intents(_documents(spark, sf), PROSE_RULES, has_phone=F.col("lang") == "en", key_col="doc_id")
+    return classify_intents(_documents(spark, sf), PROSE_RULES, has_phone=F.col("lang") == "en")
 
 
 def intent_scores(spark, sf):
@@ -200,7 +218,7 @@ def intent_scores_by_join(spark, sf):
     """The same scores through the form for large rule tables."""
     docs = _documents(spark, sf)
     judged = classify_intents(
-        docs, PROSE_RULES, has_phone=F.col("lang") == "en", key_col="doc_id", max_literal_keywords=0
+        docs, PROSE_RULES, has_phone=F.col("lang") == "en", max_literal_keywords=0
     )
     scores = judged.select("doc_id", F.explode_outer("intent_result_scores").alias("s"))
     return scores.select("doc_id", F.col("s.intent").alias("intent"), F.col("s.score").alias("score"))
@@ -221,6 +239,12 @@ def intent_evidence(spark, sf):
     )
 
 
+def evidence_json(spark, sf):
+    r = F.col("intent_result")
+    whole = tx.intent_json(r["intent"], r["confidence"], r["matched_keywords"], F.length(r["raw_excerpt"]).cast("string"))
+    return _judged(spark, sf).select("doc_id", whole.alias("evidence"))
+
+
 def intents_by_source(spark, sf):
     r = F.col("intent_result.intent")
     return _judged(spark, sf).groupBy("source", r.alias("intent")).agg(F.count("*").alias("count"))
@@ -307,6 +331,28 @@ def lead_merge_in_batches(spark, sf):
     return _flat_leads(merge.fold_scalars(later.unionByName(state.withColumn("seq", first), True)))
 
 
+def lead_merge_by_stream_batches(spark, sf):
+    """The same in batches of years, as a stream would bring them: each batch folds onto the state before."""
+    found = merge.as_fold_rows(_order_sightings(spark, sf))
+    first = F.struct(F.lit("0001-01-01").cast("timestamp").alias("day"), F.lit(-1).cast("bigint").alias("no"))
+    state = None
+    year = F.year("first_seen")
+    for inside in (year < 1994, year.between(1994, 1995), year.between(1996, 1997), year > 1997):
+        batch = found.filter(inside)
+        if state is not None:
+            batch = batch.unionByName(state.withColumn("seq", first), True)
+        state = merge.fold_scalars(batch)
+    return _flat_leads(state)
+
+
+def export_rows(spark, sf):
+    """What an unmasked export holds: an id for each phone, the lists in their cells."""
+    found = _order_sightings(spark, sf)
+    leads = merge.with_link_lists(merge.fold_scalars(merge.as_fold_rows(found)), merge.distinct_links(found))
+    rows = sinks.export_frame(leads.withColumn("raw_text", F.lit("")), mask=False)
+    return rows.select("id", "phone_normalized", "name", "intent", "post_count", F.array_join("links", "|").alias("links"))
+
+
 def link_union(spark, sf):
     links = merge.distinct_links(_order_sightings(spark, sf))
     at = F.col("first_at")
@@ -478,6 +524,21 @@ def _runs(spark, sf) -> DataFrame:
     )
 
 
+def checked_run_rows(spark, sf):
+    """Run records as they are written: checked, long details cut."""
+    runs = _runs(spark, sf).withColumn("error_detail", F.concat(F.repeat(F.col("source_mode"), 400), F.col("run_id")))
+    return sinks.checked_runs(runs).select("run_id", "source_mode", "status", F.length("error_detail").alias("n_detail"))
+
+
+def report_totals(spark, sf):
+    """The parts of the statistics bundle, one under the other."""
+    parts = reports.stats(lead_merge(spark, sf), _runs(spark, sf))
+    rows = parts["total_leads"].select(F.lit("leads").alias("part"), F.lit("").alias("key"), "n")
+    for part, key in (("by_intent", "intent"), ("runs_by_mode", "source_mode")):
+        rows = rows.unionByName(parts[part].select(F.lit(part).alias("part"), F.col(key).alias("key"), F.col("count").alias("n")))
+    return rows
+
+
 def recent_runs(spark, sf):
     return reports.recent_runs(_runs(spark, sf), 20)
 
@@ -539,7 +600,9 @@ def page_status(spark, sf):
         .when(n == 3, "<title>خطأ</title>").otherwise("")
     )
     code = F.when(F.col("page_id") % 11 == 3, 429).when(F.col("page_id") % 11 == 5, 500).otherwise(200)
-    html = F.when(n == 4, F.lit("<wml><card>x</card></wml>")).when(n == 5, F.lit("<html></html>")).otherwise(
+    # A small card before the page; a page whose elements have other names.
+    other_names = F.regexp_replace("html", r"(?i)<(/?)(article|p|div)\b", "<$1x-$2")
+    html = F.when(n == 4, F.concat(F.lit("<wml><card>x</card></wml>"), "html")).when(n == 5, other_names).otherwise(
         F.concat(marker, "html")
     )
     pages = spread(_pages(spark, sf)).select("page_id", html.alias("html"), code.alias("code"))
@@ -626,9 +689,9 @@ def comment_rows(spark, sf):
 
     key = F.concat("conv_id", F.lit("_"), "turn")
     html = F.concat(
-        block("Comment by", F.col("role"), F.lit("first"), key), block("Comment by", F.col("role"), F.lit("again"), key),
+        block("Comment by", F.col("role"), F.col("text"), key), block("Comment by", F.col("role"), F.lit("again"), key),
         F.lit('<div aria-label="Comment by"><div></div></div>'),
-        block("Reply by", F.lit("other"), F.col("role"), F.concat(key, F.lit("r"))),
+        block("Reply by", F.lit("other"), F.concat("role", F.lit(": "), "text"), F.concat(key, F.lit("r"))),
     )
     pages = spread(_conversations(spark, sf)).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), html.alias("html"),
@@ -639,17 +702,64 @@ def comment_rows(spark, sf):
     )
 
 
+def _group_pages(spark, sf) -> DataFrame:
+    """A page per conversation: the first turn as a post with nested blocks, the others as comments in a list."""
+    turns = _conversations(spark, sf)
+    item = F.concat(
+        F.lit('<li><div><div role="article" data-commentid="'), "conv_id", F.lit("c"), "turn", F.lit('"><div><a href="/user/'),
+        "turn", F.lit('"><span>'), "role", F.lit('</span></a></div><div dir="auto" style="text-align: start;">'), "text",
+        F.lit('</div><a aria-label="Comment permalink 2 hrs ago" href="#">t</a></div></div></li>'),
+    )
+    post = F.concat(
+        F.lit('<div role="article"><h2><strong>'), "role", F.lit('</strong></h2><div><div data-ad-preview="message"><div><div>'),
+        "text", F.lit('</div></div><div>end of post</div></div></div><a href="/groups/1/posts/9" title="15 janvier 2024 à 15:05">x</a></div>'),
+    )
+    lists = turns.groupBy("conv_id").agg(
+        F.max(F.when(F.col("turn") == 0, post)).alias("post"),
+        F.array_sort(F.collect_list(F.when(F.col("turn") > 0, F.struct("turn", item.alias("item"))))).alias("items"),
+    )
+    html = F.concat(
+        F.lit("<html><body><div>"), "post", F.lit("<ul>"), F.array_join(F.transform("items", lambda i: i["item"]), ""),
+        F.lit('</ul></div><div>Site Admin <a href="/user/0"><span>Suggested</span></a></div></body></html>'),
+    )
+    return lists.select(
+        F.col("conv_id").alias("page_id"), html.alias("html"),
+        F.concat(F.lit("https://www.facebook.com/groups/1/posts/"), F.col("conv_id") + 10_000_000).alias("url"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id")).alias("captured_at"),
+    )
+
+
+def nested_page_posts(spark, sf):
+    posts, _ = pg.group_page(_group_pages(spark, sf))
+    return posts.select("post_ref", "post_fb_id", "author", "text", "timestamp_unix")
+
+
+def page_comments(spark, sf):
+    _, comments = pg.group_page(_group_pages(spark, sf))
+    return comments.select("post_ref", "comment_order", "comment_id", "author", "text", "timestamp_unix")
+
+
 # ---- time and activity --------------------------------------------------------------
 
 
 def time_texts(spark, sf):
     """Relative and absolute time texts made from events, read back against the event time."""
-    n, kind = F.pmod(F.col("user_id"), F.lit(9)) + 1, F.col("event_id") % 6
+    n, kind = F.pmod(F.col("user_id"), F.lit(9)) + 1, F.col("event_id") % 10
     s = n.cast("string")
+    french = F.element_at(F.lit([m.split("|")[2 if i not in (4,) else 1] for i, m in enumerate(times.MONTHS)]), F.month("ts"))
+    arabic = F.element_at(F.lit([m.split("|")[-1] for m in times.MONTHS]), F.month("ts"))
+    # The weekday that lies 1 to 7 days back.
+    weekday = F.element_at(
+        F.lit([d.split("|")[2] for d in times.WEEKDAYS]), (F.pmod(F.weekday("ts") - (n % 7 + 1), F.lit(7)) + 1).cast("int")
+    )
     shown = (
         F.when(kind == 0, F.concat(s, F.lit(" hrs ago"))).when(kind == 1, F.concat(F.lit("il y a "), s, F.lit(" min")))
         .when(kind == 2, F.lit("منذ ساعتين")).when(kind == 3, F.concat(F.lit("Yesterday at "), s, F.lit(":05 PM")))
-        .when(kind == 4, F.date_format("ts", "MMMM d 'at' h:mm a")).otherwise(F.lit("who knows"))
+        .when(kind == 4, F.date_format("ts", "MMMM d 'at' h:mm a"))
+        .when(kind == 5, F.concat(F.date_format("ts", "d "), french, F.date_format("ts", " yyyy 'à' HH:mm")))
+        .when(kind == 6, F.concat(F.date_format("ts", "d "), arabic, F.date_format("ts", " yyyy")))
+        .when(kind == 7, F.concat(weekday, F.lit(" à "), s, F.lit(":00"))).when(kind == 8, F.date_format("ts", "dd/MM/yyyy HH:mm"))
+        .otherwise(F.lit("who knows"))
     )
     parsed = times.to_unix(times.parse_timestamp(shown, F.col("ts")))
     return spread(_events(spark, sf)).select("event_id", parsed.alias("unix"))
@@ -677,6 +787,14 @@ def busy_type_window(spark, sf):
     )
 
 
+def dense_window(spark, sf):
+    """All events as one source and a window that holds very many of them."""
+    events = _events(spark, sf).withColumn("source", F.lit("all"))
+    return activity.trailing_activity(events, "source", seconds=7 * 86_400, cap=8).select(
+        "event_id", "in_window", "seconds_to_next_slot"
+    )
+
+
 def mean_gap(spark, sf):
     return activity.mean_gap(_events(spark, sf), "user_id")
 
@@ -697,7 +815,7 @@ def _expected(spark, sf) -> tuple[DataFrame, DataFrame]:
     )
     expected = _customer(spark, sf).select(
         "c_custkey", phones.alias("expected_phones"),
-        F.when(F.col("c_mktsegment") == "MACHINERY", "job_offer").otherwise("job_offer").alias("expected_intent"),
+        F.lit("job_offer").alias("expected_intent"),
         F.size(phones).cast("bigint").alias("expected_leads"),
     )
     return expected, found
@@ -735,14 +853,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         compact_and_digits, folded_text, masked_text, masked_ids, page_links, ordered_link_list, page_text,
-        offer_and_need, names, document_phones, phones_by_source, local_phones, phone_prefix_counts, intent_scores, intent_scores_by_join,
-        intent_best, intent_evidence, intents_by_source, documents_with_keyword, short_labels, lead_sightings,
-        lead_merge, lead_merge_in_batches, link_union, link_lists, raw_text_fold, raw_text_fold_hot, merged_leads,
+        offer_and_need, names, document_phones, phones_by_source, local_phones, foreign_phones, phone_prefix_counts, intent_scores, intent_scores_by_join,
+        intent_best, intent_evidence, evidence_json, intents_by_source, documents_with_keyword, short_labels, lead_sightings,
+        lead_merge, lead_merge_in_batches, lead_merge_by_stream_batches, export_rows, link_union, link_lists, raw_text_fold, raw_text_fold_hot, merged_leads,
         upsert_counts, first_comment_wins, post_identity, post_upsert, posts_with_comment_counts,
         all_posts_with_comment_counts, recent_comments, thread_order, comment_parents, comments_per_post,
-        thread_totals, counts_by_intent, total_leads, recent_leads, top_contacts, top_contacts_by_count, recent_runs,
+        thread_totals, report_totals, checked_run_rows, counts_by_intent, total_leads, recent_leads, top_contacts, top_contacts_by_count, recent_runs,
         runs_by_mode, last_runs, evolved_runs, page_posts, paragraph_posts, page_status, url_parts, post_ids,
-        markup_fields, post_fields, comment_rows, time_texts, freshness, rate_window, busy_type_window, mean_gap,
+        markup_fields, post_fields, comment_rows, nested_page_posts, page_comments, time_texts, freshness, rate_window, busy_type_window, dense_window, mean_gap,
         validation_rows, validation_totals, thread_leads,
     )
 }

@@ -17,13 +17,7 @@ class KeywordGroups:
 
 
 def _group_words(languages: dict) -> tuple[str, ...]:
-    listed = [str(w) for name, words in languages.items() if name != "numbered" for w in words]
-    numbered = [
-        entry["form"].format(n=n)
-        for entry in languages.get("numbered", [])
-        for n in range(entry["from"], entry["to"] + 1)
-    ]
-    return tuple(dict.fromkeys(listed + numbered))
+    return tuple(dict.fromkeys(str(w) for words in languages.values() for w in words))
 
 
 def load_keyword_groups(path: str | Path | None = None) -> KeywordGroups:

@@ -12,23 +12,32 @@ from leadloom.functions import html as hx
 from leadloom.functions import text as tx
 from leadloom.functions import times, urls
 
-# Tried in order; the first kind that a page holds at all supplies its blocks.
-BLOCK_PATTERNS = (
-    r"(?is)<article\b[^>]*>.*?</article>",
-    r"(?is)<p\b[^>]*>.*?</p>",
-    r"(?is)<div\b[^>]*>.*?</div>",
+# ---- fixed values: what a post's element looks like; all kinds count, in this order ----
+POST_ELEMENTS = (
+    ("article", "."),
+    ("div", r"(?is)\sdata-ft\b"),
+    ("div", hx.ARTICLE_ROLE),
+    ("div", r"(?is)\sclass=(?:\"[^\"]*|'[^']*)\bstory_body_container\b"),
+    ("div", r"(?is)\sclass=(?:\"[^\"]*|'[^']*)\buserContentWrapper\b"),
 )
+PARAGRAPH = r"(?is)<p\b[^>]*>.*?</p>"
 
 
 def post_blocks(html: Column) -> Column:
-    """Post-like blocks of a page: articles, else paragraphs, else divs."""
+    """Post-like blocks of a page: the elements of all post kinds, nested ones too; else paragraphs, else divs."""
 
     def pick(clean: Column) -> Column:
-        out = F.array().cast("array<string>")
-        for pattern in reversed(BLOCK_PATTERNS):
-            opening = pattern.split(r"\b")[0] + r"\b"
-            out = F.when(clean.rlike(opening), F.regexp_extract_all(clean, F.lit(pattern), F.lit(0))).otherwise(out)
-        return out
+        none = F.array().cast("array<string>")
+        kinds = [
+            F.when(clean.rlike(rf"(?is)<{tag}\b[^>]*{wanted.removeprefix("(?is)")}"), hx.balanced_blocks(clean, tag, wanted)).otherwise(none)
+            for tag, wanted in POST_ELEMENTS
+        ]
+        plain = (
+            F.when(clean.rlike(r"(?is)<p\b"), F.regexp_extract_all(clean, F.lit(PARAGRAPH), F.lit(0)))
+            .when(clean.rlike(r"(?is)<div\b"), hx.balanced_blocks(clean, "div", "."))
+            .otherwise(none)
+        )
+        return tx.let(F.concat(*kinds), lambda found: F.when(F.size(found) > 0, found).otherwise(plain))
 
     return tx.let(hx.without_invisible(html), pick)
 
@@ -111,7 +120,11 @@ def post_fields(blocks: DataFrame, html_col: str = "html", url_col: str | None =
     url = F.col(url_col) if url_col else urls.post_link(F.col(html_col))
 
     def fields(html: Column) -> Column:
-        posted_at = times.parse_timestamp(hx.block_time_text(html), F.col("captured_at"))
+        labels = F.transform(hx.link_labels(html), lambda text: times.parse_timestamp(text, F.col("captured_at")))
+        shown = hx.block_time_text(html)
+        posted_at = F.when(shown.isNotNull(), times.parse_timestamp(shown, F.col("captured_at"))).otherwise(
+            F.get(F.filter(labels, lambda t: t.isNotNull()), F.lit(0))
+        )
         return F.struct(
             url.alias("url"),
             hx.block_author(html).alias("author"),
@@ -146,7 +159,8 @@ def comments_from_pages(pages: DataFrame, keep: Sequence[str] = ("page_id",), ht
 
     The first of equal ids stays; a comment without a name and a text drops out. Replies
     point to the last comment before them. Comments without an id get one from place and
-    content, so both of two equal ones stay and a re-run names them the same.
+    content, so both of two equal ones stay and a re-run names them the same. A comment is
+    its element, up to its own end tag.
     """
 
     def described(block: Column, i: Column) -> Column:
@@ -157,7 +171,7 @@ def comments_from_pages(pages: DataFrame, keep: Sequence[str] = ("page_id",), ht
             F.coalesce(hx.comment_id(block), made_up).alias("comment_id"),
             hx.commenter(block).alias("author"),
             hx.comment_text(block).alias("text"),
-            hx.abbr_title(block).alias("time_text"),
+            hx.comment_time_text(block).alias("time_text"),
             hx.is_reply_block(block).alias("is_reply"),
             i.alias("place"),
         )
@@ -167,14 +181,20 @@ def comments_from_pages(pages: DataFrame, keep: Sequence[str] = ("page_id",), ht
         return F.filter(found, lambda c, i: F.array_position(ids, c["comment_id"]) == i + 1)
 
     def nested(found: Column) -> Column:
-        def with_parent(c: Column, i: Column) -> Column:
-            before = F.filter(F.slice(found, F.lit(1), i), lambda p: ~p["is_reply"])
-            parent = F.when(c["is_reply"], F.try_element_at(before, F.lit(-1))["comment_id"])
-            return F.struct(c.alias("c"), parent.alias("parent_comment_id"))
+        rows = F.array().cast("array<struct<c:struct<comment_id:string,author:string,text:string,time_text:string,is_reply:boolean,place:int>,parent_comment_id:string>>")
+        start = F.struct(F.lit(None).cast("string").alias("last"), rows.alias("rows"))
 
-        return F.transform(found, with_parent)
+        def step(acc: Column, c: Column) -> Column:
+            parent = F.when(c["is_reply"], acc["last"])
+            row = F.struct(c.alias("c"), parent.alias("parent_comment_id"))
+            return F.struct(
+                F.when(c["is_reply"], acc["last"]).otherwise(c["comment_id"]).alias("last"),
+                F.array_append(acc["rows"], row).alias("rows"),
+            )
 
-    blocks = F.regexp_extract_all(F.col(html_col), F.lit(hx.COMMENT_BLOCK), F.lit(0))
+        return F.aggregate(found, start, step, lambda acc: acc["rows"])
+
+    blocks = hx.cut_spans(F.col(html_col), hx.comment_spans(F.col(html_col)))
     worth = F.filter(
         F.transform(blocks, described),
         lambda c: c["author"].isNotNull() | ((c["text"] != "") & (c["text"] != "N/A")),
@@ -195,3 +215,24 @@ def comments_from_pages(pages: DataFrame, keep: Sequence[str] = ("page_id",), ht
         F.col("comment_no").cast("bigint").alias("comment_order"),
         "captured_at",
     )
+
+
+def group_page(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Posts and comments of pages that show one post each with its comments: what the posts-and-comments job takes.
+
+    The post is the page's first outermost element with the article role that lies in no list; the comments of the page
+    are its own. Needs ``page_id``, ``url``, ``html`` and ``captured_at``; pages without a post give nothing.
+    """
+    html = F.regexp_replace(hx.without_invisible(F.col("html")), r"(?is)<ul\b.*</ul\s*>", " ")
+    first = F.get(hx.balanced_blocks(html, "div", hx.ARTICLE_ROLE, top_only=True), F.lit(0))
+    blocks = pages.select("page_id", "url", "captured_at", first.alias("html")).filter(F.col("html").isNotNull())
+    posts = post_fields(blocks, url_col="url").select(
+        F.col("page_id").cast("string").alias("post_ref"), F.col("page_id").alias("post_order"), "post_fb_id", "permalink",
+        "author", F.lit(None).cast("string").alias("author_fb_id"), "timestamp_unix", "text",
+        F.col("captured_at").alias("seen_at"),
+    )
+    said = comments_from_pages(pages).select(
+        F.col("page_id").cast("string").alias("post_ref"), "comment_order", "comment_id", "parent_comment_id", "author",
+        F.lit(None).cast("string").alias("author_fb_id"), "text", "timestamp_unix", "is_reply", "captured_at",
+    )
+    return posts, said

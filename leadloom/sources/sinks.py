@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from leadloom import schemas, vocab
 from leadloom.functions import text as tx
 from leadloom.functions.phones import NUMBER_RUN
-from leadloom.operators.merge import MAX_CELL_LINKS, overfull, with_link_lists
+from leadloom.operators.merge import with_link_lists
 from leadloom.operators.reports import list_leads
+from leadloom.session import cut_lineage
 
 MASKED_TEXTS = ("name", "author", "what", "why", "intent_raw_excerpt", "raw_text")
 
@@ -53,18 +54,17 @@ def export_leads(
     since: str | None = None,
     limit: int | None = None,
     mask: bool = True,
-    max_cell: int = MAX_CELL_LINKS,
 ) -> str:
     """Write the listed leads as CSV (16 columns, header) or JSON (all columns); returns the path.
 
-    The order of ``list_leads`` is kept across the part files. Leads with more links than
-    ``max_cell`` have them, one per row and under the same id, in ``{path}_links``.
+    The order of ``list_leads`` is kept across the part files. The links of the exported leads also stand one per row,
+    under the same id, in ``{path}_links``.
     """
     if output_format not in ("csv", "json"):
         raise ValueError(f"unsupported export format: {output_format}")
     options = {"intent": intent, "since": since, "limit": limit}
-    chosen = list_leads(leads, **options)
-    listed = list_leads(with_link_lists(chosen, links, max_cell=max_cell))
+    chosen = cut_lineage(list_leads(leads, **options))
+    listed = list_leads(with_link_lists(chosen, links))
     salt = secrets.token_hex(16)
     rows = export_frame(listed, mask=mask, salt=salt)
     stamp = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%SZ")
@@ -82,13 +82,11 @@ def export_leads(
             .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ssXXX")
             .csv(path)
         )
-    many = overfull(links, max_cell=max_cell).join(chosen.select("phone_normalized"), "phone_normalized", "left_semi")
-    if not many.isEmpty():
-        own_id = F.sha2(F.concat(F.lit(salt if mask else ""), F.col("phone_normalized")), 256)
-        link = _hide_numbers(F.col("link")) if mask else F.col("link")
-        links.join(many, "phone_normalized", "left_semi").select(
-            own_id.alias("id"), link.alias("link"), F.col("first_at").alias("first_at")
-        ).write.json(path + "_links")
+    own_id = F.sha2(F.concat(F.lit(salt if mask else ""), F.col("phone_normalized")), 256)
+    link = _hide_numbers(F.col("link")) if mask else F.col("link")
+    links.join(chosen.select("phone_normalized"), "phone_normalized", "left_semi").select(
+        own_id.alias("id"), link.alias("link"), F.col("first_at").alias("first_at")
+    ).write.json(path + "_links")
     return path
 
 

@@ -13,22 +13,33 @@ from leadloom.operators.leads import sightings
 from leadloom.plans.jobs import Tables, write_leads
 
 
-def merge_batch(tables: Tables, posts: DataFrame, batch_id: int, rules: Sequence[IntentRule]) -> bool:
-    """Fold one micro-batch into the lead table; False when that batch was folded before.
-
-    The batch id is the table version, so a replay either finds the version complete and
-    does nothing, or overwrites what an interrupted try left.
+def merge_batch(
+    tables: Tables, posts: DataFrame, batch_id: int, rules: Sequence[IntentRule], stream: str = "stream", **options
+) -> bool:
+    """Fold one micro-batch into the lead table; False when that batch of that stream was folded before.
+
+    A batch id counts within one stream only. The ledger of folded batches is written with each version and counts once
+    the version is complete, so a replay does nothing after a finished try and starts over after an interrupted one.
+    ``options`` are those of ``lead_rows``.
     """
-    if batch_id in tables.versions("leads"):
+    if tables.has_folded(stream, batch_id):
         return False
-    write_leads(tables, sightings(posts, None, rules, batch_no=batch_id), batch_id)
+    version = tables.next_version("leads")
+    write_leads(tables, sightings(posts, None, rules, batch_no=version, **options), version, stream, batch_id)
     return True
 
 
-def stream_leads(posts: DataFrame, tables: Tables, rules: Sequence[IntentRule], checkpoint: str) -> DataStreamWriter:
-    """Writer that keeps the lead table up to date from a stream of posts; the caller starts it."""
+def stream_leads(
+    posts: DataFrame, tables: Tables, rules: Sequence[IntentRule], checkpoint: str, **options
+) -> DataStreamWriter:
+    """Writer that keeps the lead table up to date from a stream of posts; the caller starts it.
+
+    The checkpoint folder is the stream's name: a stream with a new one counts its batches anew.
+    """
     return (
-        posts.writeStream.foreachBatch(lambda df, batch_id: merge_batch(tables, df, batch_id, rules))
+        posts.writeStream.foreachBatch(
+            lambda df, batch_id: merge_batch(tables, df, batch_id, rules, checkpoint, **options)
+        )
         .option("checkpointLocation", checkpoint)
     )
 

@@ -24,6 +24,27 @@ HOME_REGION = "TN"
 HOME_PREFIX = r"^[234579]\d$"
 NANP_NATIONAL = r"^[2-9]\d{2}[2-9]\d{6}$"
 PHONE_DIGIT_COUNTS = (8, 11, 13)
+# Country code: lengths of its national numbers (public numbering plans; home and North America have rules of their own).
+OTHER_COUNTRIES = {
+    "7": (10,), "20": (8, 9, 10), "27": (9,), "30": (10,), "31": (9,), "32": (8, 9), "33": (9,), "34": (9,), "36": (8, 9),
+    "39": (9, 10, 11), "40": (9,), "41": (9,), "43": (9, 10, 11), "44": (9, 10), "45": (8,), "46": (7, 8, 9), "47": (8,),
+    "48": (9,), "49": (9, 10, 11), "51": (8, 9), "52": (10,), "54": (10, 11), "55": (10, 11), "56": (9,), "57": (10,),
+    "58": (10,), "60": (8, 9, 10), "61": (9,), "62": (8, 9, 10, 11), "63": (10,), "64": (8, 9, 10), "65": (8,), "66": (8, 9),
+    "81": (9, 10), "82": (8, 9, 10), "84": (9, 10), "86": (10, 11), "90": (10,), "91": (10,), "92": (9, 10), "93": (9,),
+    "94": (9,), "95": (8, 9, 10), "98": (10,), "212": (9,), "213": (8, 9), "218": (8, 9), "220": (7,), "221": (9,),
+    "222": (8,), "223": (8,), "224": (9,), "225": (10,), "226": (8,), "227": (8,), "228": (8,), "229": (8, 10),
+    "230": (7, 8), "231": (8, 9), "233": (9,), "234": (8, 10), "235": (8,), "236": (8,), "237": (9,), "238": (7,),
+    "240": (9,), "241": (7, 8), "242": (9,), "243": (9,), "244": (9,), "249": (9,), "250": (9,), "251": (9,), "252": (8, 9),
+    "253": (8,), "254": (9,), "255": (9,), "256": (9,), "257": (8,), "258": (8, 9), "260": (9,), "261": (9,), "263": (9,),
+    "351": (9,), "352": (8, 9), "353": (8, 9), "354": (7,), "355": (8, 9), "356": (8,), "357": (8,), "358": (8, 9, 10),
+    "359": (8, 9), "370": (8,), "371": (8,), "372": (7, 8), "373": (8,), "374": (8,), "375": (9,), "377": (8, 9),
+    "380": (9,), "381": (8, 9), "382": (8,), "383": (8,), "385": (8, 9), "386": (8,), "387": (8,), "389": (8,),
+    "420": (9,), "421": (9,), "502": (8,), "503": (8,), "504": (8,), "505": (8,), "506": (8,), "507": (7, 8), "591": (8,),
+    "593": (8, 9), "595": (9,), "598": (8,), "852": (8,), "853": (8,), "855": (8, 9), "856": (8, 10), "880": (10,),
+    "886": (8, 9), "960": (7,), "961": (7, 8), "962": (8, 9), "963": (8, 9), "964": (8, 10), "965": (8,), "966": (9,),
+    "967": (7, 8, 9), "968": (8,), "970": (8, 9), "971": (8, 9), "972": (8, 9), "973": (8,), "974": (8,), "975": (8,),
+    "976": (8,), "977": (8, 10), "992": (9,), "993": (8,), "994": (9,), "995": (9,), "996": (9,), "998": (9,),
+}
 PHONE_CONTEXT_RADIUS = 28
 PHONE_MARKER_REACH = 24
 PHONE_MARKER = (
