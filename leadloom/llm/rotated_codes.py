@@ -1,9 +1,9 @@
 """Approximate nearest neighbours with randomly rotated one-bit codes.
 
-A vector minus the centre is rotated by a random orthogonal matrix and kept as one sign bit per dimension, with two
-scalars: its length and its inner product with its own code. Packed bits and scalars give an estimate of the distance to
-a rotated query and a bound of its error; all vectors whose lower bound is not beyond the k-th upper bound are reranked
-with the original vectors in double precision.
+A vector minus the centre is padded with zeros to at least ``BITS`` dimensions (more bits, a smaller error), rotated by a
+random orthogonal matrix and kept as one sign bit per dimension, with two scalars: its length and its inner product with
+its own code. Packed bits and scalars give an estimate of the distance to a rotated query and a bound of its error; all
+vectors whose lower bound is not beyond the k-th upper bound are reranked with the original vectors in double precision.
 
 Only the centre is fitted on a bounded sample; every row is indexed. Equal vectors are one entry of the index, which
 knows its ``k + 1`` smallest ids (more can't be among the nearest). The index lies in chunks, the queries in blocks;
@@ -26,8 +26,10 @@ from leadloom.llm.common import keep
 K = 10
 #: Vectors from which the centre is taken, the first in the order of a hash.
 SAMPLE = 20_000
+#: Bits of a code; vectors of more dimensions have one bit for each.
+BITS = 512
 #: Error bounds as a multiple of the estimate's standard deviation.
-WIDTH = 3.0
+WIDTH = 2.0
 CHUNK, BLOCK = 32_768, 1_024
 SEED = 17
 _DIRECTIONS = "entry bigint, bits binary, length double, own double"
@@ -40,9 +42,11 @@ def taking_part(vector: str | Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(odd, F.lit(True)) & F.exists(vector, lambda x: x != 0)
 
 
-def rotation(dimensions: int, seed: int = SEED) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dimensions, dimensions)))
-    return q * np.sign(np.diag(r))
+def rotation(dimensions: int, bits: int | None = None, seed: int = SEED) -> np.ndarray:
+    """The rows of a random rotation in ``bits`` dimensions that act on the first ``dimensions`` of them."""
+    bits = bits or dimensions
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
+    return (q * np.sign(np.diag(r)))[:dimensions]
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -62,7 +66,7 @@ def _codes(batches: Iterator[pa.RecordBatch], centre: np.ndarray, turn: np.ndarr
     for batch in batches:
         turned = (_matrix(batch.column(1), len(centre)) - centre) @ turn
         length = np.sqrt((turned**2).sum(1))
-        own = np.abs(turned).sum(1) / np.sqrt(len(centre)) / np.where(length > 0, length, 1)
+        own = np.abs(turned).sum(1) / np.sqrt(turned.shape[1]) / np.where(length > 0, length, 1)
         bits = np.packbits(turned > 0, axis=1)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), _binary(bits), pa.array(length), pa.array(np.where(length > 0, own, 1.0))],
@@ -76,21 +80,21 @@ def _turned(batches: Iterator[pa.RecordBatch], centre: np.ndarray, turn: np.ndar
         yield pa.RecordBatch.from_arrays([batch.column(0), _binary(turned)], names=["query_id", "turned"])
 
 
-def _bounds(batches: Iterator[pa.RecordBatch], dimensions: int, k: int, width: float) -> Iterator[pa.RecordBatch]:
+def _bounds(batches: Iterator[pa.RecordBatch], bits: int, k: int, width: float) -> Iterator[pa.RecordBatch]:
     """Candidates of each query of a block within one chunk, with the lower and upper bounds of their squared distances."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = {name: batch.column(j)[i].values for j, name in enumerate(batch.schema.names)}
             entries, queries = np.asarray(row["entries"]), np.asarray(row["queries"])
             packed = np.frombuffer(b"".join(row["bits"].to_pylist()), np.uint8).reshape(len(entries), -1)
-            signs = np.unpackbits(packed, axis=1, count=dimensions).astype(np.float32) * 2 - 1
-            turned = np.frombuffer(b"".join(row["turned"].to_pylist()), np.float64).reshape(-1, dimensions)
+            signs = np.unpackbits(packed, axis=1, count=bits).astype(np.float32) * 2 - 1
+            turned = np.frombuffer(b"".join(row["turned"].to_pylist()), np.float64).reshape(-1, bits)
             length, own = np.asarray(row["length"]), np.asarray(row["own"])
-            spread = np.sqrt(np.maximum(1 - own**2, 0)) / own / np.sqrt(max(dimensions - 1, 1))
+            spread = np.sqrt(np.maximum(1 - own**2, 0)) / own / np.sqrt(max(bits - 1, 1))
             found: list[tuple[np.ndarray, ...]] = []
             for query, q in zip(queries, turned):
                 size = np.sqrt(q @ q)
-                inner = (signs @ q.astype(np.float32)).astype(np.float64) / np.sqrt(dimensions) / own
+                inner = (signs @ q.astype(np.float32)).astype(np.float64) / np.sqrt(bits) / own
                 middle = length**2 + size**2 - 2 * length * inner
                 error = 2 * width * length * size * spread + 1e-5 * (length**2 + size**2)
                 upper = middle + error
@@ -125,7 +129,8 @@ def nearest(
     valid = valid.where(F.size("vector") == dimensions)
     picked = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow().column("vector")
     centre = _matrix(picked.combine_chunks(), dimensions).mean(0) if len(picked) else np.zeros(dimensions)
-    turn = rotation(dimensions)
+    bits = max(BITS, -(-dimensions // 8) * 8)
+    turn = rotation(dimensions, bits)
 
     by_vector = W.partitionBy("vector").orderBy("vec_id")
     distinct = valid.groupBy("vector", "vec_id").agg(F.count("*").alias("n"))
@@ -165,7 +170,7 @@ def nearest(
     met = index.join(asked.select("block", F.col("q.query_id").alias("queries"), "q.turned"), "block").drop("block")
     bounds = keep(
         met.mapInArrow(
-            lambda b: _bounds(b, dimensions, k, width), "query_id bigint, entry bigint, lower double, upper double"
+            lambda b: _bounds(b, bits, k, width), "query_id bigint, entry bigint, lower double, upper double"
         ),
         "candidates",
     )
