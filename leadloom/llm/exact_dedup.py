@@ -24,6 +24,12 @@ def normalised(text: str | Column = "text") -> Column:
     return F.regexp_replace(whole_text(text), WHITE_SPACE, " ")
 
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """The digests of more than one row, as a table of its own: only so can the join with it split a hot digest."""
+    counted = rows.groupBy("__digest").agg(F.count("*").alias("__n")).where("__n > 1")
+    return keep(counted.select("__digest", F.lit(True).alias("__again")), "repeated-digests")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
@@ -34,7 +40,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("__id"), normalised(text_col).alias("__text")).withColumn(
         "__digest", F.sha2(F.col("__text"), 256)
     )
-    repeated = rows.groupBy("__digest").agg(F.count("*").alias("__n")).where("__n > 1").select("__digest", F.lit(True).alias("__again"))
+    repeated = _repeated(rows)
     told = rows.join(repeated, "__digest", "left").select(
         "__id", "__digest", F.when(F.col("__again"), F.col("__text")).alias("__text")
     )
@@ -71,8 +77,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(text_col).alias("text"),
     )
     rows = docs.select(normalised(text_col).alias("__text"), row.alias("__row")).withColumn("__digest", F.sha2(F.col("__text"), 256))
-    slim = rows.select("__digest")
-    repeated = slim.groupBy("__digest").agg(F.count("*").alias("__n")).where("__n > 1").select("__digest", F.lit(True).alias("__again"))
+    repeated = _repeated(rows)
     told = keep(
         rows.join(repeated, "__digest", "left").select(
             "__digest", "__row", F.when(F.col("__again"), F.col("__text")).alias("__text")

@@ -42,13 +42,13 @@ def test_exact_dedup_of_odd_rows(spark):
     want = sorted(
         (
             repr(r["doc_id"]),
-            min((i for i in groups[norm(r["text"])] if i is not None), default=None),
+            repr(min((i for i in groups[norm(r["text"])] if i is not None), default=None)),
             len(groups[norm(r["text"])]),
             hashlib.sha256(norm(r["text"]).encode()).hexdigest(),
         )
         for r in rows
     )
-    assert sorted((repr(r["doc_id"]), r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
+    assert sorted((repr(r["doc_id"]), repr(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in got) == want
     assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns
