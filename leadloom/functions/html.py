@@ -153,6 +153,7 @@ def first_link(block: Column, base: str = vocab.DEFAULT_RELATIVE_BASE) -> Column
 
 
 # ---- enrichment fields of a post block --------------------------------------------
+# ---- fixed values: what marks author, time and counts in the markup ----
 
 _PROFILE_ANCHOR = (
     r"(?i)<a[^>]+href=\"[^\"]*(?:profile\.php\?id=|/user/|/groups/[^/]+/user/)[^\"]*\"[^>]*>([^<]{2,80})</a>"
@@ -202,6 +203,7 @@ def comments_count(block: Column) -> Column:
 
 
 # ---- post and comment blocks of the newer markup -----------------------------------
+# ---- fixed values: what marks author, message and time in it ----
 
 _STRONG_AUTHOR = r"(?is)<h[23]\b[^>]*>(?:(?!</h[23]>).)*?<strong\b[^>]*>(.*?)</strong>"
 _SPAN_AUTHOR = r"(?is)<a\b[^>]*href=\"[^\"]*(?:/groups/[^\"]*/user/|/profile\.php)[^\"]*\"[^>]*>\s*<span\b[^>]*>(.*?)</span>"
@@ -246,6 +248,7 @@ def link_labels(block: Column) -> Column:
     return F.filter(labels, lambda text: F.coalesce(F.length(text) > 5, F.lit(False)))
 
 
+# ---- fixed values: what marks a comment, its author, text and time ----
 COMMENT_LABELS = "Comment by|Commentaire de|تعليق بواسطة"
 REPLY_LABELS = "Reply by|Reponse de|رد بواسطة"
 _COMMENT_OPEN = rf"(?is)\saria-label=\"[^\"]*(?:{COMMENT_LABELS}|{REPLY_LABELS})[^\"]*\""

@@ -22,6 +22,7 @@ from leadloom.session import broadcast_if_few
 MAX_LITERAL_KEYWORDS = 2_000
 # Characters of a keyword's beginning that the join form looks for.
 GRAM = 6
+LEAST_GRAM = 3
 
 
 @dataclass(frozen=True)
@@ -217,15 +218,18 @@ def keyword_hits_by_join(texts: DataFrame, rules: Sequence[IntentRule], key_col:
         for kind, words in (("use", rule.keywords), ("exclude", rule.exclude_keywords))
         for pos, word in enumerate(words)
     ]
-    # One bucket of keywords per gram length: short keywords don't shorten the grams of the others.
-    found = None
-    for width in sorted({min(GRAM, len(r[3])) for r in rows}):
-        words = spark.createDataFrame(
-            [r for r in rows if min(GRAM, len(r[3])) == width], "rule int, pos int, word string, folded string, kind string"
-        ).withColumn("gram", F.substring("folded", 1, width))
+    fields = "rule int, pos int, word string, folded string, kind string"
+    short = [r for r in rows if len(r[3]) < LEAST_GRAM]
+    rows = [r for r in rows if len(r[3]) >= LEAST_GRAM]
+    # Keywords of one or two letters would make grams that any text offers; they are asked of every text.
+    every = F.array(*[F.struct(*[F.lit(v).alias(f.split()[0]) for v, f in zip(r, fields.split(", "))]) for r in short])
+    found = texts.select(key_col, F.explode(every).alias("w")).select(key_col, "w.*") if short else None
+    if rows:
+        width = min(GRAM, min(len(r[3]) for r in rows))
+        words = spark.createDataFrame(rows, fields).withColumn("gram", F.substring("folded", 1, width))
         # An empty match with a captured look-ahead at every character: linear in the text, while
         # a substring per position would walk it from the start each time.
-        ahead = rf"(?s)(?=([^\x{{d800}}-\x{{dfff}}].{{{width - 1}}}))" if width > 1 else r"(?s)(?=([^\x{d800}-\x{dfff}]))"
+        ahead = rf"(?s)(?=([^\x{{d800}}-\x{{dfff}}].{{{width - 1}}}))"
         grams = F.array_distinct(F.regexp_extract_all("__norm", F.lit(ahead), F.lit(1)))
         firsts = broadcast_if_few(words.select("gram").distinct())
         offered = (

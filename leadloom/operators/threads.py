@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from leadloom.operators.ranking import rank_within_key
 
-READING_ORDER = ("top level first", "time, missing as 0", "key")
-
 
 def resolve_parents(comments: DataFrame) -> DataFrame:
     """Add ``parent_key``, the key of the comment that ``parent_comment_id`` names in the same post.
