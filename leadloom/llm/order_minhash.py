@@ -32,8 +32,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, TAKE = 32, 2
 #: Sketches over single words, for the documents of large rests.
 WORD_BANDS, WORD_TAKE = 48, 7
-#: Rests of a bucket up to this size are compared pairwise.
-SMALL = 24
+#: Rests of a bucket, and of one over single words, up to these sizes are compared pairwise.
+SMALL, SMALL_FINER = 24, 512
 _BYTES = 4 << 20
 _rng = np.random.default_rng(5)
 _MIX = _rng.integers(1, 1 << 63, BANDS + WORD_BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -204,14 +204,15 @@ def similar_links(documents: DataFrame, reps: DataFrame, least: float = SIMILARI
         largest = counts.agg(F.max("m")).first()[0]
         if largest is None:
             break
-        small = rest.join(counts.where(F.col("m") <= SMALL), "key")
+        most = SMALL_FINER if rounds else SMALL
+        small = rest.join(counts.where(F.col("m") <= most), "key")
         other = small.select("key", F.col("doc").alias("b"), F.col("n").alias("n_b"))
         near = F.least("n", "n_b") >= least * F.greatest("n", "n_b")
         pairs = small.join(other, "key").where((F.col("doc") < F.col("b")) & near).select(F.col("doc").alias("a"), "b").distinct()
         tested = tested.unionByName(_verify(pairs.join(tested, ["a", "b"], "left_anti"), texts, least))
-        if largest <= SMALL:
+        if largest <= most:
             break
-        large = rest.join(counts.where(F.col("m") > SMALL).select("key"), "key")
+        large = rest.join(counts.where(F.col("m") > most).select("key"), "key")
         if rounds == 0:
             rows = keep(large.select("doc", "n").distinct(), "large-rests").join(texts, F.col("doc") == F.col("doc_id"))
             large = rows.select("doc", "n", "text").mapInArrow(_word_sketch_rows, "doc bigint, n int, key bigint")
