@@ -161,29 +161,38 @@ def nn_pu(p: _Rows, u: _Rows, size: int, prior: float, seed: int, steps: int = S
     return w
 
 
-def _line(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic line through labelled margins (Newton steps, targets kept off 0 and 1)."""
-    positives, negatives = label.sum(), (1 - label).sum()
-    if not positives or not negatives:
+def _line(margin: np.ndarray, label: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and shift of a logistic line through labelled margins (Newton steps, targets kept off 0 and 1).
+
+    Rows weigh so that positives make up ``share`` of them, in whatever numbers the sample holds them.
+    """
+    in_sample = label.mean() if len(label) else 0.0
+    if not 0 < in_sample < 1:
         return 1.0, 0.0
+    weight = np.where(label == 1, share / in_sample, (1 - share) / (1 - in_sample))
+    positives, negatives = share * len(label), (1 - share) * len(label)
     target = np.where(label == 1, (positives + 1) / (positives + 2), 1 / (negatives + 2))
     x = np.stack([margin, np.ones_like(margin)], 1)
     beta = np.array([1.0, 0.0])
     for _ in range(50):
         q = _logistic(x @ beta)
-        hessian = (x * (q * (1 - q))[:, None]).T @ x + 1e-6 * np.eye(2)
-        beta = beta - np.clip(np.linalg.solve(hessian, x.T @ (q - target)), -2, 2)
+        hessian = (x * (weight * q * (1 - q))[:, None]).T @ x + 1e-6 * np.eye(2)
+        beta = beta - np.clip(np.linalg.solve(hessian, x.T @ (weight * (q - target))), -2, 2)
     return (float(beta[0]), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], labelled: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
-    """A model from the word hashes of documents. Without positives or unlabelled texts every score is 0."""
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], labelled: list[np.ndarray], labels: np.ndarray, prior: float, share: float | None = None) -> Model:
+    """A model from the word hashes of documents. Without positives or unlabelled texts every score is 0.
+
+    ``share`` is that of toxic documents among all, where it isn't the prior.
+    """
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
     words = _vocabulary(positive, unlabelled)
     p, u = _rows(positive, words), _rows(unlabelled, words)
     w = np.mean([nn_pu(p, u, len(words) + 1, prior, seed) for seed in range(MODELS)], axis=0)
-    slope, shift = _line(_rows(labelled, words).margins(w), labels) if labelled else (1.0, 0.0)
+    share = prior if share is None else share
+    slope, shift = _line(_rows(labelled, words).margins(w), labels, share) if labelled else (1.0, 0.0)
     return Model(words, w[1:], float(w[0]), slope, shift)
 
 
@@ -203,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     The prior is the given one, else the share of toxic rows among the labels that may be learned from.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", "toxic")
-    share = usable.agg(F.avg("toxic")).first()[0]
+    share = prior or usable.agg(F.avg("toxic")).first()[0]
     prior = prior if prior is not None else min(max(share or PRIOR, 0.01), 0.9)
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
 
@@ -226,8 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     words = [values[a:b] for a, b in zip(at[:-1], at[1:])]
     by_role = [[words[i] for i in np.flatnonzero(roles == r)] for r in range(3)]
     known = np.concatenate([np.ones(len(by_role[0])), np.zeros(len(by_role[2]))])
-    # Labelled rows enter the line in the shares that the prior says.
-    return train(by_role[0], by_role[1], by_role[0] + by_role[2], known, prior)
+    # The samples are cut at unlike shares; labelled rows enter the line in the share of all labels, or the given prior.
+    return train(by_role[0], by_role[1], by_role[0] + by_role[2], known, prior, share)
 
 
 def score_column(model: Model, text: str | Column = "text") -> Column:

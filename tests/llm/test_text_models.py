@@ -63,6 +63,27 @@ def test_toxicity_without_anything_to_learn(spark):
     assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
 
 
+def test_scores_stay_when_the_negatives_are_thinned(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rude, calm = np.arange(1, 9, dtype=np.uint64), np.arange(100, 140, dtype=np.uint64)
+    draw = lambda p: np.concatenate([rude[rng.random(8) < p], calm[rng.random(40) < 0.3]])
+    positive, negative = [draw(0.45) for _ in range(400)], [draw(0.15) for _ in range(3_200)]
+    unlabelled = [draw(0.45 if rng.random() < 1 / 9 else 0.15) for _ in range(1_000)]
+    models = [
+        toxicity.train(positive, unlabelled, positive + negative[:n], np.array([1] * 400 + [0] * n), 1 / 9) for n in (3_200, 600)
+    ]
+    odds = [m.slope * x + m.shift for m in models for x in (-3.0, 0.0, 2.0)]
+    assert np.abs(np.array(odds[:3]) - odds[3:]).max() < 0.4
+    docs, labels, _ = labelled_docs(spark, 600)
+    shares = []
+    real = toxicity._line
+    monkeypatch.setattr(toxicity, "_line", lambda margin, label, share: shares.append((label.mean(), share)) or real(margin, label, share))
+    toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "CALIBRATION", 100)
+    toxicity.fit(docs, labels)
+    assert abs(shares[0][0] - shares[0][1]) < 0.01 and shares[1][0] > 2 * shares[1][1] and shares[0][1] == shares[1][1]
+
+
 def test_non_negative_risk_bounds_the_negative_part():
     rows = toxicity._rows([np.array([1], np.uint64)] * 30, np.array([1], np.uint64))
     # The same documents are positive and unlabelled: an uncorrected risk would push them both ways without end.
