@@ -270,6 +270,34 @@ def comment_spans(html: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.coalesce(labelled, F.array().cast(_SPAN)), listed)))
 
 
+def without_comment_lists(html: Column) -> Column:
+    """The page without its lists that hold comments (labelled ones, or elements with the article role); other lists stay.
+
+    A list that is never closed isn't taken for one.
+    """
+    holds = rf"(?is)<div\b[^>]*(?:{ARTICLE_ROLE.removeprefix('(?is)')}|{_COMMENT_OPEN.removeprefix('(?is)')})"
+
+    def cut(page: Column) -> Column:
+        text = lambda s: F.substring(page, (s["start"] + 1).cast("int"), s["size"].cast("int"))
+        # Only a list that is never closed reaches the added blank.
+        spans = balanced_spans(F.concat(page, F.lit(" ")), "ul", ".")
+        lists = F.filter(spans, lambda s: (s["start"] + s["size"] <= F.length(page)) & text(s).rlike(holds))
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("kept"))
+
+        def step(acc: Column, s: Column) -> Column:
+            before = F.substring(page, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+            beyond = F.struct((s["start"] + s["size"]).alias("at"), F.array_append(acc["kept"], before).alias("kept"))
+            return F.when(s["start"] >= acc["at"], beyond).otherwise(acc)
+
+        def finish(acc: Column) -> Column:
+            rest = F.substring(page, (acc["at"] + 1).cast("int"), F.length(page))
+            return F.array_join(F.array_append(acc["kept"], rest), " ")
+
+        return F.aggregate(lists, start, step, finish)
+
+    return tx.let(html, lambda page: F.when(page.rlike(r"(?is)<ul\b"), cut(page)).otherwise(page))
+
+
 def comment_time_text(block: Column) -> Column:
     label = F.regexp_replace(F.regexp_extract(block, _PERMALINK_LABEL, 1), "Comment permalink", " ")
     return F.coalesce(abbr_title(block), decode_entities(_none_if_empty(tx.collapse_spaces(label))))

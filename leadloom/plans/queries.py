@@ -703,7 +703,7 @@ def comment_rows(spark, sf):
 
 
 def _group_pages(spark, sf) -> DataFrame:
-    """A page per conversation: the first turn as a post with nested blocks, the others as comments in a list."""
+    """A page per conversation: a list of links, the first turn as a post with nested blocks, the others as comments in a list."""
     turns = _conversations(spark, sf)
     item = F.concat(
         F.lit('<li><div><div role="article" data-commentid="'), "conv_id", F.lit("c"), "turn", F.lit('"><div><a href="/user/'),
@@ -719,7 +719,7 @@ def _group_pages(spark, sf) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("turn") > 0, F.struct("turn", item.alias("item"))))).alias("items"),
     )
     html = F.concat(
-        F.lit("<html><body><div>"), "post", F.lit("<ul>"), F.array_join(F.transform("items", lambda i: i["item"]), ""),
+        F.lit('<html><body><ul class="menu"><li><a href="/">Home</a></li></ul><div>'), "post", F.lit("<ul>"), F.array_join(F.transform("items", lambda i: i["item"]), ""),
         F.lit('</ul></div><div>Site Admin <a href="/user/0"><span>Suggested</span></a></div></body></html>'),
     )
     return lists.select(

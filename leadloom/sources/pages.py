@@ -220,10 +220,10 @@ def comments_from_pages(pages: DataFrame, keep: Sequence[str] = ("page_id",), ht
 def group_page(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Posts and comments of pages that show one post each with its comments: what the posts-and-comments job takes.
 
-    The post is the page's first outermost element with the article role that lies in no list; the comments of the page
-    are its own. Needs ``page_id``, ``url``, ``html`` and ``captured_at``; pages without a post give nothing.
+    The post is the page's first outermost element with the article role that lies in no list; lists of comments inside it
+    are no part of it, other lists are. The comments of the page are its own. Needs ``page_id``, ``url``, ``html`` and ``captured_at``; pages without a post give nothing.
     """
-    html = F.regexp_replace(hx.without_invisible(F.col("html")), r"(?is)<ul\b.*</ul\s*>", " ")
+    html = hx.without_comment_lists(hx.without_invisible(F.col("html")))
     first = F.get(hx.balanced_blocks(html, "div", hx.ARTICLE_ROLE, top_only=True), F.lit(0))
     blocks = pages.select("page_id", "url", "captured_at", first.alias("html")).filter(F.col("html").isNotNull())
     posts = post_fields(blocks, url_col="url").select(

@@ -197,3 +197,19 @@ def test_freshness(spark):
     rows = df.select(times.age_days(F.col("t"), now), times.is_fresh(F.col("t"), now, 30)).collect()
     assert (rows[0][0], rows[0][1]) == (10.5, True)
     assert rows[1][0] is None and not rows[1][1] and rows[2][0] is None
+
+
+def test_lists_beside_and_inside_the_post(spark):
+    menu = '<ul class="menu"><li><a href="/">Home</a></li><li><a href="/g">Groups</a></li></ul>'
+    comment = '<li><div role="article" data-commentid="{0}"><a href="/user/2"><span>Bob</span></a><div dir="auto">said {0}</div>{1}</div></li>'
+    said = "<ul>" + comment.format("c1", "<UL>" + comment.format("c2", "") + "</UL >") + "</ul>"
+    post = '<div role="article"><h2><strong>Ann</strong></h2><div data-ad-preview="message"><div>To sell<ul><li>two machines</li></ul> in Sfax</div></div>{}</div>'
+    shapes = [menu + post.format("") + said + menu, menu + post.format(said), "<ul>" + post.format("") + said, said + menu + post.format("")]
+    df = spark.createDataFrame(list(enumerate(shapes)), "page_id long, html string").select(
+        "*", F.lit("https://www.facebook.com/groups/1/posts/42").alias("url"), F.lit("2025-01-20 12:00:00").cast("timestamp").alias("captured_at")
+    )
+    posts, comments = pg.group_page(df)
+    got = {r["post_ref"]: (r["author"], r["text"], r["post_fb_id"]) for r in posts.collect()}
+    assert got == {str(i): ("Ann", "To sell two machines in Sfax", "42") for i in range(4)}
+    assert sorted((r["post_ref"], r["comment_id"]) for r in comments.collect()) == [(str(i), c) for i in range(4) for c in ("c1", "c2")]
+    assert one(spark, hx.without_comment_lists, None) is None and one(spark, hx.without_comment_lists, "<ul><li>a</ul>b") == "<ul><li>a</ul>b"
