@@ -2,15 +2,16 @@
 
 A document's shingles are its runs of five words, labelled with their occurrence number so that repeats count. Each of
 ``BANDS`` sketches takes the ``TAKE`` shingles with the smallest hashes and keeps them in text order, so two documents
-share a sketch if they share those shingles in that order. Documents with a common sketch are candidates; a banded
-alignment of their words verifies them: the aligned share of the longer text has to reach the similarity.
+share a sketch if they share those shingles in that order; short texts have ``SHORT_BANDS`` of single shingles besides.
+Documents with a common sketch are candidates; a banded alignment of their words verifies them: the aligned share of the
+longer text has to reach the similarity.
 
 Texts with the same words are one class from the start. Within a bucket all candidates are compared with the smallest
-id, not with each other; those that are not similar to it go on: in a small rest with each other; the documents of large
-rests (a passage that very many share) in buckets of longer sketches over single words, which similar texts share and
-texts with no more than a passage in common hardly ever; and what is still too many meets one leader after the other. That
-ends when no bucket has a rest, so no candidate is left out and no large group is expanded into its pairs. Classes are
-the connected components of the links.
+id. Those that are not similar to it, the rest, are compared with all other members, also with those that are similar to
+it: a link may lead from there to the rest. Where that is too many pairs (a passage that very many share), all members
+go on in buckets of longer sketches over single words, which similar texts share and texts with no more than a passage
+in common hardly ever; there the rest is compared with all members, however many. Classes are the connected components
+of the links.
 """
 
 from __future__ import annotations
@@ -30,14 +31,21 @@ from leadloom.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, TAKE = 32, 2
-#: Sketches over single words, for the documents of large rests.
-WORD_BANDS, WORD_TAKE = 48, 7
-#: Rests of a bucket, and of one over single words, up to these sizes are compared pairwise.
-SMALL, SMALL_FINER = 24, 512
+#: Texts of fewer words are alike only if equal.
+LEAST_WORDS = 6
+#: Sketches of one shingle, for texts of up to SHORT words and those that may be similar to them.
+SHORT, SHORT_BANDS = 20, 32
+#: Sketches over single words, for the documents of large buckets; short texts take fewer words.
+WORD_BANDS, WORD_TAKE, SHORT_TAKE = 48, 7, 5
+#: A bucket's rest meets its members up to the square of this many pairs; beyond that by way of words.
+SMALL = 24
+#: Over single words, rests meet the members of their bucket in blocks of so many.
+SMALL_FINER = 512
 _BYTES = 4 << 20
 _rng = np.random.default_rng(5)
-_MIX = _rng.integers(1, 1 << 63, BANDS + WORD_BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
-_SEEDS = _rng.integers(1, 1 << 63, BANDS + WORD_BANDS, np.uint64)
+_ALL = BANDS + SHORT_BANDS + WORD_BANDS
+_MIX = _rng.integers(1, 1 << 63, _ALL, np.uint64) * np.uint64(2) + np.uint64(1)
+_SEEDS = _rng.integers(1, 1 << 63, _ALL, np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,6 +92,26 @@ def sketches(values: np.ndarray, bands: range = range(BANDS), take: int = TAKE)
     return np.concatenate(out).astype(np.int64)
 
 
+def text_keys(words: np.ndarray) -> np.ndarray:
+    """The sketches by which a text's candidates are found."""
+    if len(words) < LEAST_WORDS:
+        return np.zeros(0, np.int64)
+    values = shingles(words)
+    keys = sketches(values)
+    if len(words) * SIMILARITY <= SHORT:
+        keys = np.concatenate([keys, sketches(values, range(BANDS, BANDS + SHORT_BANDS), 1)])
+    return keys
+
+
+def word_keys(words: np.ndarray) -> np.ndarray:
+    """The sketches over single words; texts around ``SHORT`` words have both kinds, so that similar ones share a kind."""
+    bands = range(BANDS + SHORT_BANDS, _ALL)
+    keys = [sketches(words, bands, WORD_TAKE)] if len(words) > SHORT else []
+    if len(words) * SIMILARITY <= SHORT:
+        keys.append(sketches(words, bands, SHORT_TAKE))
+    return np.concatenate(keys)
+
+
 def aligned(a: Sequence[int], b: Sequence[int], width: int) -> int:
     """Length of the longest common subsequence whose partners are at most ``width`` places apart.
 
@@ -139,14 +167,13 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(whole, 1, _BYTES):
             words, _, _, at = word_runs(batch.column(1))
             digests, sizes, keys = [], [], []
-            none = np.zeros(0, np.int64)
             offsets, data = text_bytes(batch.column(1))
             for i in range(batch.num_rows):
                 own = words[at[i] : at[i + 1]]
                 content = own.tobytes() if len(own) else b"text:" + data[offsets[i] : offsets[i + 1]].tobytes()
                 digests.append(hashlib.blake2b(content, digest_size=16).digest())
                 sizes.append(len(own))
-                keys.append(sketches(shingles(own)) if len(own) else none)
+                keys.append(text_keys(own))
             columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "keys"])
 
@@ -156,8 +183,8 @@ def _word_sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for whole in batches:
         for batch in by_size(whole, 2, _BYTES):
             words, _, _, at = word_runs(batch.column(2))
-            own = [sketches(words[i:j], range(BANDS, BANDS + WORD_BANDS), WORD_TAKE) for i, j in zip(at[:-1], at[1:])]
-            row = pa.array(np.repeat(np.arange(batch.num_rows), WORD_BANDS))
+            own = [word_keys(words[i:j]) for i, j in zip(at[:-1], at[1:])]
+            row = pa.array(np.repeat(np.arange(batch.num_rows), [len(k) for k in own]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(own))], names=["doc", "n", "key"]
             )
@@ -182,41 +209,55 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return keep(met.mapInArrow(lambda batches: _verified(batches, least), "a bigint, b bigint, similar boolean"), "verified")
 
 
+def _meet_leaders(bands: DataFrame, tested: DataFrame | None, texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pairs tested so far and now, each bucket's members but its leader with whether they are similar to it, and the
+    sizes (``r``, ``m``) of rests and members of the buckets where a rest has someone to meet."""
+    leaders = bands.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1")
+    leaders = keep(leaders.select("key", F.col("lead.doc").alias("a"), F.col("lead.n").alias("lead_n")), "leaders")
+    members = bands.join(leaders, "key").where("doc <> a")
+    close = F.least("n", "lead_n") >= least * F.greatest("n", "lead_n")
+    members = keep(members.select("key", "doc", "n", "a", close.alias("close")), "members")
+    pairs = members.where("close").select("a", F.col("doc").alias("b")).distinct()
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    told = _verify(pairs, texts, least)
+    tested = told if tested is None else tested.unionByName(told)
+    met = members.join(tested.select("a", F.col("b").alias("doc"), "similar"), ["a", "doc"], "left")
+    met = keep(met.select("key", "doc", "n", (~F.coalesce("similar", F.lit(False))).alias("rest")), "met")
+    sizes = met.groupBy("key").agg(F.count_if("rest").alias("r"), F.count("*").alias("m")).where("r > 0 and m > 1")
+    return tested, met, keep(sizes, "rest-sizes")
+
+
+def _rest_pairs(met: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """``a, b`` (a < b): each rest member of these buckets with each other member that its length allows."""
+    blocks = F.ceil(F.col("r") / SMALL_FINER).cast("int")
+    sized = met.join(sizes.select("key", blocks.alias("blocks")), "key")
+    rest = sized.where("rest").select("key", F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("block"), F.col("doc").alias("c"), F.col("n").alias("n_c"))
+    others = sized.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc", "n", "rest")
+    near = F.least("n", "n_c") >= least * F.greatest("n", "n_c")
+    # Two of the rest meet once.
+    once = (F.col("doc") > F.col("c")) | ~F.col("rest")
+    pairs = rest.join(others, ["key", "block"]).where(near & once)
+    return pairs.select(F.least("c", "doc").alias("a"), F.greatest("c", "doc").alias("b")).distinct()
+
+
 def similar_links(documents: DataFrame, reps: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``a, b``: links that join all similar candidates among ``reps`` (rep, n, keys), directly or by way of others."""
+    """``a, b``: links that join all similar candidates among ``reps`` (rep, n, keys), directly or by way of others.
+
+    Candidates share a key; those that share only keys of large buckets have to share a sketch over words, too.
+    """
     texts = documents.select("doc_id", whole_text().alias("text"))
     bands = reps.where(F.size("keys") > 0).select(F.col("rep").alias("doc"), "n", F.explode("keys").alias("key"))
-    tested, rounds = None, 0
-    while True:
-        leaders = bands.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1")
-        leaders = keep(leaders.select("key", F.col("lead.doc").alias("a"), F.col("lead.n").alias("lead_n")), "leaders")
-        members = bands.join(leaders, "key").where("doc <> a")
-        close = F.least("n", "lead_n") >= least * F.greatest("n", "lead_n")
-        members = keep(members.select("key", "doc", "n", "a", close.alias("close")), "members")
-        pairs = members.where("close").select("a", F.col("doc").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        told = _verify(pairs, texts, least)
-        tested = told if tested is None else tested.unionByName(told)
-        rest = members.join(tested.select("a", F.col("b").alias("doc"), "similar"), ["a", "doc"], "left")
-        rest = keep(rest.where("not coalesce(similar, false)").select("key", "doc", "n"), "rest")
-        counts = keep(rest.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "rest-sizes")
-        largest = counts.agg(F.max("m")).first()[0]
-        if largest is None:
-            break
-        most = SMALL_FINER if rounds else SMALL
-        small = rest.join(counts.where(F.col("m") <= most), "key")
-        other = small.select("key", F.col("doc").alias("b"), F.col("n").alias("n_b"))
-        near = F.least("n", "n_b") >= least * F.greatest("n", "n_b")
-        pairs = small.join(other, "key").where((F.col("doc") < F.col("b")) & near).select(F.col("doc").alias("a"), "b").distinct()
-        tested = tested.unionByName(_verify(pairs.join(tested, ["a", "b"], "left_anti"), texts, least))
-        if largest <= most:
-            break
-        large = rest.join(counts.where(F.col("m") > most).select("key"), "key")
-        if rounds == 0:
-            rows = keep(large.select("doc", "n").distinct(), "large-rests").join(texts, F.col("doc") == F.col("doc_id"))
-            large = rows.select("doc", "n", "text").mapInArrow(_word_sketch_rows, "doc bigint, n int, key bigint")
-        bands, rounds = keep(large.select("doc", "n", "key"), "finer"), rounds + 1
+    tested, met, sizes = _meet_leaders(bands, None, texts, least)
+    is_small = F.col("r") * F.col("m") <= SMALL * SMALL
+    pairs = _rest_pairs(met, sizes.where(is_small), least)
+    tested = tested.unionByName(_verify(pairs.join(tested, ["a", "b"], "left_anti"), texts, least))
+    large = keep(met.join(sizes.where(~is_small).select("key"), "key").select("doc", "n").distinct(), "large-buckets")
+    rows = large.join(texts, F.col("doc") == F.col("doc_id")).select("doc", "n", "text")
+    bands = keep(rows.mapInArrow(_word_sketch_rows, "doc bigint, n int, key bigint"), "finer")
+    tested, met, sizes = _meet_leaders(bands, tested, texts, least)
+    pairs = _rest_pairs(met, sizes, least)
+    tested = tested.unionByName(_verify(pairs.join(tested, ["a", "b"], "left_anti"), texts, least))
     return tested.where("similar").select("a", "b")
 
 

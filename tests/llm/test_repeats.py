@@ -147,6 +147,24 @@ def test_large_rests_split_and_end(spark, monkeypatch):
     assert sorted(order_minhash.near_duplicates(rows).select("doc_id", "class_id").collect()) == usual
 
 
+def substituted(rng, words, n):
+    places = set(rng.sample(range(len(words)), n))
+    return [f"new{rng.randrange(10**9)}" if i in places else w for i, w in enumerate(words)]
+
+
+def test_links_by_way_of_members_that_are_similar_to_the_leader(spark):
+    """The leader is similar to B, B to C, the leader not to C; all three share their only bucket, with others or alone."""
+    rng = random.Random(13)
+    base = prose(rng, 100)
+    texts = {1: [f"x{i}" if i < 12 else w for i, w in enumerate(base)], 2: base, 3: [f"y{i}" if i >= 85 else w for i, w in enumerate(base)]}
+    texts |= {10 + k: prose(rng, 100) for k in range(40)}
+    rows = frame(spark, [(i, " ".join(w)) for i, w in texts.items()])
+    for ids in ([1, 2, 3], list(texts)):
+        reps = spark.createDataFrame([(i, 100, [7]) for i in ids], "rep long, n int, keys array<long>")
+        links = order_minhash.similar_links(rows, reps).collect()
+        assert sorted((r["a"], r["b"]) for r in links) == [(1, 2), (2, 3)]
+
+
 # ---- passages ---------------------------------------------------------------------
 
 
