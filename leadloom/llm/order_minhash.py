@@ -1,6 +1,6 @@
 """Near-dedup by order MinHash.
 
-A document's shingles are its runs of five words, labelled with their occurrence number so that repeats count. Each of
+A document's shingles are its runs of three words, labelled with their occurrence number so that repeats count. Each of
 ``BANDS`` sketches takes the ``TAKE`` shingles with the smallest hashes and keeps them in text order, so two documents
 share a sketch if they share those shingles in that order; short texts have ``SHORT_BANDS`` of single shingles besides.
 Documents with a common sketch are candidates; a banded alignment of their words verifies them: the aligned share of the
@@ -29,14 +29,14 @@ from leadloom.llm.arrays import by_size, text_bytes, word_runs
 from leadloom.llm.common import keep, whole_text
 from leadloom.llm.components import connected_components
 
-SHINGLE, SIMILARITY = 5, 0.8
-BANDS, TAKE = 32, 2
+SHINGLE, SIMILARITY = 3, 0.8
+BANDS, TAKE = 64, 2
 #: Texts of fewer words are alike only if equal.
 LEAST_WORDS = 6
 #: Sketches of one shingle, for texts of up to SHORT words and those that may be similar to them.
 SHORT, SHORT_BANDS = 20, 32
 #: Sketches over single words, for the documents of large buckets; short texts take fewer words.
-WORD_BANDS, WORD_TAKE, SHORT_TAKE = 48, 7, 5
+WORD_BANDS, WORD_TAKE, SHORT_TAKE = 128, 7, 5
 #: A bucket's rest meets its members up to the square of this many pairs; beyond that by way of words.
 SMALL = 24
 #: Over single words, rests meet the members of their bucket in blocks of so many.
@@ -50,7 +50,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
-    """A hash for each run of five words; a shorter text is one shingle."""
+    """A hash for each run of three words; a shorter text is one shingle."""
     if not len(words):
         return words
     n = max(len(words) - SHINGLE + 1, 1)

@@ -165,6 +165,19 @@ def test_links_by_way_of_members_that_are_similar_to_the_leader(spark):
         assert sorted((r["a"], r["b"]) for r in links) == [(1, 2), (2, 3)]
 
 
+def test_similar_texts_share_a_sketch():
+    """Nearly all pairs at 0.8 to 0.9 meet, by shingles and, in large buckets, by words; also short texts."""
+    rng = random.Random(14)
+    for n, changed in ((150, 30), (150, 24), (150, 15), (60, 12), (40, 8), (24, 4), (12, 2), (7, 1)):
+        shared = Counter()
+        for _ in range(150):
+            words = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            both, _, _, at = order_minhash.word_runs(pa.array([" ".join(words), " ".join(substituted(rng, words, changed))]))
+            for keys in (order_minhash.text_keys, order_minhash.word_keys):
+                shared[keys.__name__] += bool(set(keys(both[: at[1]])) & set(keys(both[at[1] :])))
+        assert min(shared["text_keys"], shared["word_keys"]) >= 145, (n, changed, shared)
+
+
 # ---- passages ---------------------------------------------------------------------
 
 
