@@ -265,6 +265,17 @@ def test_passages_are_found_and_clean_documents_left_alone(spark):
     assert substring_dedup.repeated_passages(rows.limit(0)).count() == 0
 
 
+def test_passages_whose_parts_stand_in_earlier_documents(spark):
+    rng = random.Random(15)
+    passage = prose(rng, 60)
+    docs = [
+        (1, prose(rng, 40) + passage[:30] + prose(rng, 40)), (2, prose(rng, 20) + passage[30:] + prose(rng, 40)),
+        (3, prose(rng, 50) + passage + prose(rng, 30)), (4, prose(rng, 10) + passage + prose(rng, 60)),
+    ]
+    got = substring_dedup.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in docs])).collect()
+    assert [(r["doc_id"], r["source_id"], r["first_word"], r["last_word"], r["source_first"]) for r in got] == [(4, 3, 10, 70, 50)]
+
+
 # ---- suffix dedup -----------------------------------------------------------------
 
 
