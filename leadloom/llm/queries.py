@@ -13,6 +13,7 @@ from leadloom.llm import (
     mixing,
     order_minhash,
     packing,
+    periodic_runs,
     rotated_codes,
     secret_scan,
     substring_dedup,
@@ -104,6 +105,40 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in one of ten documents, picked by its id's hash, the words from a place on repeat a first part."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    code = F.crc32(F.col("doc_id").cast("string"))
+    picked = F.col("w").isNotNull() & (F.size("w") > 0)
+    n, g = F.size("w").cast("bigint"), F.floor(F.col("h") / 10)
+    repeated = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1),
+        lambda i: F.get(F.col("w"), F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")),
+    )
+    rows = docs.select("doc_id", "text", code.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    rows = rows.withColumns({"n": n, "g": g}).withColumn("a", F.when(picked, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    return rows.select("doc_id", F.when(picked, F.concat_ws(" ", repeated)).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_periods(read_documents(spark, sf_dir)))
+    ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    top = found.withColumn("top", F.array_max(ranked))
+    return top.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("top.start")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"),
+        F.floor(F.col("top.length") * 1000 / -F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -116,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
