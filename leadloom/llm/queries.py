@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leadloom.llm import (
     exact_dedup,
     fill_in_middle,
+    language_id,
     mixing,
     order_minhash,
     packing,
@@ -139,6 +140,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.predicted_languages(read_documents(spark, sf_dir))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -152,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLES: dict[str, str] = {
