@@ -3,13 +3,15 @@
 All scalar rules are aggregates with map-side combine, so a key that holds a third of all
 rows shrinks before the shuffle. Lists stay in long form (one row per key and value) until
 a caller asks for arrays. The raw-text fold is sequential per key; keys with many rows are
-cut into bounded chunks that are folded in parallel (see ``fold_raw_text``).
+folded over sorted range partitions that carry one state (see ``fold_over_ranges``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,14 +19,14 @@ from pyspark.sql import types as T
 
 from leadloom import vocab
 from leadloom.functions import text as tx
-from leadloom.operators.ranking import blocks_within_key
+from leadloom.operators.ranking import range_sorted
 from leadloom.session import broadcast_if_few, cut_lineage
 
 LAST_NON_EMPTY = ("phone_raw", "name", "what", "why")
 LAST = ("intent", "intent_confidence", "intent_matched_keywords", "intent_raw_excerpt", "source_group_id")
 LAST_NON_NULL = ("author", "timestamp_unix", "permalink", "reactions_count", "comments_count")
 
-# A key beyond either bound has its texts folded in chunks instead of in one array.
+# A key beyond either bound has its texts folded over range partitions instead of in one array.
 FOLD_ROWS = 4_096
 FOLD_CHARS = 8_000_000
 
@@ -150,7 +152,7 @@ def fold_raw_text(
     * within the bounds: one array per key;
     * larger, but its distinct texts fit under ``cap`` together (copies): nothing is ever cut
       off, so only first occurrences matter, and these are found by a grouping on key and text;
-    * larger still: ordered chunks that fold in parallel, see ``_fold_chunks``.
+    * larger still: sorted range partitions, see ``fold_over_ranges``.
     """
     source = rows.select(key, F.col(seq).alias("__seq"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     sizes = source.groupBy(key).agg(F.count("*").alias("__n"), F.sum(F.length("__text")).alias("__chars"))
@@ -174,16 +176,14 @@ def fold_raw_text(
         )
     room = cut_lineage(room.withColumn("__fits", F.col("__distinct") <= cap))
     copies = firsts.join(room.filter("__fits").select(key), key, "left_semi")
-    rows_per_chunk = F.greatest(
-        F.least(F.lit(max_rows), F.floor(F.lit(max_chars) * F.col("__n") / F.col("__chars"))), F.lit(1)
-    )
-    chunked = room.filter(~F.col("__fits")).select(key, "__n", rows_per_chunk.alias("__per_chunk"))
-    n_chunks = chunked.agg(F.sum(F.ceil(F.col("__n") / F.col("__per_chunk")))).first()[0] or 0
     folded = _fold_arrays(small, key, initial, cap, text).unionByName(_fold_arrays(copies, key, initial, cap, text))
-    if not n_chunks:
+    beyond = room.filter(~F.col("__fits")).select(key)
+    if beyond.isEmpty():
         return folded
-    large = source.join(broadcast_if_few(chunked.drop("__n")), key)
-    return folded.unionByName(_fold_chunks(large, key, initial, cap, text, int(n_chunks)))
+    beyond = broadcast_if_few(beyond)
+    large = source.join(beyond, key, "left_semi")
+    stored = None if initial is None else initial.join(beyond, key, "left_semi")
+    return folded.unionByName(fold_over_ranges(large, key, stored, cap, text)[0])
 
 
 def _ordered_texts() -> Column:
@@ -198,76 +198,138 @@ def _fold_arrays(source: DataFrame, key: str, initial: DataFrame | None, cap: in
     return grouped.select(key, _fold_array(start, F.col("__texts"), cap).alias(text))
 
 
-def _fold_chunks(
-    source: DataFrame, key: str, initial: DataFrame | None, cap: int, text: str, n_chunks: int
-) -> DataFrame:
-    """Fold large keys chunk by chunk, all chunks at once.
+def append_str(existing: str | None, new: str, cap: int) -> str:
+    """``append_text`` on plain strings, for code that runs inside tasks."""
+    if existing is None:
+        return new
+    if existing == "":
+        return new[-cap:]
+    return existing[-cap:] if new in existing else (existing + vocab.RAW_TEXT_SEPARATOR + new)[-cap:]
+
 
-    Each chunk folds from a guessed start and hands its end to the next one; chunks whose
-    start was wrong fold again until no start changes, which is the sequential result. Two
-    things make that quick: a chunk forgets its start once it has taken in ``cap``
-    characters, and the state at a key's first wrong chunk is passed in the same round over
-    all following chunks that hold nothing new for it.
+def _fold_runs(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
+    """One sorted partition to one row per key: ``key, __part, __first, __end``; memory is one text and one state.
+
+    A key that began in an earlier partition folds from an empty text for now.
     """
-    blocks = blocks_within_key(source, [key], ["__seq"], F.col("__per_chunk"), n_chunks)
-    chunks = blocks.groupBy(key, "__block").agg(_ordered_texts().alias("__texts"))
-    # One slim row per chunk: its place among the key's chunks.
-    places = chunks.select(key, "__block", F.row_number().over(W.partitionBy(key).orderBy("__block")).alias("__no"))
-    chunks = cut_lineage(chunks.join(places, [key, "__block"]).drop("__block"))
-    at = [key, "__no"]
-    n = min(n_chunks, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def fanned_out(joined: DataFrame) -> DataFrame:
-        # Folding costs much CPU for few bytes; sized by bytes alone, it would end up in few tasks.
-        return joined.repartition(n, *at)
-
-    first = chunks.filter(F.col("__no") == 1).select(*at)
-    if initial is None:
-        fixed = first.withColumn("__start", F.lit(None).cast("string"))
-    else:
-        fixed = first.join(initial, key, "left").select(*at, F.col("__initial").alias("__start"))
-    guessed = chunks.filter(F.col("__no") > 1).select(*at, F.lit("").alias("__start"))
-    folded = cut_lineage(
-        fanned_out(chunks.join(fixed.unionByName(guessed), at)).select(
-            *at, "__start", _fold_array(F.col("__start"), F.col("__texts"), cap).alias("__end")
+    key = part = state = None
+    first = started = False
+    for batch in batches:
+        done = []
+        for k, p, row, text, stored, continued in zip(*(c.to_pylist() for c in batch.columns)):
+            if not started or k != key:
+                if started:
+                    done.append((key, part, first, state))
+                key, part, first, started = k, p, row == 0, True
+                state = "" if continued else None
+            state = text if stored else append_str(state, text, cap)
+        if done:
+            yield _run_rows(done, batch.schema.field(0).type)
+        key_type = batch.schema.field(0).type
+    if started:
+        yield _run_rows([(key, part, first, state)], key_type)
+
+
+def _run_rows(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
+    kinds = (key_type, pa.int64(), pa.bool_(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["key", "part", "first", "end"])
+
+
+def _refold_run(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
+    """The first key of one partition, folded from its right start beside the former one: ``__part, __met, __end``.
+
+    Where both states meet, the rest is known: the former end holds (``__met``) and no later row is folded.
+    """
+    part = old = new = None
+    met = started = False
+    for batch in batches:
+        if met:
+            continue
+        for p, text, former, given, begins in zip(*(c.to_pylist() for c in batch.columns)):
+            if begins:
+                part, old, new, started = p, former, given, True
+            old, new = append_str(old, text, cap), append_str(new, text, cap)
+            if old == new:
+                met = True
+                break
+    if started:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int64()), pa.array([met]), pa.array([None if met else new], pa.string())],
+            names=["part", "met", "end"],
+        )
+
+
+def fold_over_ranges(
+    source: DataFrame, key: str, stored: DataFrame | None, cap: int, text: str
+) -> tuple[DataFrame, int]:
+    """Fold keys of any size: ``key, raw_text``, and the number of rounds after the first.
+
+    ``source``: key, ``__seq``, ``__text``; ``stored``: key, ``__initial``. The rows are range-partitioned and sorted once. Each
+    partition is folded as a stream that carries one state, and only its first key may go on from the partition before.
+    Such a run folds from a guess, then takes the end of the run before it; runs whose start was wrong fold again, side by
+    side with their former fold, and stop where the two states meet. A state forgets its start after ``cap`` characters of
+    new text, so that is soon. Each round settles at least one more partition of each key, so there are at most as many
+    rounds as partitions, however many rows a key has. Between rounds only one row a partition is moved.
+    """
+    rows = source.select(key, F.lit(False).alias("__stored"), "__seq", "__text")
+    if stored is not None:
+        first = stored.dropna(subset=["__initial"]).select(key, F.lit(True).alias("__stored"), F.col("__initial").alias("__text"))
+        rows = first.unionByName(rows, allowMissingColumns=True)
+    placed = range_sorted(rows.select(key, "__stored", "__seq", "__text"), [key], [F.desc("__stored"), "__seq"])
+    # One row a partition: at most spark.sql.shuffle.partitions, so these tables are small enough for broadcasts.
+    edges = placed.groupBy("__part").agg(
+        F.min_by(key, "__row").alias("__first_key"), F.max_by(key, "__row").alias("__last_key")
+    )
+    before = W.orderBy("__part")
+    edges = edges.withColumns({"__before": F.lag("__part").over(before), "__goes_on": F.lag("__last_key").over(before)})
+    edges = cut_lineage(edges.withColumn("__goes_on", F.col("__before").isNotNull() & F.col("__goes_on").eqNullSafe(F.col("__first_key"))))
+    goes_on = edges.filter("__goes_on").select("__part", F.lit(0).cast("bigint").alias("__row"), F.lit(True).alias("__on"))
+    marked = placed.join(F.broadcast(goes_on), ["__part", "__row"], "left")
+    key_type = source.schema[key].dataType.simpleString()
+    runs = cut_lineage(
+        marked.select(key, F.col("__part").cast("bigint"), "__row", "__text", "__stored", F.coalesce("__on", F.lit(False))).mapInArrow(
+            partial(_fold_runs, cap=cap), f"`{key}` {key_type}, __part bigint, __first boolean, __end string"
         )
     )
+    # What a partition takes in and hands on: the end of its first run, and that of its last one.
+    first_ends = runs.filter("__first").select("__part", F.col("__end").alias("__first_end"))
+    last_ends = runs.join(F.broadcast(edges.select("__part", F.col("__last_key").alias(key))), ["__part", key], "left_semi")
+    known = cut_lineage(
+        edges.join(first_ends, "__part")
+        .join(last_ends.select("__part", F.col("__end").alias("__last_end")), "__part")
+        .withColumns({"__start": F.lit(""), "__one": F.col("__first_key").eqNullSafe(F.col("__last_key"))})
+    )
+    rounds = 0
     while True:
-        handed = folded.select(key, (F.col("__no") + 1).alias("__no"), F.col("__end").alias("__given"))
-        given = folded.filter(F.col("__no") > 1).join(handed, at).select(*at, "__start", "__given")
-        wrong = cut_lineage(given.filter(F.col("__start") != F.col("__given")).select(*at, "__given"))
-        if wrong.isEmpty():
-            return folded.groupBy(key).agg(F.max_by("__end", "__no").alias(text))
-        frontier = wrong.groupBy(key).agg(
-            F.min("__no").alias("__from"), F.min_by("__given", "__no").alias("__sure")
-        )
-        news = F.exists("__texts", lambda t: ~F.contains(F.col("__sure"), t))
-        stops = (
-            chunks.join(frontier, key)
-            .filter((F.col("__no") >= F.col("__from")) & news)
-            .groupBy(key)
-            .agg(F.min("__no").alias("__stop"))
+        handed = known.select(F.col("__part").alias("__before"), F.col("__last_end").alias("__given"))
+        wrong = cut_lineage(
+            known.filter("__goes_on").join(handed, "__before").filter("__given <> __start").select("__part", "__first_key", "__start", "__given")
         )
-        frontier = frontier.join(stops, key, "left")
-        passed = (F.col("__no") >= F.col("__from")) & (
-            F.col("__stop").isNull() | (F.col("__no") <= F.col("__stop"))
-        )
-        starts = (
-            given.join(frontier, key)
-            .withColumn("__next", F.when(passed, F.col("__sure")).otherwise(F.col("__given")))
-            .filter(F.col("__next") != F.col("__start"))
-            .select(*at, "__next")
-        )
-        again = fanned_out(chunks.join(starts, at)).select(
-            *at, "__next", _fold_array(F.col("__next"), F.col("__texts"), cap).alias("__again")
-        )
-        folded = cut_lineage(
-            folded.join(again, at, "left").select(
-                *at,
-                F.coalesce("__next", "__start").alias("__start"),
-                F.coalesce("__again", "__end").alias("__end"),
-            )
+        if wrong.isEmpty():
+            break
+        rounds += 1
+        starts = wrong.select("__part", F.lit(0).cast("bigint").alias("__row"), "__start", "__given", F.lit(True).alias("__begins"))
+        again = (
+            placed.join(F.broadcast(wrong.select("__part", F.col("__first_key").alias(key))), ["__part", key], "left_semi")
+            .join(F.broadcast(starts), ["__part", "__row"], "left")
+            .select(F.col("__part").cast("bigint"), "__text", "__start", "__given", F.coalesce("__begins", F.lit(False)))
+            .mapInArrow(partial(_refold_run, cap=cap), "__part bigint, __met boolean, __new string")
         )
+        given = wrong.select("__part", "__given")
+        known = cut_lineage(
+            known.join(again, "__part", "left").join(given, "__part", "left").withColumn("__first_end", F.coalesce("__new", "__first_end"))
+            .withColumns({"__start": F.coalesce("__given", "__start"), "__last_end": F.when(F.col("__one"), F.col("__first_end")).otherwise(F.col("__last_end"))})
+            .select(*known.columns)
+        )
+    # A run that goes on in the next partition isn't its key's last one.
+    unfinished = known.filter("__goes_on").select(F.col("__before").alias("__part"), F.col("__first_key").alias(key))
+    settled = known.select("__part", F.col("__first_key").alias(key), "__first_end")
+    ends = (
+        runs.join(F.broadcast(unfinished), ["__part", key], "left_anti")
+        .join(F.broadcast(settled), ["__part", key], "left")
+        .select(key, F.coalesce("__first_end", "__end").alias(text))
+    )
+    return ends, rounds
 
 
 # ---- leads ------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from leadloom.session import cut_lineage
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
-def _range_sorted(
+def range_sorted(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], partitions: int | None = None
 ) -> DataFrame:
     """Range-partitioned and sorted by key and order; a hot key spans several partitions.
@@ -42,7 +42,7 @@ def rank_within_key(
     plus the lengths of the key's earlier runs; those runs are one slim row per key and
     partition.
     """
-    placed = _range_sorted(df, keys, order)
+    placed = range_sorted(df, keys, order)
     runs = placed.groupBy(*keys, "__part").agg(F.count("*").alias("__n"), F.min("__row").alias("__from"))
     before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     runs = runs.select(
@@ -68,6 +68,6 @@ def blocks_within_key(
     Blocks sort like the rows they hold; a block never spans two partitions, so ``partitions``
     should not be more than there are blocks.
     """
-    placed = _range_sorted(df, keys, order, partitions)
+    placed = range_sorted(df, keys, order, partitions)
     block = F.struct(F.col("__part"), F.floor(F.col("__row") / rows_per_block).alias("__piece"))
     return placed.withColumn("__block", block).select(*df.columns, "__block")

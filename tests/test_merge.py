@@ -49,6 +49,51 @@ def test_raw_text_fold_equals_sequential(spark, with_state):
     assert got == {k: model_fold(ts, start.get(k), cap) for k, ts in per_key.items()}
 
 
+def rounds_of(spark, texts, cap, parts, start=None):
+    """Fold one key over ``parts`` range partitions; its text and the number of rounds."""
+    rows = spark.createDataFrame([("k", i, t) for i, t in enumerate(texts)], "k string, __seq int, __text string")
+    stored = None if start is None else spark.createDataFrame([("k", start)], "k string, __initial string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        ends, rounds = merge.fold_over_ranges(rows, "k", stored, cap, "raw_text")
+        found = ends.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found) == 1
+    return found[0]["raw_text"], rounds
+
+
+def test_more_rows_do_not_add_rounds(spark):
+    few = [f"text number {i * 7919 % 100_003}" for i in range(400)]
+    many = [f"text number {i * 7919 % 100_003}" for i in range(4_000)]
+    for texts in (few, many):
+        text, rounds = rounds_of(spark, texts, 300, 6)
+        assert text == model_fold(texts, None, 300) and rounds <= 2
+
+
+def test_rounds_stay_within_the_partitions_of_a_key(spark):
+    # Few texts, more than the cap together: whether one is known depends on all before it.
+    rng = random.Random(5)
+    texts = [rng.choice(["aaaa bbbb", "cccc", "dddd eeee f", "gg", "bbbb"]) for _ in range(600)]
+    for start in (None, "old text", ""):
+        text, rounds = rounds_of(spark, texts, 20, 5, start)
+        assert text == model_fold(texts, start, 20) and rounds <= 5
+
+
+def test_many_keys_share_the_partitions(spark):
+    rng = random.Random(6)
+    per_key = {f"k{i:02}": random_texts(rng, rng.randrange(1, 90), "mixed") for i in range(30)}
+    per_key["hot"] = random_texts(rng, 900, "mixed")
+    rows = [(k, i, t) for k, ts in per_key.items() for i, t in enumerate(ts)]
+    rng.shuffle(rows)
+    start = {"k03": "old", "hot": "b", "k04": ""}
+    frame = spark.createDataFrame(rows, "k string, __seq int, __text string")
+    stored = spark.createDataFrame(list(start.items()), "k string, __initial string")
+    got = {r["k"]: r["raw_text"] for r in merge.fold_over_ranges(frame, "k", stored, 50, "raw_text")[0].collect()}
+    assert got == {k: model_fold(ts, start.get(k), 50) for k, ts in per_key.items()}
+
+
 def model_posts(rows):
     """Sequential look-up by id, then by link."""
     by_id, by_link, keys = {}, {}, []
