@@ -1,7 +1,7 @@
 """Field extraction from HTML blocks.
 
-Blocks are cut where their own closing tag stands (``balanced_blocks``), however deep they are nested; what lies in a
-block is found by flat regular expressions.
+Blocks are cut where their own closing tag stands (``markup``), however deep they are nested; what lies in a block is
+found by flat regular expressions.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadloom import vocab
+from leadloom.functions import markup as mk
 from leadloom.functions import text as tx
 
 _INVISIBLE = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
@@ -58,65 +59,14 @@ def decode_entities(text: Column) -> Column:
     return tx.rewrite_matches(text, _ENTITY, decoded)
 
 
-_SPAN = "array<struct<start:bigint,size:bigint>>"
-_MARK = "\x01"
-
-
-def balanced_spans(html: Column, tag: str, wanted: str, *, top_only: bool = False) -> Column:
-    """``array<struct<start,size>>``: places (0-based) and lengths of the elements ``tag`` whose opening tag matches ``wanted``.
-
-    One walk over the tags of that name carries the depth and the wanted elements that are open, so the work is linear in
-    the page. Nested elements are found too, unless ``top_only``; they come in the order of their beginnings. An element
-    that is never closed runs to the end.
-    """
-    names = rf"(?is)(<(?:{tag})(?:\s[^>]*)?>|</(?:{tag})\s*>)"
-    parts = F.split(F.regexp_replace(F.translate(html, _MARK, "\x02"), names, f"{_MARK}$1{_MARK}"), _MARK, -1)
-    open_ = "array<struct<start:bigint,depth:int>>"
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("at"),
-        F.lit(False).alias("is_tag"),
-        F.lit(0).alias("depth"),
-        F.array().cast(open_).alias("open"),
-        F.array().cast(_SPAN).alias("done"),
-    )
-
-    def step(acc: Column, part: Column) -> Column:
-        after = acc["at"] + F.length(part)
-        closes = acc["is_tag"] & part.startswith("</")
-        opens = acc["is_tag"] & ~closes & ~part.endswith("/>")
-        begins = opens & part.rlike(wanted)
-        if top_only:
-            begins = begins & (F.size(acc["open"]) == 0)
-        depth = F.when(opens, acc["depth"] + 1).when(closes, F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
-        newest = F.try_element_at(acc["open"], F.lit(-1))
-        ends = closes & F.coalesce(newest["depth"] == acc["depth"], F.lit(False))
-        grown = F.array_append(acc["open"], F.struct(acc["at"].alias("start"), (acc["depth"] + 1).alias("depth")))
-        span = F.struct(newest["start"].alias("start"), (after - newest["start"]).alias("size"))
-        return F.struct(
-            after.alias("at"),
-            (~acc["is_tag"]).alias("is_tag"),
-            depth.alias("depth"),
-            F.when(begins, grown)
-            .when(ends, F.slice(acc["open"], F.lit(1), F.size(acc["open"]) - 1))
-            .otherwise(acc["open"])
-            .alias("open"),
-            F.when(ends, F.array_append(acc["done"], span)).otherwise(acc["done"]).alias("done"),
-        )
-
-    def finish(acc: Column) -> Column:
-        left = F.transform(acc["open"], lambda o: F.struct(o["start"].alias("start"), (acc["at"] - o["start"]).alias("size")))
-        return F.array_sort(F.concat(acc["done"], left))
-
-    return F.aggregate(parts, start, step, finish)
-
-
-def cut_spans(html: Column, spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.substring(html, (s["start"] + 1).cast("int"), s["size"].cast("int")))
+def balanced_blocks(html: Column, tag: str, wanted: str, *, top_only: bool = False) -> Column:
+    """``array<string>``: the elements ``tag`` whose opening tag matches ``wanted``, see ``markup.elements``."""
 
+    def cut(page: Column) -> Column:
+        found = mk.matching(page, mk.elements(page, tag), wanted)
+        return mk.element_texts(page, mk.outermost(found) if top_only else found)
 
-def balanced_blocks(html: Column, tag: str, wanted: str, *, top_only: bool = False) -> Column:
-    """``array<string>``: those elements, their own tags included."""
-    return tx.let(html, lambda h: cut_spans(h, balanced_spans(h, tag, wanted, top_only=top_only)))
+    return tx.let(mk.markup(html), cut)
 
 
 def element_text(block: Column) -> Column:
@@ -256,18 +206,23 @@ ARTICLE_ROLE = r"(?is)\srole=[\"']article[\"']"
 _PERMALINK_LABEL = r"(?is)<a\b[^>]*\saria-label=\"([^\"]*Comment permalink[^\"]*)\""
 
 
-def comment_spans(html: Column) -> Column:
+def comment_blocks(html: Column) -> Column:
     """Comment elements: labelled ones, and those with the article role that lie in a list item."""
 
-    def in_items(page: Column) -> Column:
-        items = balanced_spans(page, "li", ".", top_only=True)
-        articles = balanced_spans(page, "div", ARTICLE_ROLE)
-        inside = lambda s: lambda i: (i["start"] < s["start"]) & (s["start"] < i["start"] + i["size"])
-        return tx.let(items, lambda its: F.filter(articles, lambda s: F.exists(its, inside(s))))
+    def found(page: Column) -> Column:
+        def both(blocks: Column) -> Column:
+            listed = mk.inside(mk.matching(page, blocks, ARTICLE_ROLE), mk.outermost(mk.elements(page, "li")))
+            return F.sort_array(F.concat(mk.matching(page, blocks, _COMMENT_OPEN), listed))
+
+        once = lambda ss: F.filter(ss, lambda s, i: (i == 0) | (s["first"] != F.get(ss, i - 1)["first"]))
+        return mk.element_texts(page, tx.let(tx.let(mk.elements(page, "div"), both), once))
 
-    listed = F.when(html.rlike(r"(?is)<li\b"), in_items(html)).otherwise(F.array().cast(_SPAN))
-    labelled = F.when(html.rlike(rf"(?is)<div\b[^>]*{_COMMENT_OPEN.removeprefix("(?is)")}"), balanced_spans(html, "div", _COMMENT_OPEN))
-    return F.array_sort(F.array_distinct(F.concat(F.coalesce(labelled, F.array().cast(_SPAN)), listed)))
+    def searched(h: Column) -> Column:
+        labelled = h.rlike(rf"(?is)<div\b[^>]*{_COMMENT_OPEN.removeprefix('(?is)')}")
+        worth = labelled | (h.rlike(r"(?is)<li\b") & h.rlike(rf"(?is)<div\b[^>]*{ARTICLE_ROLE.removeprefix('(?is)')}"))
+        return F.when(worth, tx.let(mk.markup(h), found)).otherwise(F.array().cast("array<string>"))
+
+    return tx.let(html, searched)
 
 
 def without_comment_lists(html: Column) -> Column:
@@ -275,27 +230,20 @@ def without_comment_lists(html: Column) -> Column:
 
     A list that is never closed isn't taken for one.
     """
-    holds = rf"(?is)<div\b[^>]*(?:{ARTICLE_ROLE.removeprefix('(?is)')}|{_COMMENT_OPEN.removeprefix('(?is)')})"
+    holds = rf"(?is)^<div\b[^>]*(?:{ARTICLE_ROLE.removeprefix('(?is)')}|{_COMMENT_OPEN.removeprefix('(?is)')})"
 
     def cut(page: Column) -> Column:
-        text = lambda s: F.substring(page, (s["start"] + 1).cast("int"), s["size"].cast("int"))
-        # Only a list that is never closed reaches the added blank.
-        spans = balanced_spans(F.concat(page, F.lit(" ")), "ul", ".")
-        lists = F.filter(spans, lambda s: (s["start"] + s["size"] <= F.length(page)) & text(s).rlike(holds))
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("kept"))
-
-        def step(acc: Column, s: Column) -> Column:
-            before = F.substring(page, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-            beyond = F.struct((s["start"] + s["size"]).alias("at"), F.array_append(acc["kept"], before).alias("kept"))
-            return F.when(s["start"] >= acc["at"], beyond).otherwise(acc)
+        marks = F.transform(page["tokens"], lambda t: F.when(t.rlike(holds), 1).otherwise(0))
 
-        def finish(acc: Column) -> Column:
-            rest = F.substring(page, (acc["at"] + 1).cast("int"), F.length(page))
-            return F.array_join(F.array_append(acc["kept"], rest), " ")
+        def lists(so_far: Column) -> Column:
+            # A closed list ends with its own closing tag.
+            closed = lambda s: F.get(page["tokens"], s["last"] - 1).rlike(r"(?i)^</ul")
+            some = lambda s: F.get(so_far, s["last"] - 1) > F.get(so_far, s["first"])
+            return mk.outermost(F.filter(mk.elements(page, "ul"), lambda s: some(s) & closed(s)))
 
-        return F.aggregate(lists, start, step, finish)
+        return mk.without_spans(page, tx.let(mk.running_sum(marks), lists))
 
-    return tx.let(html, lambda page: F.when(page.rlike(r"(?is)<ul\b"), cut(page)).otherwise(page))
+    return tx.let(html, lambda h: F.when(h.rlike(r"(?is)<ul\b"), tx.let(mk.markup(h), cut)).otherwise(h))
 
 
 def comment_time_text(block: Column) -> Column:

@@ -55,8 +55,9 @@ MONTHS = (
     "december|dec|décembre|decembre|déc|ديسمبر",
 )
 DATE_FORMATS = ("M d yyyy", "d M yyyy")
-CLOCK_FORMATS = ("", " h:mm a", " H:mm", " H:mm:ss")
-NUMERIC_DATES = ("d/M/yyyy", "d.M.yyyy", "d-M-yyyy")
+# How a text with such a clock time ends, in capitals; no clock time otherwise.
+CLOCK_FORMATS = {" h:mm a": r" \d{1,2}:\d{2} [AP]M$", " H:mm:ss": r" \d{1,2}:\d{2}:\d{2}$", " H:mm": r" \d{1,2}:\d{2}$"}
+NUMERIC_DATES = {"/": "d/M/yyyy", ".": "d.M.yyyy", "-": "d-M-yyyy"}
 
 
 _MONTH_OF = {w: str(i) for i, words in enumerate(MONTHS, 1) for w in words.split("|")}
@@ -143,14 +144,22 @@ def _absolute(shown: Column, base: Column) -> Column:
     )
     iso = F.when(shown.rlike(r"^\d{4}-\d{2}-\d{2}"), F.upper(shown).try_cast("timestamp"))
 
-    def read(text: Column, dates) -> Column:
-        upper = F.upper(text)
-        return F.coalesce(*[F.try_to_timestamp(upper, F.lit(d + c)) for d in dates for c in CLOCK_FORMATS])
+    def read(text: Column, date: str) -> Column:
+        """One parse: the end of the text tells its format."""
 
-    dated = tx.let(
-        with_year, lambda d: F.when(month_first, read(d, DATE_FORMATS[:1])).otherwise(read(d, DATE_FORMATS[1:]))
-    )
-    return F.coalesce(iso, dated, F.when(plain.rlike(r"^\d{1,2}[/.\-]"), read(plain, NUMERIC_DATES)))
+        def by_clock(upper: Column) -> Column:
+            out = F.try_to_timestamp(upper, F.lit(date))
+            for clock, ending in CLOCK_FORMATS.items():
+                out = F.when(upper.rlike(ending), F.try_to_timestamp(upper, F.lit(date + clock))).otherwise(out)
+            return out
+
+        return tx.let(F.upper(text), by_clock)
+
+    dated = tx.let(with_year, lambda d: F.when(month_first, read(d, DATE_FORMATS[0])).otherwise(read(d, DATE_FORMATS[1])))
+    numeric = F.lit(None).cast("timestamp")
+    for mark, date in NUMERIC_DATES.items():
+        numeric = F.when(F.regexp_extract(plain, r"^\d{1,2}([/.\-])", 1) == mark, read(plain, date)).otherwise(numeric)
+    return F.coalesce(iso, dated, numeric)
 
 
 def parse_timestamp(text: Column, captured_at: Column) -> Column:

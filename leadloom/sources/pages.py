@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import vocab
 from leadloom.functions import html as hx
+from leadloom.functions import markup as mk
 from leadloom.functions import text as tx
 from leadloom.functions import times, urls
 
@@ -28,16 +30,23 @@ def post_blocks(html: Column) -> Column:
 
     def pick(clean: Column) -> Column:
         none = F.array().cast("array<string>")
-        kinds = [
-            F.when(clean.rlike(rf"(?is)<{tag}\b[^>]*{wanted.removeprefix("(?is)")}"), hx.balanced_blocks(clean, tag, wanted)).otherwise(none)
-            for tag, wanted in POST_ELEMENTS
-        ]
+        shown = [clean.rlike(rf"(?is)<{tag}\b[^>]*{wanted.removeprefix('(?is)')}") for tag, wanted in POST_ELEMENTS]
+
+        def kinds(page: Column) -> Column:
+            def of_tags(articles: Column, divs: Column) -> Column:
+                found = {"article": articles, "div": divs}
+                blocks = [mk.element_texts(page, mk.matching(page, found[tag], wanted)) for tag, wanted in POST_ELEMENTS]
+                return F.concat(*[F.when(there, block).otherwise(none) for there, block in zip(shown, blocks)])
+
+            return tx.let(mk.elements(page, "div"), lambda divs: of_tags(mk.elements(page, "article"), divs))
+
+        some = F.when(reduce(lambda a, b: a | b, shown), tx.let(mk.markup(clean), kinds)).otherwise(none)
         plain = (
             F.when(clean.rlike(r"(?is)<p\b"), F.regexp_extract_all(clean, F.lit(PARAGRAPH), F.lit(0)))
             .when(clean.rlike(r"(?is)<div\b"), hx.balanced_blocks(clean, "div", "."))
             .otherwise(none)
         )
-        return tx.let(F.concat(*kinds), lambda found: F.when(F.size(found) > 0, found).otherwise(plain))
+        return tx.let(some, lambda found: F.when(F.size(found) > 0, found).otherwise(plain))
 
     return tx.let(hx.without_invisible(html), pick)
 
@@ -54,13 +63,9 @@ def page_posts(html: Column, limit: int | None = None, base: str = vocab.DEFAULT
             block.alias("block"),
         )
 
-    def once(posts: Column) -> Column:
-        texts = F.transform(posts, lambda p: p["text"])
-        return F.filter(posts, lambda p, i: F.array_position(texts, p["text"]) == i + 1)
-
     described_blocks = F.transform(post_blocks(html), described)
     long_enough = F.filter(described_blocks, lambda p: F.length(p["text"]) >= vocab.MIN_POST_CHARS)
-    kept = tx.let(long_enough, once)
+    kept = mk.first_of_equal(long_enough, lambda p: p["text"])
     return kept if limit is None else F.slice(kept, 1, limit)
 
 
@@ -176,30 +181,22 @@ def comments_from_pages(pages: DataFrame, keep: Sequence[str] = ("page_id",), ht
             i.alias("place"),
         )
 
-    def kept(found: Column) -> Column:
-        ids = F.transform(found, lambda c: c["comment_id"])
-        return F.filter(found, lambda c, i: F.array_position(ids, c["comment_id"]) == i + 1)
-
     def nested(found: Column) -> Column:
-        rows = F.array().cast("array<struct<c:struct<comment_id:string,author:string,text:string,time_text:string,is_reply:boolean,place:int>,parent_comment_id:string>>")
-        start = F.struct(F.lit(None).cast("string").alias("last"), rows.alias("rows"))
-
-        def step(acc: Column, c: Column) -> Column:
-            parent = F.when(c["is_reply"], acc["last"])
-            row = F.struct(c.alias("c"), parent.alias("parent_comment_id"))
-            return F.struct(
-                F.when(c["is_reply"], acc["last"]).otherwise(c["comment_id"]).alias("last"),
-                F.array_append(acc["rows"], row).alias("rows"),
-            )
-
-        return F.aggregate(found, start, step, lambda acc: acc["rows"])
+        # The last comment that isn't a reply, up to each place.
+        openers = F.transform(found, lambda c: F.when(~c["is_reply"], c["comment_id"]))
+        return tx.let(
+            mk.last_known(openers),
+            lambda last: F.transform(
+                found, lambda c, i: F.struct(c.alias("c"), F.when(c["is_reply"], F.get(last, i)).alias("parent_comment_id"))
+            ),
+        )
 
-    blocks = hx.cut_spans(F.col(html_col), hx.comment_spans(F.col(html_col)))
     worth = F.filter(
-        F.transform(blocks, described),
+        F.transform(hx.comment_blocks(F.col(html_col)), described),
         lambda c: c["author"].isNotNull() | ((c["text"] != "") & (c["text"] != "N/A")),
     )
-    rows = pages.withColumn("__comments", tx.let(tx.let(worth, kept), nested)).select(
+    kept = mk.first_of_equal(worth, lambda c: c["comment_id"])
+    rows = pages.withColumn("__comments", tx.let(kept, nested)).select(
         *keep, "captured_at", F.posexplode_outer("__comments").alias("comment_no", "__row")
     ).filter(F.col("comment_no").isNotNull())
     posted_at = times.parse_timestamp(F.col("__row.c.time_text"), F.col("captured_at"))

@@ -213,3 +213,43 @@ def test_lists_beside_and_inside_the_post(spark):
     assert got == {str(i): ("Ann", "To sell two machines in Sfax", "42") for i in range(4)}
     assert sorted((r["post_ref"], r["comment_id"]) for r in comments.collect()) == [(str(i), c) for i in range(4) for c in ("c1", "c2")]
     assert one(spark, hx.without_comment_lists, None) is None and one(spark, hx.without_comment_lists, "<ul><li>a</ul>b") == "<ul><li>a</ul>b"
+
+
+def plain_elements(html, tag, wanted):
+    """The same by a stack, one tag at a time."""
+    import re
+
+    open_, done = [], []
+    for m in re.finditer(rf"(?is)<{tag}(?:\s[^>]*)?>|</{tag}\s*>", html):
+        if m[0].startswith("</"):
+            if open_:
+                start, fits = open_.pop()
+                done += [(start, m.end())] if fits else []
+        elif not m[0].endswith("/>"):
+            open_.append((m.start(), bool(re.search(wanted, m[0]))))
+    done += [(start, len(html)) for start, fits in open_ if fits]
+    return [html[a:b] for a, b in sorted(done)]
+
+
+def test_elements_equal_a_stack(spark):
+    import random
+
+    rng = random.Random(1)
+    bits = ["<div>", "<div x>", '<div class="k">', "</div>", "</div >", "<div y/>", "<li>", "</li>", "<ul x>", "</ul>", "text", " é ", "<p>", "\x01", "\x02", "\x02a"]
+    pages = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    html = F.col("html")
+    rows = df.select("i", hx.balanced_blocks(html, "div", ".").alias("all"), hx.balanced_blocks(html, "div", r"\sx").alias("x"), hx.balanced_blocks(html, "li", ".").alias("li")).collect()
+    for r in rows:
+        assert r["all"] == plain_elements(pages[r["i"]], "div", ".")
+        assert r["x"] == plain_elements(pages[r["i"]], "div", r"\sx")
+        assert r["li"] == plain_elements(pages[r["i"]], "li", ".")
+
+
+def test_very_many_comments(spark):
+    item = '<li><div><div role="article" data-commentid="{0}"><a href="/user/2"><span>Bob</span></a><div dir="auto">said {0}</div></div></div></li>'
+    html = "<ul>" + "".join(item.format(i % 19_000) for i in range(20_000)) + "</ul>"
+    rows = pg.comments_from_pages(page(spark, html)).agg(F.count("*"), F.countDistinct("comment_id"), F.max("text")).first()
+    assert tuple(rows) == (19_000, 19_000, "said 9999")
+    posts = "".join(f"<article>post number {i % 15_000} of many</article>" for i in range(20_000))
+    assert pg.posts_from_pages(page(spark, posts)).count() == 15_000
