@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.arrays import by_size, hash_runs, text_bytes
-from leadloom.llm.common import whole_text
+from leadloom.llm.common import keep, whole_text
 
 POSITIVES, UNLABELLED, CALIBRATION = 4_000, 8_000, 8_000
 VOCABULARY = 2_000
@@ -189,10 +189,13 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], labelled: li
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
     words = _vocabulary(positive, unlabelled)
-    p, u = _rows(positive, words), _rows(unlabelled, words)
+    return _trained(words, *(_rows(docs, words) for docs in (positive, unlabelled, labelled)), labels, prior, share)
+
+
+def _trained(words: np.ndarray, p: _Rows, u: _Rows, labelled: _Rows, labels: np.ndarray, prior: float, share: float | None) -> Model:
     w = np.mean([nn_pu(p, u, len(words) + 1, prior, seed) for seed in range(MODELS)], axis=0)
     share = prior if share is None else share
-    slope, shift = _line(_rows(labelled, words).margins(w), labels, share) if labelled else (1.0, 0.0)
+    slope, shift = _line(labelled.margins(w), labels, share) if labelled.n else (1.0, 0.0)
     return Model(words, w[1:], float(w[0]), slope, shift)
 
 
@@ -206,6 +209,47 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
+def _counted_vocabulary(sample: DataFrame, n_p: int, n_u: int) -> np.ndarray:
+    """``_vocabulary`` of a table of documents (role, words): counted on the cluster, ``VOCABULARY`` words come back."""
+    least = min(LEAST_DOCS, max(2, -(-n_p // 20)))
+    counted = sample.where("role < 2").select("role", F.explode("words").alias("word")).groupBy("word").agg(
+        F.count(F.when(F.col("role") == 0, True)).alias("in_p"), F.count(F.when(F.col("role") == 1, True)).alias("in_u")
+    )
+    p, u = (F.col("in_p") + 0.5) / (n_p + 1), (F.col("in_u") + 0.5) / (n_u + 1)
+    both = (F.col("in_p") + F.col("in_u") + 1) / (n_p + n_u + 2)
+    error = F.sqrt(both * (1 - both) * (1 / max(n_p, 1) + 1 / max(n_u, 1)))
+    # Words are unsigned numbers: negative ones come last.
+    order = (F.desc(F.abs(p - u) / F.greatest(error, F.lit(1e-9))), F.col("word") < 0, F.col("word"))
+    best = counted.where(F.col("in_p") >= least).orderBy(*order).limit(VOCABULARY).select("word").toArrow()
+    return np.sort(best.column("word").to_numpy().astype(np.uint64))
+
+
+def _numbered(sample: DataFrame, words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Role and sorted feature numbers (0 is the bias) of each document; two bytes a feature reach the driver."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            at = np.asarray(lists.offsets)
+            values = np.asarray(lists.values).astype(np.uint64)[at[0] : at[-1]]
+            place = np.searchsorted(words, values)
+            place[place == len(words)] = 0
+            met = words[place] == values if len(words) else np.zeros(len(values), bool)
+            ends = np.concatenate([[0], np.cumsum(met)])[at - at[0]]
+            features = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((place[met] + 1).astype(np.int16)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), features], names=["role", "features"])
+
+    rows = sample.mapInArrow(number, "role int, features array<smallint>").toArrow()
+    lists = rows.column("features").combine_chunks()
+    at, values = np.asarray(lists.offsets), np.asarray(lists.values).astype(np.int64)
+    return rows.column("role").to_numpy(), [np.concatenate([[0], np.sort(values[a:b])]) for a, b in zip(at[:-1], at[1:])]
+
+
+def _stacked(docs: list[np.ndarray]) -> _Rows:
+    sizes = [len(d) for d in docs]
+    return _Rows(np.concatenate(docs) if docs else np.zeros(0, np.int64), np.repeat(np.arange(len(docs)), sizes), len(docs))
+
+
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model:
     """A model for ``docs`` (doc_id, text) from ``labels`` (doc_id, toxic) of the rows that are not held out.
 
@@ -220,7 +264,8 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
         return rows.select(F.col("doc_id").alias("__id")).orderBy(order, "__id").limit(n).withColumn("role", F.lit(role))
 
     usable = usable.withColumnRenamed("toxic", "__toxic")
-    order_rows = usable.dropDuplicates(["doc_id"])
+    # An id labelled both ways counts as toxic.
+    order_rows = usable.groupBy("doc_id").agg(F.max("__toxic").alias("__toxic"))
     chosen = (
         first(order_rows.where("__toxic = 1"), POSITIVES, 0)
         .unionByName(first(docs.where(F.col("doc_id").isNotNull()), UNLABELLED, 1))
@@ -228,15 +273,16 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     )
     # At most POSITIVES + UNLABELLED + CALIBRATION ids.
     sample = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    rows = sample.select("role", "text").mapInArrow(_distinct_words, "role int, words array<bigint>").toArrow()
-    roles = rows.column("role").to_numpy()
-    lists = rows.column("words").combine_chunks()
-    values, at = np.asarray(lists.values).astype(np.uint64), np.asarray(lists.offsets)
-    words = [values[a:b] for a, b in zip(at[:-1], at[1:])]
-    by_role = [[words[i] for i in np.flatnonzero(roles == r)] for r in range(3)]
+    sample = keep(sample.select("role", "text").mapInArrow(_distinct_words, "role int, words array<bigint>"), "toxicity-sample")
+    sizes = {r["role"]: r["count"] for r in sample.groupBy("role").count().collect()}
+    if not sizes.get(0) or not sizes.get(1):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
+    words = _counted_vocabulary(sample, sizes[0], sizes[1])
+    roles, numbered = _numbered(sample, words)
+    by_role = [[numbered[i] for i in np.flatnonzero(roles == r)] for r in range(3)]
     known = np.concatenate([np.ones(len(by_role[0])), np.zeros(len(by_role[2]))])
     # The samples are cut at unlike shares; labelled rows enter the line in the share of all labels, or the given prior.
-    return train(by_role[0], by_role[1], by_role[0] + by_role[2], known, prior, share)
+    return _trained(words, _stacked(by_role[0]), _stacked(by_role[1]), _stacked(by_role[0] + by_role[2]), known, prior, share)
 
 
 def score_column(model: Model, text: str | Column = "text") -> Column:
