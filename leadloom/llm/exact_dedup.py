@@ -25,9 +25,12 @@ def normalised(text: str | Column = "text") -> Column:
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """The digests of more than one row, as a table of its own: only so can the join with it split a hot digest."""
+    """The digests of more than one row, as a table of its own: only so can the join with it split a hot digest.
+
+    It grows with the data, so the join is a merge join at every size.
+    """
     counted = rows.groupBy("__digest").agg(F.count("*").alias("__n")).where("__n > 1")
-    return keep(counted.select("__digest", F.lit(True).alias("__again")), "repeated-digests")
+    return keep(counted.select("__digest", F.lit(True).alias("__again")), "repeated-digests").hint("merge")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -51,13 +54,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.min("__id").alias("__id"), F.count("*").alias("__n")
     )
     winners = salted.groupBy("__digest", "__text").agg(F.min("__id").alias("keep_id"), F.sum("__n").alias("group_size"))
-    found = told.join(winners.withColumn("__found", F.lit(True)), ["__digest", "__text"], "left")
-    keep_id = F.when(F.col("__found"), F.col("keep_id")).otherwise(F.col("__id"))
-    return found.select(
+    winners = keep(winners, "winners").hint("merge")
+    copies = candidates.join(winners, ["__digest", "__text"]).select("__id", "keep_id", "group_size", "__digest")
+    alone = told.where(F.col("__text").isNull()).select(
+        "__id", F.col("__id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "__digest"
+    )
+    return copies.unionByName(alone).select(
         F.col("__id").alias(id_col),
-        keep_id.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
-        F.col("__id").eqNullSafe(keep_id).alias("kept"),
+        "keep_id",
+        "group_size",
+        F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("__digest").alias("text_sha256"),
     )
 
@@ -76,11 +82,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.struct(*[F.col(c) for c in columns if c != text_col]).alias("row"),
         F.col(text_col).alias("text"),
     )
-    rows = docs.select(normalised(text_col).alias("__text"), row.alias("__row")).withColumn("__digest", F.sha2(F.col("__text"), 256))
+    rows = docs.select(row.alias("__row"), F.sha2(normalised(text_col), 256).alias("__digest"))
     repeated = _repeated(rows)
     told = keep(
         rows.join(repeated, "__digest", "left").select(
-            "__digest", "__row", F.when(F.col("__again"), F.col("__text")).alias("__text")
+            "__digest", "__row", F.when(F.col("__again"), normalised(F.col("__row.text"))).alias("__text")
         ),
         "drop-copies",
     )
