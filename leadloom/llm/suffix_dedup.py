@@ -368,7 +368,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     named = marked.mapInArrow(lambda b: _anchor_rows(b, True), "piece bigint, doc_id bigint, mark bigint, place bigint")
     held = keep(named.join(shared, "piece"), "shared-anchors")
     lists = held.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(
-        F.array_distinct(F.collect_list(F.struct("piece", "place"))).alias("anchors")
+        F.collect_set(F.struct("piece", "place")).alias("anchors")
     )
     lists = keep(lists, "anchors-of-texts")
     # Texts without a shared piece are done; the others go on with their text.
