@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from leadloom import vocab
+from leadloom.operators.ranking import range_sorted
 
 
 def trailing_activity(
@@ -20,39 +21,56 @@ def trailing_activity(
 ) -> DataFrame:
     """Per event: earlier events of its source in the window, and seconds until a slot is free.
 
-    An event exactly ``seconds`` old still counts; equal times are ordered by id. Time is cut
-    into slices of the window's length and every event also joins the next slice as context,
-    so a busy source spreads over its slices instead of filling one task.
+    An event exactly ``seconds`` old still counts; equal times are ordered by id; events without a time drop out. Each event
+    leaves two rows in one global order by source and time: itself, and the moment its window begins. The events so far at
+    the one less those at the other lie in the window. The order is cut into range partitions, so a source and a window of
+    any size spread over all tasks; counts run within a partition and go on from the sums of the source's earlier ones.
     """
     width = seconds * 1_000_000
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    # The dividend is a multiple of the width, so the quotient is exact.
-    slice_no = ((us - F.pmod(us, F.lit(width))) / F.lit(width)).cast("bigint")
-    marked = events.withColumns({"__us": us, "__home": slice_no}).withColumn(
-        "__slice", F.explode(F.array(F.col("__home"), F.col("__home") + 1))
-    )
-    # Each event also leaves a row at the moment it expires. Walking both kinds in order, the window holds the arrivals
-    # so far less the expiries so far, and its oldest event is the next one to expire: running sums, one pass.
-    moments = F.array(
-        F.struct(F.col("__us").alias("at"), F.lit(0).alias("kind")),
-        F.struct((F.col("__us") + width).alias("at"), F.lit(1).alias("kind")),
+    keyed = events.select(
+        F.col(source).alias("__source"),
+        F.col(event_id).alias("__id"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("__us"),
+        F.struct(*events.columns).alias("__event"),
+        F.monotonically_increasing_id().alias("__key"),
+    ).filter(F.col("__us").isNotNull())
+    moment = F.explode(F.array(*[F.struct((F.col("__us") - back).alias("at"), F.lit(n).alias("n")) for back, n in ((width, 0), (0, 1))]))
+    walked = keyed.withColumn("__moment", moment).select(
+        "__source", "__id", "__key", "__us", F.col("__moment.at").alias("__at"), F.col("__moment.n").alias("__n"),
+        F.when(F.col("__moment.n") == 0, F.col("__event")).alias("__event"),
+    )
+    placed = range_sorted(walked, ["__source"], ["__at", "__n", "__id", "__key"])
+    arrival = F.when(F.col("__n") == 1, F.col("__at"))
+    run = W.partitionBy("__part", "__source")
+    here = placed.withColumns(
+        {
+            "__before": F.coalesce(F.sum("__n").over(run.orderBy("__row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+            "__next": F.last(arrival, ignorenulls=True).over(run.orderBy(F.desc("__row")).rowsBetween(W.unboundedPreceding, 0)),
+        }
     )
-    walked = marked.withColumn("__moment", F.explode(moments))
-    order = ("__moment.at", "__moment.kind", event_id)
-    so_far = W.partitionBy(source, "__slice").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    still_to_come = (
-        W.partitionBy(source, "__slice").orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    # One slim row for each source and partition: what lies before a run, and the first event behind it.
+    runs = placed.groupBy("__source", "__part").agg(F.sum("__n").alias("__sum"), F.min(arrival).alias("__first"))
+    parts = W.partitionBy("__source")
+    runs = runs.select(
+        F.col("__source").alias("__of"),
+        F.col("__part").alias("__in"),
+        F.coalesce(F.sum("__sum").over(parts.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__earlier"),
+        F.last("__first", ignorenulls=True).over(parts.orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1)).alias("__later"),
     )
-    arrives = F.col("__moment.kind") == 0
-    inside = F.sum(F.when(arrives, 1).otherwise(-1)).over(so_far)
-    next_expiry = F.last(F.when(~arrives, F.col("__moment.at")), ignorenulls=True).over(still_to_come)
-    counted = walked.withColumns({"__inside": inside, "__free": next_expiry}).filter(
-        arrives & (F.col("__slice") == F.col("__home"))
+    counted = here.join(runs, F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__part") == F.col("__in")))
+    so_far = F.col("__before") + F.col("__earlier")
+    begins = F.col("__n") == 0
+    both = counted.groupBy("__key").agg(
+        F.max(F.when(~begins, so_far)).alias("__rank"),
+        F.max(F.when(begins, so_far)).alias("__gone"),
+        F.max(F.when(begins, F.coalesce("__next", "__later"))).alias("__oldest"),
+        F.max("__us").alias("__us"),
+        F.first("__event", ignorenulls=True).alias("__event"),
     )
-    earlier = F.col("__inside") - 1
-    wait = F.greatest(F.col("__free") - F.col("__us"), F.lit(0)) / F.lit(1_000_000.0)
-    return counted.select(
-        *events.columns,
+    earlier = F.col("__rank") - F.col("__gone")
+    wait = F.greatest(F.col("__oldest") + width - F.col("__us"), F.lit(0)) / F.lit(1_000_000.0)
+    return both.select(
+        "__event.*",
         earlier.cast("bigint").alias("in_window"),
         F.when(earlier < cap, F.lit(0.0)).otherwise(wait).alias("seconds_to_next_slot"),
     )

@@ -351,6 +351,10 @@ SELECT (SELECT n FROM new) AS inserted, (SELECT count(*) FROM later) - (SELECT n
     "first_comment_wins": """SELECT comment_id, event_id, ts, value FROM (
   SELECT *, row_number() OVER (PARTITION BY comment_id ORDER BY ts, event_id) AS rn FROM (
     SELECT *, CASE WHEN event_type <> 'error' THEN event_type || user_id END AS comment_id FROM events))
+WHERE rn = 1 OR comment_id IS NULL""",
+    "first_comment_stream": """SELECT comment_id, event_id, ts, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY comment_id ORDER BY ts, event_id) AS rn FROM (
+    SELECT *, CASE WHEN event_type <> 'error' THEN event_type || user_id END AS comment_id FROM events))
 WHERE rn = 1 OR comment_id IS NULL""",
     "post_identity": f"""WITH {_POST_ROWS} SELECT o_orderkey, o_orderkey = post_order AS was_inserted, post_order FROM owned""",
     "post_upsert": f"""WITH {_POST_ROWS}

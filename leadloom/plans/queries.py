@@ -21,9 +21,11 @@ from leadloom.functions import times, urls
 from leadloom.operators import activity, labels, merge, posts, reports, threads, validation
 from leadloom.operators.intents import IntentRule, classify_intents
 from leadloom.operators.leads import lead_rows, sightings
+from leadloom.session import shared_path
 from leadloom.sources import pages as pg
 from leadloom.sources import sinks
 from leadloom.sources.tables import read_table, spread
+from leadloom.streaming import merge as streaming
 
 # Rules that reach every branch on the invented prose of ``documents``: several languages, a
 # repeated keyword, the cap of two hits, exclusions, the phone gate and ties.
@@ -405,6 +407,33 @@ def first_comment_wins(spark, sf):
     return merge.first_per_id(rows, "comment_id", "seq").select("comment_id", "event_id", "ts", "value")
 
 
+def first_comment_stream(spark, sf):
+    """The same by a stream that is started and stopped for each quarter of the time; the last one brings the first day's rows late."""
+    rows = _events(spark, sf).select(
+        F.when(F.col("event_type") != "error", F.concat("event_type", F.col("user_id").cast("string"))).alias("comment_id"),
+        "event_id", F.col("ts").cast("timestamp").alias("captured_at"), "value",
+    )
+    seconds = F.unix_timestamp("captured_at")
+    first, last = rows.agg(F.min(seconds), F.max(seconds)).first()
+    folder = shared_path(spark, "comment-stream")
+    if first is None:
+        return rows.withColumnRenamed("captured_at", "ts")
+    step = (last - first) // 4 + 1
+    for i in range(4):
+        part = rows.filter(F.floor((seconds - first) / step) == i)
+        once = merge.first_per_id(part.withColumn("seq", F.struct("captured_at", "event_id")), "comment_id", "seq").drop("seq")
+        if i == 3:
+            late = rows.filter((seconds < first + 86_400) & F.col("comment_id").isNotNull())
+            late = merge.first_per_id(late.join(once.select("comment_id"), "comment_id", "left_anti").select(*rows.columns), "comment_id", "captured_at")
+            once = once.unionByName(late)
+        once.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        kept = streaming.stream_first_comments(stream, "10000 days").writeStream.format("parquet").option("path", f"{folder}/out")
+        kept.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(rows.schema).parquet(f"{folder}/out")
+    return found.select("comment_id", "event_id", F.col("captured_at").alias("ts"), "value")
+
+
 def _post_rows(spark, sf) -> DataFrame:
     """Orders as post rows whose ids and permalinks cross within a customer."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey").cast("string")
@@ -856,7 +885,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         offer_and_need, names, document_phones, phones_by_source, local_phones, foreign_phones, phone_prefix_counts, intent_scores, intent_scores_by_join,
         intent_best, intent_evidence, evidence_json, intents_by_source, documents_with_keyword, short_labels, lead_sightings,
         lead_merge, lead_merge_in_batches, lead_merge_by_stream_batches, export_rows, link_union, link_lists, raw_text_fold, raw_text_fold_hot, merged_leads,
-        upsert_counts, first_comment_wins, post_identity, post_upsert, posts_with_comment_counts,
+        upsert_counts, first_comment_wins, first_comment_stream, post_identity, post_upsert, posts_with_comment_counts,
         all_posts_with_comment_counts, recent_comments, thread_order, comment_parents, comments_per_post,
         thread_totals, report_totals, checked_run_rows, counts_by_intent, total_leads, recent_leads, top_contacts, top_contacts_by_count, recent_runs,
         runs_by_mode, last_runs, evolved_runs, page_posts, paragraph_posts, page_status, url_parts, post_ids,

@@ -159,6 +159,12 @@ def test_trailing_activity(spark):
         assert got[i] == (len(before), 0.0 if len(before) < 3 else max(0.0, before[0] + 60.0 - t))
     dense = spark.range(200_000).select(F.lit("s").alias("source"), F.col("id").alias("event_id"), F.timestamp_micros(F.col("id") * 100).alias("ts"))
     assert activity.trailing_activity(dense, seconds=10).filter("in_window <> least(event_id, 100000)").count() == 0
+    # Rows without a time drop out; those without a source are a source of their own; other columns stay, clashing names too.
+    rows = [(None, 1, 0, "a"), (None, 2, 5, "b"), ("s", 3, None, "c"), ("s", 4, 5, "d"), ("s", 4, 5, "e")]
+    odd = spark.createDataFrame(rows, "source string, event_id long, t long, n string").withColumn("ts", F.timestamp_seconds("t"))
+    found = activity.trailing_activity(odd).select("source", "n", "in_window").collect()
+    assert sorted((r["source"] or "", r["in_window"]) for r in found) == [("", 0), ("", 1), ("s", 0), ("s", 1)]
+    assert sorted(r["n"] for r in found) == ["a", "b", "d", "e"] and activity.trailing_activity(odd.limit(0)).count() == 0
     gap = activity.mean_gap(df).first()
     assert gap["n"] == 8 and gap["mean_gap_seconds"] == pytest.approx(200 / 7)
 
