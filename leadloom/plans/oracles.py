@@ -6,6 +6,7 @@ RE2 has no look-around, so number runs are marked first and their neighbours che
 from __future__ import annotations
 
 from leadloom.functions.phones import ALL_COUNTRIES, foreign_pattern
+from leadloom.sources.keywords import load_keyword_groups
 
 # ---- fixed values: the number shapes and context words of ``vocab``, in RE2 form ----
 _SEP = r"[\s.\-/()]{0,2}"
@@ -31,6 +32,19 @@ def _fold(text: str) -> str:
     return f"replace(strip_accents(lower({text})), 'ß', 'ss')"
 
 
+def _group_hits() -> str:
+    groups = load_keyword_groups().words
+    quoted = lambda word: "'" + word.replace("'", "''") + "'"
+    every = ", ".join(quoted(w) for w in dict.fromkeys(w for words in groups.values() for w in words))
+    counts = [
+        f"SELECT '{name}' AS keyword_group, count(*) FILTER ({' OR '.join(f'contains(f, {_fold(quoted(w))})' for w in words)}) AS n FROM folded"
+        for name, words in groups.items()
+    ]
+    return f"""WITH words AS (SELECT [{every}] AS w),
+folded AS (SELECT {_fold("upper(w[(conv_id * 7 + turn) % len(w) + 1]) || ' ' || left(coalesce(text, ''), 20)")} AS f FROM conversations, words)
+{" UNION ALL ".join(counts)}"""
+
+
 def _phones(source: str, key: str) -> str:
     """CTEs ending in ``phones(key, pos, raw, e164, digits)`` over ``source(key, text)``."""
     return rf"""
@@ -310,6 +324,7 @@ FROM (SELECT doc_id, {_fold("text")} AS f FROM documents)""",
     "short_labels": rf"""SELECT conv_id, turn FROM (SELECT conv_id, turn, trim(regexp_replace({_fold("text")}, '\s+', ' ', 'g')) AS n FROM conversations)
 WHERE length(n) BETWEEN 1 AND 200 AND (contains(n, 'elle') OR contains(n, 'strass') OR regexp_matches(n, '\bth\w+ing\b') OR regexp_matches(n, '\bder?\b'))
   AND NOT (contains(n, 'ment') OR contains(n, 'und '))""",
+    "keyword_group_hits": _group_hits(),
     "lead_sightings": rf"""{_LEAD_ROWS}
 SELECT c_custkey, pos AS phone_pos, raw AS phone_raw, e164 AS phone_normalized, seg AS name,
   'Atelier ' || seg || ', couture.' AS what, {_sentence(_NEED)} AS why,

@@ -24,6 +24,7 @@ from leadloom.operators.leads import lead_rows, sightings
 from leadloom.session import shared_path
 from leadloom.sources import pages as pg
 from leadloom.sources import sinks
+from leadloom.sources.keywords import load_keyword_groups
 from leadloom.sources.tables import read_table, spread
 from leadloom.streaming import merge as streaming
 
@@ -263,6 +264,20 @@ def short_labels(spark, sf):
     )
 
 
+def keyword_group_hits(spark, sf):
+    """Labels by keyword group: each turn's beginning behind a word of the bundled groups, which its number picks."""
+    groups = load_keyword_groups().words
+    every = list(dict.fromkeys(w for words in groups.values() for w in words))
+    number = ((F.col("conv_id") * 7 + F.col("turn")) % len(every) + 1).cast("int")
+    word = F.element_at(F.lit(every), number)
+    rows = _conversations(spark, sf).select(F.concat(F.upper(word), F.lit(" "), F.left(F.coalesce("text", F.lit("")), F.lit(20))).alias("text"))
+    for name, words in groups.items():
+        rows = labels.text_matches(rows, words, out=name)
+    counts = rows.agg(*[F.count(F.when(F.col(name), True)).alias(name) for name in groups])
+    listed = F.array(*[F.struct(F.lit(name).alias("keyword_group"), F.col(name).alias("n")) for name in groups])
+    return counts.select(F.inline(listed))
+
+
 # ---- leads ------------------------------------------------------------------------
 
 
@@ -883,7 +898,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         compact_and_digits, folded_text, masked_text, masked_ids, page_links, ordered_link_list, page_text,
         offer_and_need, names, document_phones, phones_by_source, local_phones, foreign_phones, phone_prefix_counts, intent_scores, intent_scores_by_join,
-        intent_best, intent_evidence, evidence_json, intents_by_source, documents_with_keyword, short_labels, lead_sightings,
+        intent_best, intent_evidence, evidence_json, intents_by_source, documents_with_keyword, short_labels, keyword_group_hits, lead_sightings,
         lead_merge, lead_merge_in_batches, lead_merge_by_stream_batches, export_rows, link_union, link_lists, raw_text_fold, raw_text_fold_hot, merged_leads,
         upsert_counts, first_comment_wins, first_comment_stream, post_identity, post_upsert, posts_with_comment_counts,
         all_posts_with_comment_counts, recent_comments, thread_order, comment_parents, comments_per_post,
