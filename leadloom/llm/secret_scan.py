@@ -49,14 +49,14 @@ N_FEATURES = int(_AT[-1])
 BEGIN, INSIDE, OUTSIDE = range(3)
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) in code points, sorted; an assigned secret's span is its value."""
+def base_spans(text: str, values: bool = False) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) in code points, sorted: whole matches, or of an assignment its value alone."""
     found = []
     low = text.lower()
     if any(hint in low for hint in _ASSIGN_HINTS):
         for m in ASSIGN.finditer(text):
             if m.end(2) - m.start(2) >= ASSIGN_LEAST:
-                found.append((m.start(2), 0, m.end(2)))
+                found.append((m.start(2 if values else 0), 0, m.end()))
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     # A run of 24 or more within the maximal run: the same runs as HEX gives after the length test.
@@ -272,7 +272,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(whole, 0, _BYTES):
             offsets, data = text_bytes(batch.column(0))
             tokens = tokens_of(data, offsets)
-            spans = [base_spans(t) for t in batch.column(0).to_pylist()]
+            spans = [base_spans(t, values=True) for t in batch.column(0).to_pylist()]
             labels = labels_of(tokens, _points(data), offsets, spans)
             features, tags = [], []
             begins = np.flatnonzero(tokens.first)

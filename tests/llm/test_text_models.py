@@ -104,7 +104,7 @@ def plain_base(text):
     found = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
         if len(m[2]) >= 6:
-            found.append((m.start(2), 0, m.end(2)))
+            found.append((m.start(), 0, m.end()))
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
     return sorted(found)
@@ -113,6 +113,8 @@ def plain_base(text):
 def test_base_spans_are_those_of_the_plain_patterns(spark):
     for text in TEXTS:
         assert secret_scan.base_spans(text or "") == plain_base(text)
+    assert secret_scan.base_spans("my token = 'abcdef12'") == [(3, 0, 20)]
+    assert secret_scan.base_spans("my token = 'abcdef12'", values=True) == [(12, 0, 20)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, SECRET, "y"), (3, TEXTS[3], "z")], "doc_id long, text string, spans string")
     got = secret_scan.secret_spans(docs).collect()
     assert len(got) == len(TEXTS) + 2
