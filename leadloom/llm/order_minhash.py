@@ -10,8 +10,8 @@ Texts with the same words are one class from the start. Within a bucket all cand
 id. Those that are not similar to it, the rest, are compared with all other members, also with those that are similar to
 it: a link may lead from there to the rest. Where that is too many pairs (a passage that very many share), all members
 go on in buckets of longer sketches over single words, which similar texts share and texts with no more than a passage
-in common hardly ever; there the rest is compared with all members, however many. Classes are the connected components
-of the links.
+in common hardly ever; there all members meet their leader, then those that no link has brought into one class so far
+meet each other, however many. Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -39,8 +39,6 @@ SHORT, SHORT_BANDS = 20, 32
 WORD_BANDS, WORD_TAKE, SHORT_TAKE = 128, 7, 5
 #: A bucket's rest meets its members up to the square of this many pairs; beyond that by way of words.
 SMALL = 24
-#: Over single words, rests meet the members of their bucket in blocks of so many.
-SMALL_FINER = 512
 _BYTES = 4 << 20
 _rng = np.random.default_rng(5)
 _ALL = BANDS + SHORT_BANDS + WORD_BANDS
@@ -230,17 +228,36 @@ def _meet_leaders(bands: DataFrame, tested: DataFrame | None, texts: DataFrame,
 
 def _rest_pairs(met: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
     """``a, b`` (a < b): each rest member of these buckets with each other member that its length allows."""
-    blocks = F.ceil(F.col("r") / SMALL_FINER).cast("int")
-    sized = met.join(sizes.select("key", blocks.alias("blocks")), "key")
-    rest = sized.where("rest").select("key", F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("block"), F.col("doc").alias("c"), F.col("n").alias("n_c"))
-    others = sized.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc", "n", "rest")
+    sized = met.join(sizes.select("key"), "key")
+    rest = sized.where("rest").select("key", F.col("doc").alias("c"), F.col("n").alias("n_c"))
     near = F.least("n", "n_c") >= least * F.greatest("n", "n_c")
     # Two of the rest meet once.
     once = (F.col("doc") > F.col("c")) | ~F.col("rest")
-    pairs = rest.join(others, ["key", "block"]).where(near & once)
+    pairs = rest.join(sized, "key").where(near & once)
     return pairs.select(F.least("c", "doc").alias("a"), F.greatest("c", "doc").alias("b")).distinct()
 
 
+def _pairs_across_classes(bands: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """``a, b`` (a < b): the pairs of a bucket's members that aren't in one class (node, root) yet, where lengths allow.
+
+    A link within a class joins nothing new, so a bucket of one class makes no pair, however large it is. In the others
+    the classes meet first, as slim rows, then only the members of two unlike ones.
+    """
+    held = bands.join(classes, F.col("doc") == F.col("node"), "left")
+    held = keep(held.select("key", "doc", "n", F.coalesce("root", "doc").alias("class")).distinct(), "class-members")
+    present = held.groupBy("key", "class").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    several = present.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1").select("key")
+    present = keep(present.join(several, "key"), "bucket-classes")
+    one, other = (present.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "low", "high")]) for x in "xy")
+    # The longest of the one has to reach the shortest of the other, both ways.
+    reach = (F.col("high_x") >= least * F.col("low_y")) & (F.col("high_y") >= least * F.col("low_x"))
+    meeting = one.join(other, "key").where((F.col("class_x") < F.col("class_y")) & reach).select("key", "class_x", "class_y")
+    left, right = (held.select("key", F.col("class").alias(f"class_{x}"), F.col("doc").alias(d), F.col("n").alias(f"n_{d}")) for x, d in ("xc", "yd"))
+    near = F.least("n_c", "n_d") >= least * F.greatest("n_c", "n_d")
+    pairs = meeting.join(left, ["key", "class_x"]).join(right, ["key", "class_y"]).where(near)
+    return pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
+
+
 def similar_links(documents: DataFrame, reps: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``a, b``: links that join all similar candidates among ``reps`` (rep, n, keys), directly or by way of others.
 
@@ -255,8 +272,9 @@ def similar_links(documents: DataFrame, reps: DataFrame, least: float = SIMILARI
     large = keep(met.join(sizes.where(~is_small).select("key"), "key").select("doc", "n").distinct(), "large-buckets")
     rows = large.join(texts, F.col("doc") == F.col("doc_id")).select("doc", "n", "text")
     bands = keep(rows.mapInArrow(_word_sketch_rows, "doc bigint, n int, key bigint"), "finer")
-    tested, met, sizes = _meet_leaders(bands, tested, texts, least)
-    pairs = _rest_pairs(met, sizes, least)
+    tested, _, _ = _meet_leaders(bands, tested, texts, least)
+    classes = connected_components(tested.where("similar").select("a", "b"))
+    pairs = _pairs_across_classes(bands, classes, least)
     tested = tested.unionByName(_verify(pairs.join(tested, ["a", "b"], "left_anti"), texts, least))
     return tested.where("similar").select("a", "b")
 

@@ -143,7 +143,6 @@ def test_large_rests_split_and_end(spark, monkeypatch):
     rows = frame(spark, near_docs())
     usual = sorted(order_minhash.near_duplicates(rows).select("doc_id", "class_id").collect())
     monkeypatch.setattr(order_minhash, "SMALL", 2)
-    monkeypatch.setattr(order_minhash, "SMALL_FINER", 2)
     assert sorted(order_minhash.near_duplicates(rows).select("doc_id", "class_id").collect()) == usual
 
 
