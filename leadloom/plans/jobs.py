@@ -1,111 +1,43 @@
 """Whole jobs: pages or posts and comments in, updated tables and a run record out.
 
-A table is a folder of versions, ``{root}/{name}/v=N``. A job reads the newest complete
-version and writes the next one, so a failed or repeated job never leaves half a table.
+A job writes all its tables in one change (``sources.store``): readers see all of it or nothing, and a failed or
+repeated job never leaves half a table. Counts in run records come from the writes themselves.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leadloom import schemas
 from leadloom.operators.intents import IntentRule
 from leadloom.operators.leads import sightings
-from leadloom.operators.merge import distinct_links, first_per_id, merge_leads, upsert_counts
+from leadloom.operators.merge import distinct_links, first_per_id, merge_leads
 from leadloom.operators.posts import merge_posts, resolve_posts
 from leadloom.sources.pages import group_page, posts_from_pages
-from leadloom.sources.sinks import append_runs, export_leads
+from leadloom.sources.sinks import export_leads
+from leadloom.sources.store import Change, Tables
 
 
-@dataclass(frozen=True)
-class Tables:
-    """The state tables under one root folder."""
+def fold_leads(change: Change, found: DataFrame) -> tuple[int, int]:
+    """Fold sightings into the leads and their links, in the buckets they touch; returns (inserted, duplicates).
 
-    spark: SparkSession
-    root: str
-
-    def _folder(self, name: str) -> str:
-        return f"{self.root.rstrip('/')}/{name}"
-
-    def versions(self, name: str) -> list[int]:
-        """Complete versions, oldest first."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._folder(name))
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, "v=*/_SUCCESS")) or []
-        return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found)
-
-    def read(self, name: str, schema: T.StructType, before: int | None = None) -> DataFrame | None:
-        """The newest version (older than ``before``), or None when there is none."""
-        found = [v for v in self.versions(name) if before is None or v < before]
-        if not found:
-            return None
-        return schemas.evolve(self.spark.read.parquet(f"{self._folder(name)}/v={found[-1]}"), schema)
-
-    def write(self, name: str, df: DataFrame, version: int) -> DataFrame:
-        path = f"{self._folder(name)}/v={version}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
-
-    def next_version(self, name: str) -> int:
-        return (self.versions(name) or [-1])[-1] + 1
-
-    def has_folded(self, stream: str, batch: int) -> bool:
-        """Is this batch of this stream part of a complete version of the leads? Versions follow each other."""
-        if not self.versions("lead_batches"):
-            return False
-        ledger = self.spark.read.schema("stream string, batch bigint, v bigint").parquet(self._folder("lead_batches"))
-        tried = ledger.filter((F.col("stream") == stream) & (F.col("batch") == batch)).select("v").collect()
-        newest = max(self.versions("leads"), default=-1)
-        return any(r["v"] <= newest for r in tried)
-
-    def vacuum(self, name: str, keep: int = 2) -> list[int]:
-        """Remove all but the newest ``keep`` complete versions; the ledger of batches is never cleared."""
-        jvm = self.spark.sparkContext._jvm
-        gone = self.versions(name)[: -max(keep, 1)] if name != "lead_batches" else []
-        for version in gone:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self._folder(name)}/v={version}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        return gone
-
-    def runs(self) -> DataFrame:
-        return schemas.evolve(self.spark.read.parquet(self._folder("runs")), schemas.RUNS)
-
-    def add_run(self, **fields) -> None:
-        """Append one run record; it names counts, not data."""
-        one = {f.name: fields.get(f.name) for f in schemas.RUNS.fields}
-        append_runs(self.spark.createDataFrame([tuple(one.values())], schemas.RUNS), self._folder("runs"))
-
-
-def write_leads(
-    tables: Tables, found: DataFrame, version: int, stream: str = "job", batch: int | None = None
-) -> DataFrame:
-    """Write ledger, sightings, links and leads of one version, the leads last; returns the written sightings.
-
-    Every version has its own row in the ledger, so what an interrupted try left there is overwritten.
+    Inserted are the leads that were not there before, duplicates all other sightings. A lead's links are cut by lead and
+    link, so a lead with very many spans all buckets.
     """
-    row = [(stream, version if batch is None else batch)]
-    tables.write("lead_batches", tables.spark.createDataFrame(row, "stream string, batch bigint"), version)
-    found = tables.write("sightings", found, version)
-    known_links = tables.read("lead_links", schemas.LEAD_LINKS, before=version)
-    tables.write("lead_links", schemas.evolve(distinct_links(found, state=known_links), schemas.LEAD_LINKS), version)
-    state = tables.read("leads", schemas.LEADS, before=version)
-    tables.write("leads", schemas.evolve(merge_leads(found, state), schemas.LEADS), version)
-    return found
-
-
-def _update_leads(tables: Tables, found: DataFrame) -> tuple[int, int]:
-    """Bring the lead tables to the next version; returns (inserted, duplicates)."""
-    version = tables.next_version("leads")
-    written = write_leads(tables, found, version)
-    counts = upsert_counts(written, tables.read("leads", schemas.LEADS, before=version)).first()
-    return counts["inserted"], counts["duplicates"]
+    found, seen = change.replace("sightings", found)
+    key, by = ["phone_normalized"], ["phone_normalized", "link"]
+    touched = change.touched(found, *key)
+    state = change.read("leads", schemas.LEADS, touched)
+    known = 0 if state is None else state.count()  # of the file footers
+    inserted = change.replace_buckets("leads", merge_leads(found, state), schemas.LEADS, key, touched) - known
+    touched = change.touched(distinct_links(found), *by)
+    links = distinct_links(found, state=change.read("lead_links", schemas.LEAD_LINKS, touched))
+    change.replace_buckets("lead_links", links, schemas.LEAD_LINKS, by, touched)
+    return inserted, seen["n"] - inserted
 
 
 def _now() -> dt.datetime:
@@ -139,12 +71,13 @@ def ingest_pages(
             "text", "link", F.lit(group_id).alias("source_group_id"), F.col("captured_at").alias("seen_at"),
             F.col("page_id").alias("post_order"), F.col("post_no").alias("comment_order"),
         )
-        shaped = tables.write("page_posts", shaped, tables.next_version("page_posts"))
-        n_posts = shaped.count()
+        change = tables.change()
+        shaped, seen = change.replace("page_posts", shaped)
+        n_posts = seen["n"]
         if n_posts == 0:
             status = "empty_or_markup_changed"
-        version = tables.next_version("leads")
-        inserted, duplicates = _update_leads(tables, sightings(shaped, None, rules, batch_no=version, **options))
+        inserted, duplicates = fold_leads(change, sightings(shaped, None, rules, batch_no=change.version, **options))
+        change.commit()
     except Exception as exc:
         tables.add_run(
             **run, finished_at=_now(), status="parser_error", posts_fetched=0, posts_parsed=0, leads_inserted=0,
@@ -169,28 +102,58 @@ def ingest_posts_and_comments(
     timestamp_unix, is_reply, captured_at.
     """
     started = _now()
-    version = tables.next_version("posts")
+    try:
+        outcome = _change_by_posts_and_comments(tables, posts, comments, rules, group_id, **options)
+    except Exception as exc:
+        _record_group_failure(tables, started, exc)
+        raise
+    tables.add_run(
+        **{k: outcome[k] for k in ("posts_fetched", "posts_parsed", "leads_inserted", "leads_skipped_duplicate")},
+        started_at=started, finished_at=_now(), source_mode="live", status="live_success",
+        posts_requested=outcome["posts_fetched"], source_kind="browser_authenticated",
+    )
+    return outcome
+
+
+def _record_group_failure(tables: Tables, started: dt.datetime, exc: Exception) -> None:
+    tables.add_run(
+        started_at=started, finished_at=_now(), source_mode="live", status="parser_error", posts_fetched=0,
+        posts_parsed=0, leads_inserted=0, leads_skipped_duplicate=0, source_kind="browser_authenticated",
+        error_class=type(exc).__name__, error_detail=str(exc),
+    )
+
+
+def _change_by_posts_and_comments(
+    tables: Tables, posts: DataFrame, comments: DataFrame, rules: Sequence[IntentRule], group_id: str, **options
+) -> dict:
+    """Posts, comments, leads and links in one change; returns its counts."""
+    change = tables.change()
     rows = posts.select(
         "post_ref", "post_order", F.col("post_order").alias("seq"), "post_fb_id", "permalink", "author",
         "author_fb_id", "timestamp_unix", F.col("text").alias("raw_text"),
         F.lit(group_id).alias("source_group_id"), F.lit("browser").alias("source_kind"), "seen_at",
     )
-    rows = tables.write("posts_in", rows, version)
-    known_posts = tables.read("posts", schemas.POSTS)
-    keyed = tables.write("posts_keyed", resolve_posts(rows, state=known_posts), version)
+    rows, seen_posts = change.replace("posts_in", rows)
+    known_posts = change.read("posts", schemas.POSTS)
+    keyed, _ = change.replace("posts_keyed", resolve_posts(rows, state=known_posts))
     merged = merge_posts(rows.drop("post_ref", "post_order"), state=known_posts)
-    tables.write("posts", schemas.evolve(merged, schemas.POSTS), version)
+    change.replace("posts", schemas.evolve(merged, schemas.POSTS))
 
-    said = comments.join(keyed.select("post_ref", "post_key", "post_order", F.col("permalink").alias("link")), "post_ref")
-    said = tables.write("comments_in", said, version)
-    known_comments = tables.read("comments", schemas.COMMENTS)
+    # Comments of a post that is not in the batch are counted, not lost silently.
+    said = comments.join(
+        keyed.select("post_ref", "post_key", "post_order", F.col("permalink").alias("link")), "post_ref", "left"
+    )
+    said, seen_comments = change.replace("comments_in", said, attempts=F.count("post_key"))
+    said = said.filter(F.col("post_key").isNotNull())
+    known_comments = change.read("comments", schemas.COMMENTS)
     order = F.struct("post_order", "comment_order")
     fresh = first_per_id(said.withColumn("__seq", order), "comment_id", "__seq", known_comments)
-    own_key = F.sha2(F.concat_ws("|", "post_key", "comment_order", F.lit(version), "text"), 256)
+    own_key = F.sha2(F.concat_ws("|", "post_key", "comment_order", F.lit(change.version), "text"), 256)
     fresh = fresh.withColumn("comment_key", F.coalesce(F.nullif("comment_id", F.lit("")), own_key))
     fresh = schemas.evolve(fresh, schemas.COMMENTS)
     table = fresh if known_comments is None else known_comments.unionByName(fresh)
-    tables.write("comments", table, version)
+    _, seen_table = change.replace("comments", table)
+    n_before = 0 if known_comments is None else known_comments.count()  # of the file footers
 
     post_texts = rows.select(
         F.col("raw_text").alias("text"), F.col("permalink").alias("link"), "source_group_id", "post_order", "seen_at"
@@ -199,23 +162,15 @@ def ingest_posts_and_comments(
         "text", "link", F.lit(group_id).alias("source_group_id"), "post_order", "comment_order",
         F.col("captured_at").alias("seen_at"), "author", "timestamp_unix", F.col("link").alias("permalink"),
     )
-    lead_version = tables.next_version("leads")
-    inserted, duplicates = _update_leads(tables, sightings(post_texts, comment_texts, rules, batch_no=lead_version, **options))
-
-    n_posts, attempts = rows.count(), said.count()
-    n_before = 0 if known_comments is None else known_comments.count()
-    n_after = tables.read("comments", schemas.COMMENTS).count()
-    outcome = {
-        "posts_fetched": n_posts, "posts_parsed": n_posts,
-        "leads_inserted": inserted, "leads_skipped_duplicate": duplicates,
+    found = sightings(post_texts, comment_texts, rules, batch_no=change.version, **options)
+    inserted, duplicates = fold_leads(change, found)
+    change.commit()
+    return {
+        "posts_fetched": seen_posts["n"], "posts_parsed": seen_posts["n"], "leads_inserted": inserted,
+        "leads_skipped_duplicate": duplicates, "comment_attempts": seen_comments["attempts"],
+        "comments_inserted": seen_table["n"] - n_before,
+        "comments_without_post": seen_comments["n"] - seen_comments["attempts"],
     }
-    tables.add_run(
-        **outcome, started_at=started, finished_at=_now(), source_mode="live", status="live_success",
-        posts_requested=n_posts, source_kind="browser_authenticated",
-    )
-    # Comments of a post that is not in the batch are counted, not lost silently.
-    orphans = comments.count() - attempts
-    return {**outcome, "comment_attempts": attempts, "comments_inserted": n_after - n_before, "comments_without_post": orphans}
 
 
 def ingest_group_pages(
@@ -228,17 +183,10 @@ def ingest_group_pages(
     started = _now()
     try:
         posts, comments = group_page(pages)
-        version = tables.next_version("page_posts_in")
-        posts = tables.write("page_posts_in", posts, version)
-        comments = tables.write("page_comments_in", comments, version)
-        return ingest_posts_and_comments(tables, posts, comments, rules, group_id, **options)
     except Exception as exc:
-        tables.add_run(
-            started_at=started, finished_at=_now(), source_mode="live", status="parser_error", posts_fetched=0,
-            posts_parsed=0, leads_inserted=0, leads_skipped_duplicate=0, source_kind="browser_authenticated",
-            error_class=type(exc).__name__, error_detail=str(exc),
-        )
+        _record_group_failure(tables, started, exc)
         raise
+    return ingest_posts_and_comments(tables, posts, comments, rules, group_id, **options)
 
 
 def ingest_and_export(
@@ -255,7 +203,8 @@ def export_job(
     since: str | None = None, limit: int | None = None, mask: bool = True,
 ) -> str:
     """A filtered export of the current lead table."""
-    leads, links = tables.read("leads", schemas.LEADS), tables.read("lead_links", schemas.LEAD_LINKS)
+    now = tables.snapshot()
+    leads, links = tables.read_from(now, "leads", schemas.LEADS), tables.read_from(now, "lead_links", schemas.LEAD_LINKS)
     if leads is None or links is None:
         raise ValueError("there are no leads yet")
     return export_leads(leads, links, folder, output_format, intent=intent, since=since, limit=limit, mask=mask)

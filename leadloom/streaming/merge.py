@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,25 +10,32 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from leadloom.operators.intents import IntentRule
 from leadloom.operators.leads import sightings
-from leadloom.plans.jobs import Tables, write_leads
+from leadloom.plans.jobs import fold_leads
+from leadloom.sources.store import Tables
 
 
-def merge_batch(
-    tables: Tables, posts: DataFrame, batch_id: int, rules: Sequence[IntentRule], stream: str = "stream", **options
-) -> bool:
-    """Fold one micro-batch into the lead table; False when that batch of that stream was folded before.
+def fold_batch(tables: Tables, found: Callable[[int], DataFrame], batch_id: int, stream: str) -> bool:
+    """Fold the sightings of one micro-batch, made for the version's number; False when it was folded before.
 
-    A batch id counts within one stream only. The ledger of folded batches is written with each version and counts once
-    the version is complete, so a replay does nothing after a finished try and starts over after an interrupted one.
-    ``options`` are those of ``lead_rows``.
+    A batch id counts within one stream only. The ledger of folded batches is part of the manifest that makes the change
+    visible, so a replay does nothing after a finished try and starts over after an interrupted one. Only the buckets of
+    the batch's phones are written.
     """
     if tables.has_folded(stream, batch_id):
         return False
-    version = tables.next_version("leads")
-    write_leads(tables, sightings(posts, None, rules, batch_no=version, **options), version, stream, batch_id)
+    change = tables.change()
+    fold_leads(change, found(change.version))
+    change.commit(stream, batch_id)
     return True
 
 
+def merge_batch(
+    tables: Tables, posts: DataFrame, batch_id: int, rules: Sequence[IntentRule], stream: str = "stream", **options
+) -> bool:
+    """Fold one micro-batch of posts into the lead tables, see ``fold_batch``; ``options`` are those of ``lead_rows``."""
+    return fold_batch(tables, lambda version: sightings(posts, None, rules, batch_no=version, **options), batch_id, stream)
+
+
 def stream_leads(
     posts: DataFrame, tables: Tables, rules: Sequence[IntentRule], checkpoint: str, **options
 ) -> DataStreamWriter:

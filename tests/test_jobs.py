@@ -65,7 +65,8 @@ def test_ingest_report_and_export(spark, tmp_path):
     listed = {r["id"]: r["links"] for r in map(json.loads, csv_text(path).splitlines())}
     linked = {r["id"] for r in map(json.loads, csv_text(path + "_links").splitlines())}
     assert linked == {i for i, links in listed.items() if links}
-    assert store.vacuum("leads", keep=1) == [0] and store.versions("leads") == [1]
+    assert store.vacuum(keep=1) == [0] and store.versions() == [1]
+    assert store.read("leads", schemas.LEADS).count() == 2 and store.read("leads", schemas.LEADS, version=0) is None
 
 
 def test_pages_without_posts(spark, tmp_path):
