@@ -334,6 +334,13 @@ FROM judged""",
     "lead_merge": f"WITH {_LEADS} SELECT * FROM leads",
     "lead_merge_in_batches": f"WITH {_LEADS} SELECT * FROM leads",
     "lead_merge_by_stream_batches": f"WITH {_LEADS} SELECT * FROM leads",
+    "stream_merged_leads": f"WITH {_LEADS} SELECT * FROM leads",
+    "ingest_counters": """WITH early AS (SELECT o_custkey FROM orders WHERE o_orderdate < '1996-01-01'),
+later AS (SELECT o_custkey FROM orders WHERE o_orderdate >= '1996-01-01'),
+new AS (SELECT count(DISTINCT o_custkey) AS n FROM later ANTI JOIN early USING (o_custkey)),
+old AS (SELECT count(DISTINCT o_custkey) AS n FROM early)
+SELECT 0 AS run, (SELECT n FROM old) AS inserted, (SELECT count(*) FROM early) - (SELECT n FROM old) AS duplicates
+UNION ALL SELECT 1, (SELECT n FROM new), (SELECT count(*) FROM later) - (SELECT n FROM new)""",
     "export_rows": f"""WITH {_LEADS}, {_LINKS.removeprefix(_ORDER_SIGHTINGS + ",")},
 lists AS (SELECT phone_normalized, string_agg(link, '|' ORDER BY place) AS links FROM first_link GROUP BY 1)
 SELECT sha256(phone_normalized) AS id, phone_normalized, name, intent, post_count, links FROM leads JOIN lists USING (phone_normalized)""",

@@ -21,10 +21,12 @@ from leadloom.functions import times, urls
 from leadloom.operators import activity, labels, merge, posts, reports, threads, validation
 from leadloom.operators.intents import IntentRule, classify_intents
 from leadloom.operators.leads import lead_rows, sightings
+from leadloom.plans import jobs
 from leadloom.session import shared_path
 from leadloom.sources import pages as pg
 from leadloom.sources import sinks
 from leadloom.sources.keywords import load_keyword_groups
+from leadloom.sources.store import Tables
 from leadloom.sources.tables import read_table, spread
 from leadloom.streaming import merge as streaming
 
@@ -362,6 +364,48 @@ def lead_merge_by_stream_batches(spark, sf):
     return _flat_leads(state)
 
 
+def _numbered_sightings(rows: DataFrame, version: int) -> DataFrame:
+    """The order sightings of one batch, in the order of the lead tables' own numbers."""
+    seq = F.struct(
+        F.lit(version).cast("bigint").alias("batch_no"), F.datediff("seq.day", F.lit("1970-01-01")).cast("bigint").alias("post_order"),
+        F.lit(0).alias("is_comment"), F.col("seq.no").cast("bigint").alias("comment_order"), F.lit(0).alias("phone_pos"),
+    )
+    return rows.withColumn("seq", seq)
+
+
+def stream_merged_leads(spark, sf):
+    """The same by a bounded stream over files: a run each for the years up to 1995 and after it, into bucketed tables.
+
+    Then the first batch comes once more, which changes nothing.
+    """
+    found = _order_sightings(spark, sf)
+    folder = shared_path(spark, "lead-stream")
+    store = Tables(spark, f"{folder}/tables", buckets=8)
+
+    def fold(rows: DataFrame, batch: int) -> bool:
+        return streaming.fold_batch(store, lambda version: _numbered_sightings(rows, version), batch, "orders")
+
+    early = F.col("seen_at") < CUT_DAY
+    for part in (found.filter(early), found.filter(~early)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(found.schema).parquet(f"{folder}/in").writeStream.foreachBatch(fold)
+        stream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    fold(found.filter(early), 0)
+    return _flat_leads(store.read("leads", schemas.LEADS))
+
+
+def ingest_counters(spark, sf):
+    """What the run records count of two changes of the lead tables: the orders up to a day, then the rest."""
+    found = _order_sightings(spark, sf)
+    store = Tables(spark, shared_path(spark, "lead-tables"), buckets=8)
+    early, rows = F.col("seen_at") < CUT_DAY, []
+    for part in (found.filter(early), found.filter(~early)):
+        change = store.change()
+        inserted, duplicates = jobs.fold_leads(change, _numbered_sightings(part, change.version))
+        rows.append((change.commit(), inserted, duplicates))
+    return spark.createDataFrame(rows, "run bigint, inserted bigint, duplicates bigint")
+
+
 def export_rows(spark, sf):
     """What an unmasked export holds: an id for each phone, the lists in their cells."""
     found = _order_sightings(spark, sf)
@@ -899,7 +943,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         compact_and_digits, folded_text, masked_text, masked_ids, page_links, ordered_link_list, page_text,
         offer_and_need, names, document_phones, phones_by_source, local_phones, foreign_phones, phone_prefix_counts, intent_scores, intent_scores_by_join,
         intent_best, intent_evidence, evidence_json, intents_by_source, documents_with_keyword, short_labels, keyword_group_hits, lead_sightings,
-        lead_merge, lead_merge_in_batches, lead_merge_by_stream_batches, export_rows, link_union, link_lists, raw_text_fold, raw_text_fold_hot, merged_leads,
+        lead_merge, lead_merge_in_batches, lead_merge_by_stream_batches, stream_merged_leads, ingest_counters, export_rows, link_union, link_lists, raw_text_fold, raw_text_fold_hot, merged_leads,
         upsert_counts, first_comment_wins, first_comment_stream, post_identity, post_upsert, posts_with_comment_counts,
         all_posts_with_comment_counts, recent_comments, thread_order, comment_parents, comments_per_post,
         thread_totals, report_totals, checked_run_rows, counts_by_intent, total_leads, recent_leads, top_contacts, top_contacts_by_count, recent_runs,

@@ -17,7 +17,6 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,25 +56,21 @@ class Tables:
     def folder(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
-    def _stored(self, name: str, schema: str) -> DataFrame:
-        """The rows of a folder that may not exist yet."""
-        try:
-            return self.spark.read.schema(schema).parquet(self.folder(name))
-        except AnalysisException as exc:
-            if exc.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
+    def _stored(self, name: str, schema: str, first: str = "") -> DataFrame:
+        """The rows of a folder; one that isn't there yet is begun without rows, in its part ``first``."""
+        self.spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(self.folder(name) + first)
+        return self.spark.read.schema(f"{schema}, v bigint").parquet(self.folder(name))
 
     def _manifests(self) -> DataFrame:
         """The rows of all changes that stand."""
-        rows = self._stored("manifest", f"{_MANIFEST}, v bigint")
+        rows = self._stored("manifest", _MANIFEST, "/v=-1")
         stand = rows.groupBy("v").agg(F.min("change").alias("change"))
         return rows.join(stand, ["v", "change"])
 
     def versions(self) -> list[int]:
         """The versions that can still be read, oldest first."""
-        made = {r["v"] for r in self._stored("manifest", f"{_MANIFEST}, v bigint").select("v").distinct().collect()}
-        return sorted(made - {r["v"] for r in self._stored("vacuumed", "v bigint").collect()})
+        made = {r["v"] for r in self._stored("manifest", _MANIFEST, "/v=-1").select("v").distinct().collect()}
+        return sorted(made - {r["v"] for r in self._stored("vacuumed", "at timestamp").collect()})
 
     def snapshot(self, version: int | None = None) -> Snapshot:
         """The newest version, or the one named. A version has a row per table and bucket, whatever the data."""
@@ -122,12 +117,12 @@ class Tables:
         old, kept = found[: -max(keep, 1)], found[-max(keep, 1) :]
         rows = self._manifests().filter(F.col("path").isNotNull())
         named = rows.groupBy("path").agg(F.max("v").alias("last")).filter(F.col("last") < (kept or [0])[0])
-        done = {r["v"] for r in self._stored("vacuumed", "v bigint").collect()}
+        done = {r["v"] for r in self._stored("vacuumed", "at timestamp").collect()}
         nothing = self.spark.createDataFrame([], "gone int")
         for row in named.filter(~F.col("last").isin(sorted(done))).toLocalIterator():
             nothing.write.mode("overwrite").parquet(self.folder(row["path"]))
         if old:
-            gone = self.spark.createDataFrame([(v,) for v in old], "v bigint")
+            gone = self.spark.createDataFrame([(v,) for v in old], "v bigint").withColumn("at", F.current_timestamp())
             gone.coalesce(1).write.mode("append").parquet(self.folder("vacuumed"))
         return old
 

@@ -10,6 +10,7 @@ from leadloom.operators import activity, ranking, reports, threads
 from leadloom.plans import jobs
 from leadloom.sources import pages as pg
 from leadloom.sources import sinks, tables
+from leadloom.sources.store import Conflict, Tables
 from leadloom.sources.rules import load_rules
 from leadloom.streaming import merge as streaming
 
@@ -263,3 +264,63 @@ def test_comment_stream_keeps_first(spark, tmp_path):
     assert sorted((r["comment_id"] or "", r["text"]) for r in spark.read.parquet(out).collect()) == [
         ("", "a"), ("", "a"), ("c1", "first"), ("c2", "x"),
     ]
+
+
+def lead_posts(spark, *rows):
+    return spark.createDataFrame(list(rows), "post_order long, text string").select(
+        "*", F.lit(None).cast("string").alias("link"), F.lit("g").alias("source_group_id"), F.timestamp_seconds(F.lit(1)).alias("seen_at")
+    )
+
+
+def test_a_one_phone_batch_writes_one_bucket(spark, tmp_path):
+    store = Tables(spark, str(tmp_path), buckets=8)
+    texts = [(i, f"Atelier Tel 20 111 {i:03d}") for i in range(100, 140)]
+    assert streaming.merge_batch(store, lead_posts(spark, *texts), 0, RULES)
+    before = store.snapshot()
+    assert set(before.paths["leads"]) == {-1, *range(8)} and before.buckets == 8
+    assert streaming.merge_batch(Tables(spark, str(tmp_path)), lead_posts(spark, (1, "Tel 20 111 105")), 1, RULES)
+    after = store.snapshot()
+    changed = [b for b, path in after.paths["leads"].items() if path != before.paths["leads"][b]]
+    assert len(changed) == 1 and after.buckets == 8 and after.paths["lead_links"] == before.paths["lead_links"]
+    counts = {r["phone_normalized"]: r["post_count"] for r in store.read("leads", schemas.LEADS).collect()}
+    assert len(counts) == 40 and counts.pop("+21620111105") == 2 and set(counts.values()) == {1}
+    # The version before stays readable until it is cleared; what both share stays after that.
+    assert store.read("leads", schemas.LEADS, before.version).agg(F.sum("post_count")).first()[0] == 40
+    store.vacuum(keep=1)
+    assert store.read("leads", schemas.LEADS).agg(F.sum("post_count")).first()[0] == 41
+
+
+def test_a_killed_job_leaves_the_set_before(spark, tmp_path, monkeypatch):
+    store = Tables(spark, str(tmp_path), buckets=2)
+    posts, comments = posts_and_comments(spark)
+    jobs.ingest_posts_and_comments(store, posts, comments, RULES, "g")
+    names = {"posts": schemas.POSTS, "comments": schemas.COMMENTS, "leads": schemas.LEADS, "lead_links": schemas.LEAD_LINKS}
+
+    def state():
+        return {n: sorted(map(str, store.read(n, s).drop("first_at").collect())) for n, s in names.items()}
+
+    before = state()
+    with monkeypatch.context() as patched:
+        # It ends after posts, comments and leads were written, before the links.
+        patched.setattr(jobs, "distinct_links", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            jobs.ingest_posts_and_comments(store, posts, comments, RULES, "g")
+    assert state() == before and store.versions() == [0]
+    failed = store.runs().filter("status = 'parser_error'").collect()
+    assert [r["error_class"] for r in failed] == ["ZeroDivisionError"]
+    again = jobs.ingest_posts_and_comments(store, posts, comments, RULES, "g")
+    assert (again["leads_inserted"], again["leads_skipped_duplicate"], again["comments_inserted"]) == (0, 2, 1)
+    assert store.versions() == [0, 1]
+
+
+def test_of_two_changes_one_stands(spark, tmp_path):
+    store = Tables(spark, str(tmp_path))
+    one, other = store.change(), store.change()
+    for change, value in ((one, 1), (other, 2)):
+        change.replace("t", spark.createDataFrame([(value,)], "x long"))
+    one.commit()
+    with pytest.raises(Conflict):
+        other.commit()
+    rows = store.read("t", schemas._schema("x bigint")).collect()
+    assert [r["x"] for r in rows] == [1] and store.versions() == [0]
+    assert not store.has_folded("s", 0)
