@@ -4,22 +4,32 @@ A post row is matched by id, else by permalink, else it is new; a stored post ne
 its id or permalink. So which rows insert is decided by the distinct (id, permalink) pairs
 alone: going through them by first appearance, a pair inserts when neither its id nor its
 permalink was stored by an earlier inserting pair. That is greedy matching in order of
-appearance, and it runs in parallel: in each round, every pair that comes first both for its
-id and for its permalink inserts, and the pairs that share either with it drop out.
+appearance, and it runs in parallel: every pair that comes first both for its id and for its
+permalink inserts, and the pairs that share either with it drop out. What is left hangs
+together in components of shared ids and permalinks; each is gone through on its own, in
+order, one partition holding many of them. A component too large for that goes into the next
+round, where it breaks up further.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadloom.operators.components import component_roots
 from leadloom.operators.merge import first_value, last_value
-from leadloom.session import cut_lineage
+from leadloom.session import stored
 
 POST_FIRST = ("post_fb_id", "permalink", "source_group_id")
 POST_LAST_NON_NULL = ("author", "author_fb_id", "timestamp_unix")
 POST_LAST_NON_EMPTY = ("raw_text", "source_kind")
 
+# Pairs of a component that one task goes through; it holds their ids and links as it goes.
+FOLD_PAIRS = 200_000
+
 
 def _spread_nulls(value: Column, by: Column) -> Column:
     """A join key that equals ``value``; nulls become scattered keys that match nothing.
@@ -40,9 +50,53 @@ def _without(live: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
+def _first_of_both(live: DataFrame) -> DataFrame:
+    """The pairs that come first both for their id and for their link."""
+    first_of_id = live.dropna(subset=["id"]).groupBy("id").agg(F.min("at").alias("id_at"))
+    first_of_link = live.dropna(subset=["link"]).groupBy("link").agg(F.min("at").alias("link_at"))
+    ranked = (
+        live.withColumn("__id", _spread_nulls(F.col("id"), F.col("at")))
+        .join(first_of_id.withColumnRenamed("id", "__id"), "__id", "left")
+        .withColumn("__link", _spread_nulls(F.col("link"), F.col("at")))
+        .join(first_of_link.withColumnRenamed("link", "__link"), "__link", "left")
+    )
+    leads = (F.col("id").isNull() | (F.col("at") == F.col("id_at"))) & (
+        F.col("link").isNull() | (F.col("at") == F.col("link_at"))
+    )
+    return ranked.filter(leads).select("id", "link", "at")
+
+
+def _with_component(live: DataFrame) -> DataFrame:
+    """``live`` plus ``component`` and its number of pairs, ``n``. Two values of one hash only make a component larger."""
+    node = {
+        kind: F.when(F.col(kind).isNotNull(), F.xxhash64(F.lit(kind), F.col(kind))) for kind in ("id", "link")
+    }
+    roots = component_roots(live.select(node["id"].alias("a"), node["link"].alias("b")).dropna())
+    named = live.withColumn("node", F.coalesce(node["id"], node["link"])).join(roots, "node", "left")
+    named = stored(named.select("id", "link", "at", F.coalesce("root", "node").alias("component")))
+    return named.join(named.groupBy("component").agg(F.count("*").alias("n")), "component")
+
+
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The inserting pairs of components that follow each other, each in order."""
+    component, ids, links = None, set(), set()
+    for batch in batches:
+        inserts = []
+        for own, id_, link in zip(*(batch.column(c).to_pylist() for c in ("component", "id", "link"))):
+            if own != component:
+                component, ids, links = own, set(), set()
+            new = id_ not in ids and link not in links
+            if new and id_ is not None:
+                ids.add(id_)
+            if new and link is not None:
+                links.add(link)
+            inserts.append(new)
+        yield batch.select(["id", "link", "at"]).filter(pa.array(inserts, pa.bool_()))
+
+
 def inserting_pairs(
     rows: DataFrame, id_col: str = "post_fb_id", link_col: str = "permalink", seq: str = "seq",
-    state: DataFrame | None = None,
+    state: DataFrame | None = None, fold_pairs: int = FOLD_PAIRS,
 ) -> DataFrame:
     """``id, link, at``: the pairs that insert a post and the order key of the row that does it."""
     known = rows.select(
@@ -51,23 +105,19 @@ def inserting_pairs(
     live = known.groupBy("id", "link").agg(F.min(seq).alias("at"))
     if state is not None:
         live = _without(live, state.select(F.col(id_col).alias("id"), F.col(link_col).alias("link")))
-    live = cut_lineage(live.select("id", "link", "at"))
+    live = stored(live.select("id", "link", "at"))
     chosen = live.limit(0)
     while not live.isEmpty():
-        first_of_id = live.dropna(subset=["id"]).groupBy("id").agg(F.min("at").alias("id_at"))
-        first_of_link = live.dropna(subset=["link"]).groupBy("link").agg(F.min("at").alias("link_at"))
-        ranked = (
-            live.withColumn("__id", _spread_nulls(F.col("id"), F.col("at")))
-            .join(first_of_id.withColumnRenamed("id", "__id"), "__id", "left")
-            .withColumn("__link", _spread_nulls(F.col("link"), F.col("at")))
-            .join(first_of_link.withColumnRenamed("link", "__link"), "__link", "left")
-        )
-        leads = (F.col("id").isNull() | (F.col("at") == F.col("id_at"))) & (
-            F.col("link").isNull() | (F.col("at") == F.col("link_at"))
-        )
-        new = cut_lineage(ranked.filter(leads).select("id", "link", "at"))
+        new = stored(_first_of_both(live))
         chosen = chosen.unionByName(new)
-        live = cut_lineage(_without(live, new))
+        live = stored(_without(live, new))
+        if live.isEmpty():
+            break
+        held = stored(_with_component(live))
+        small = held.filter(F.col("n") <= fold_pairs).repartition("component").sortWithinPartitions("component", "at")
+        folded = small.select("id", "link", "at", "component").mapInArrow(_greedy, live.schema)
+        chosen = chosen.unionByName(stored(folded))
+        live = held.filter(F.col("n") > fold_pairs).select("id", "link", "at")
     return chosen
 
 

@@ -33,6 +33,19 @@ def thread(comments: DataFrame, post_key: str) -> DataFrame:
     return comments.filter(F.col("post_key") == post_key).orderBy(*_reading_order())
 
 
+def thread_positions(comments: DataFrame) -> DataFrame:
+    """``post_key, comment_key, position`` of all posts' comments in reading order; only these slim rows are sorted."""
+    parts = [c.alias(f"__{i}") for i, c in enumerate(_reading_order()[:2])]
+    slim = comments.select("post_key", "comment_key", *parts)
+    ranked = rank_within_key(slim, ["post_key"], ["__0", "__1", "comment_key"])
+    return ranked.select("post_key", "comment_key", "position")
+
+
 def threads(comments: DataFrame) -> DataFrame:
-    """All posts' comments in reading order, with their ``position`` in the thread."""
-    return rank_within_key(comments, ["post_key"], _reading_order())
+    """All posts' comments in reading order, with their ``position`` in the thread; other columns are joined to it by key.
+
+    ``(post_key, comment_key)`` has to name one row, as in the comment table; a null counts as a value.
+    """
+    at = thread_positions(comments).toDF("__post", "__comment", "position")
+    same = F.col("post_key").eqNullSafe(F.col("__post")) & F.col("comment_key").eqNullSafe(F.col("__comment"))
+    return comments.join(at, same).select(*comments.columns, "position")

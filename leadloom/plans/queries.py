@@ -562,7 +562,7 @@ def recent_comments(spark, sf):
 
 
 def thread_order(spark, sf):
-    return threads.threads(_thread_tables(spark, sf)[1]).select("post_key", "comment_key", "position")
+    return threads.thread_positions(_thread_tables(spark, sf)[1])
 
 
 def comment_parents(spark, sf):

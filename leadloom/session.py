@@ -54,6 +54,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` as a Parquet table beside the checkpoints; for loops, as what the planner knows of a checkpoint (its
+    constraints) is carried on and grows from round to round."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # Rows of a few narrow columns; far below any executor's memory.
 BROADCAST_ROWS = 100_000
 

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.operators import merge, posts
+from leadloom.operators import components, merge, posts
+from leadloom.session import stored
 
 
 def model_fold(texts, start, cap):
@@ -111,7 +112,10 @@ def model_posts(rows):
     return keys
 
 
-def test_post_identity_equals_sequential(spark):
+@pytest.mark.parametrize("fold_pairs", [3, 200_000])
+def test_post_identity_equals_sequential(spark, fold_pairs, monkeypatch):
+    whole = posts.inserting_pairs
+    monkeypatch.setattr(posts, "inserting_pairs", lambda *a: whole(*a, fold_pairs=fold_pairs))
     rng = random.Random(3)
     rows = []
     for _ in range(120):
@@ -129,6 +133,35 @@ def test_post_identity_equals_sequential(spark):
     assert len({r["post_key"] for r in got}) == len(set(want))
 
 
+def test_long_chain_of_ids_and_links_takes_few_rounds(spark, monkeypatch):
+    """Each pair shares its id or its link with the one before, so they depend on each other in order."""
+    n, cuts = 10_000, []
+    rows = [(f"p{(i + 1) // 2}", f"l{i // 2}", i) for i in range(n)]
+    monkeypatch.setattr(components, "stored", lambda df: cuts.append(1) or stored(df))
+    df = spark.createDataFrame(rows, "post_fb_id string, permalink string, seq int")
+    got = sorted(r["at"] for r in posts.inserting_pairs(df).collect())
+    # The first pair takes its id and link, which bars the next one; the one after is free again.
+    assert got == list(range(0, n, 2))
+    # One cut for the edges, then three a round.
+    assert (len(cuts) - 1) / 3 <= 15
+
+
+def test_component_roots(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(1 << 40), rng.randrange(1 << 40)) for _ in range(30)]
+    hub = edges[0][0]
+    edges += [(hub, rng.randrange(1 << 40)) for _ in range(300)] + [(edges[1][0], edges[2][1]), (5, 5), edges[3][::-1]]
+    got = {r["node"]: r["root"] for r in components.component_roots(spark.createDataFrame(edges, "a long, b long")).collect()}
+    groups = {}
+    for a, b in edges:
+        one = groups.setdefault(a, {a}) | groups.setdefault(b, {b})
+        groups.update(dict.fromkeys(one, one))
+    assert set(got) == set(groups)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(n for n in got if got[n] == r) for r in set(got.values())}
+    assert all(got[n] in groups[n] for n in got)
+    assert components.component_roots(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_identity_is_not_transitive(spark):
     df = spark.createDataFrame(
         [("1", "L", 0, "a"), ("2", "L", 1, "b"), ("2", "M", 2, "c")],
