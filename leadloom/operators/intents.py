@@ -1,28 +1,26 @@
 """Rule-table intent classification: weighted keywords, exclusions, evidence.
 
-Two forms give the same scores. Small rule tables travel inside the plan as an array
-literal and cost no shuffle. Larger ones become a DataFrame that is equi-joined with the
-texts on short substrings, so nothing that grows is broadcast and no pair is compared
-without sharing a substring.
+Two forms give the same scores, neither with a shuffle. Small rule tables travel inside the
+plan as an array literal. For larger ones, the texts pass one automaton of all keywords in
+Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from leadloom import vocab
 from leadloom.functions import text as tx
-from leadloom.session import broadcast_if_few
 
-# Rule tables with more keywords than this use the join form.
+# Rule tables with more keywords than this are looked for by an automaton, not by literals of the plan.
 MAX_LITERAL_KEYWORDS = 2_000
-# Characters of a keyword's beginning that the join form looks for.
-GRAM = 6
-LEAST_GRAM = 3
 
 
 @dataclass(frozen=True)
@@ -167,11 +165,7 @@ def classify_intents(
     out: str = "intent_result",
     max_literal_keywords: int = MAX_LITERAL_KEYWORDS,
 ) -> DataFrame:
-    """Add the verdict struct ``out`` and the scores ``{out}_scores``; every input row is kept.
-
-    Rules hit a text alike wherever it stands, so the join form for large rule tables looks at each text once and
-    finds its rows again by the text's digest.
-    """
+    """Add the verdict struct ``out`` and the scores ``{out}_scores``; every input row is kept."""
     gate = F.lit(has_phone) if isinstance(has_phone, bool) else F.coalesce(has_phone, F.lit(False))
     text = F.coalesce(F.col(text_col), F.lit(""))
 
@@ -190,84 +184,74 @@ def classify_intents(
             "__judged", judged(lambda t: tx.let(normalise(t), lambda n: rule_hits(n, rules, gate)))
         )
     else:
-        digest = F.sha2(text, 256)
-        keyed = df.select(
-            F.concat(digest, gate.cast("string")).alias("__key"), normalise(text).alias("__norm"), gate.alias("__gate")
-        ).dropDuplicates(["__key"])
-        hits = keyword_hits_by_join(keyed, rules, "__key")
-        no_hits = F.array().cast("array<struct<intent:string,weight:double,words:array<string>>>")
-        result = df.withColumn("__key", F.concat(digest, gate.cast("string"))).join(hits, "__key", "left").withColumn(
-            "__judged", judged(lambda t: F.coalesce(F.col("__hits"), no_hits))
-        )
+        result = with_scanned_hits(df, rules, normalise(text), gate)
+        result = result.withColumn("__judged", judged(lambda t: F.col("__hits")))
     return result.withColumns(
         {out: F.col("__judged.verdict"), f"{out}_scores": F.col("__judged.scores")}
-    ).drop("__judged", "__hits", "__key")
+    ).drop("__judged", "__hits")
+
+
+def _automaton(rules: Sequence[IntentRule]) -> ahocorasick.Automaton:
+    """All folded keywords with their places ``(rule, place in its list, word)``; an exclusion has no place."""
+    places: dict[str, list[tuple]] = {}
+    for no, rule in enumerate(rules):
+        for pos, word in enumerate(rule.keywords):
+            places.setdefault(tx.casefold_str(word), []).append((no, pos, word))
+        for word in rule.exclude_keywords:
+            places.setdefault(tx.casefold_str(word), []).append((no, None, word))
+    found = ahocorasick.Automaton()
+    for folded, at in places.items():
+        if folded:
+            found.add_word(folded, at)
+    found.make_automaton()
+    return found
+
+
+def _hits_of_text(norm: str, gate: bool, automaton: ahocorasick.Automaton, rules: Sequence[IntentRule], every: list) -> list[dict]:
+    """The rules that apply to a text and their keywords, in the order of the rules and of their lists."""
+    found = {id(at): at for at in ([every] if every else [])}
+    if len(automaton):
+        found.update((id(at), at) for _, at in automaton.iter(norm))
+    words: dict[int, list] = {}
+    barred = set()
+    for no, pos, word in (place for at in found.values() for place in at):
+        if pos is None:
+            barred.add(no)
+        else:
+            words.setdefault(no, []).append((pos, word))
+    return [
+        {"intent": rules[no].intent, "weight": float(rules[no].weight), "words": [w for _, w in sorted(words[no])]}
+        for no in sorted(words)
+        if no not in barred and (gate or not rules[no].require_phone)
+    ]
 
 
-def keyword_hits_by_join(texts: DataFrame, rules: Sequence[IntentRule], key_col: str) -> DataFrame:
-    """``key_col, __hits`` for texts with any hit, found by an equi-join on keyword prefixes.
+HITS = ArrayType(StructType().add("intent", "string").add("weight", "double").add("words", ArrayType(StringType())))
 
-    A text offers its distinct character grams. Those that begin no keyword leave before any shuffle (the keywords'
-    grams are one row each and are broadcast once a count shows that they are few); only what is left goes on with the
-    text's end from there, and keywords are checked in full.
+
+def with_scanned_hits(df: DataFrame, rules: Sequence[IntentRule], norm: Column, gate: Column) -> DataFrame:
+    """Add ``__hits``, those of ``rule_hits``, for rule tables of any size: texts pass one automaton of all keywords.
+
+    The work is linear in the text, whatever the number of keywords, and needs no shuffle. The automaton is built once a
+    task from the rules, which the driver holds anyway. It is a step over whole rows, not a function: the optimizer would
+    move a function into the expressions that use its result, which cannot call it.
     """
-    spark = texts.sparkSession
-    rows = [
-        (no, pos, word, tx.casefold_str(word), kind)
-        for no, rule in enumerate(rules)
-        for kind, words in (("use", rule.keywords), ("exclude", rule.exclude_keywords))
-        for pos, word in enumerate(words)
+    rules = tuple(rules)
+    # Keywords that fold to nothing are in every text.
+    every = [
+        (no, pos, w)
+        for no, r in enumerate(rules)
+        for pos, w in [*enumerate(r.keywords), *((None, w) for w in r.exclude_keywords)]
+        if not tx.casefold_str(w)
     ]
-    fields = "rule int, pos int, word string, folded string, kind string"
-    short = [r for r in rows if len(r[3]) < LEAST_GRAM]
-    rows = [r for r in rows if len(r[3]) >= LEAST_GRAM]
-    # Keywords of one or two letters would make grams that any text offers; they are asked of every text.
-    every = F.array(*[F.struct(*[F.lit(v).alias(f.split()[0]) for v, f in zip(r, fields.split(", "))]) for r in short])
-    found = texts.select(key_col, F.explode(every).alias("w")).select(key_col, "w.*") if short else None
-    if rows:
-        width = min(GRAM, min(len(r[3]) for r in rows))
-        words = spark.createDataFrame(rows, fields).withColumn("gram", F.substring("folded", 1, width))
-        # An empty match with a captured look-ahead at every character: linear in the text, while
-        # a substring per position would walk it from the start each time.
-        ahead = rf"(?s)(?=([^\x{{d800}}-\x{{dfff}}].{{{width - 1}}}))"
-        grams = F.array_distinct(F.regexp_extract_all("__norm", F.lit(ahead), F.lit(1)))
-        firsts = broadcast_if_few(words.select("gram").distinct())
-        offered = (
-            texts.filter(F.length("__norm") >= width)
-            .select(key_col, F.explode(grams).alias("gram"))
-            .join(firsts, "gram", "left_semi")
-        )
-        asked = offered.join(words, "gram").select(key_col, "rule", "pos", "word", "folded", "kind")
-        found = asked if found is None else found.unionByName(asked)
-    asked = found.groupBy(key_col).agg(
-        F.collect_list(F.struct("rule", "pos", "word", "folded", "kind")).alias("__asked")
-    )
-    # The keywords that a text may hold are at most those of its rule table; the text travels once.
-    found = (
-        texts.join(asked, key_col)
-        .select(key_col, "__gate", F.filter("__asked", lambda a: F.contains(F.col("__norm"), a["folded"])).alias("h"))
-        .select(key_col, "__gate", F.explode("h").alias("h"))
-        .select(key_col, "__gate", "h.rule", "h.pos", "h.word", "h.kind")
-    )
-    facts = spark.createDataFrame(
-        [(no, r.intent, float(r.weight), r.require_phone) for no, r in enumerate(rules)],
-        "rule int, intent string, weight double, require_phone boolean",
-    )
-    used = F.when(F.col("kind") == "use", F.struct("pos", "word"))
-    return (
-        found.groupBy(key_col, "rule")
-        .agg(
-            F.array_sort(F.collect_list(used)).alias("words"),
-            F.max(F.col("kind") == "exclude").alias("barred"),
-            F.first("__gate").alias("gate"),
-        )
-        .join(facts, "rule")
-        .filter(~F.col("barred") & (F.size("words") > 0) & (~F.col("require_phone") | F.col("gate")))
-        .groupBy(key_col)
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("rule", "intent", "weight", F.col("words.word").alias("words")))
-            ).alias("h")
-        )
-        .select(key_col, F.transform("h", lambda h: F.struct(h["intent"], h["weight"], h["words"])).alias("__hits"))
-    )
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(rules)
+        kind = pa.list_(pa.struct([("intent", pa.string()), ("weight", pa.float64()), ("words", pa.list_(pa.string()))]))
+        for batch in batches:
+            texts = zip(batch.column("__norm"), batch.column("__gate"))
+            hits = [_hits_of_text(n.as_py(), g.as_py(), automaton, rules, every) for n, g in texts]
+            yield batch.drop_columns(["__norm", "__gate"]).append_column("__hits", pa.array(hits, kind))
+
+    asked = df.withColumns({"__norm": norm, "__gate": gate})
+    return asked.mapInArrow(scan, StructType(df.schema.fields).add("__hits", HITS))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from leadloom.functions.phones import ALL_COUNTRIES, foreign_pattern
 from leadloom.sources.keywords import load_keyword_groups
+from leadloom.sources.rules import load_rules
 
 # ---- fixed values: the number shapes and context words of ``vocab``, in RE2 form ----
 _SEP = r"[\s.\-/()]{0,2}"
@@ -119,9 +120,34 @@ _RULES = """rules(rule, intent, weight, gate, word, pos, excl) AS (VALUES
  (5,'factory',1.0,false,'ment',0,false),(5,'factory',1.0,false,'tion',1,false),(5,'factory',1.0,false,'that',0,true)),
 intents(intent, prio, ord) AS (VALUES ('atelier',1,0),('factory',2,1),('subcontractor',4,2),('fabric_supplier',3,3),('job_offer',5,4),('other',0,5))"""
 
-def _judged(source: str) -> str:
+
+
+def _quoted(word: str) -> str:
+    return "'" + word.replace("'", "''") + "'"
+
+
+def _bundled_rules() -> str:
+    """The bundled rules in the form of ``_RULES``."""
+    rows = [
+        f"({no}, '{rule.intent}', {rule.weight}, {rule.require_phone}, {_quoted(word)}, {pos}, {excl})"
+        for no, rule in enumerate(load_rules())
+        for excl, words in ((False, rule.keywords), (True, rule.exclude_keywords))
+        for pos, word in enumerate(words)
+    ]
+    intents = _RULES[_RULES.index("intents(intent") :]
+    return f"rules(rule, intent, weight, gate, word, pos, excl) AS (VALUES {', '.join(rows)}),\n{intents}"
+
+
+def _words_of(rules_and_exclusions: bool) -> str:
+    """The bundled keywords as a list, with or without the exclusions, in the order of the rules."""
+    return "[" + ", ".join(
+        _quoted(w) for r in load_rules() for w in (*r.keywords, *(r.exclude_keywords if rules_and_exclusions else ()))
+    ) + "]"
+
+
+def _judged(source: str, rules: str = _RULES) -> str:
     """CTEs over ``source(doc_id, source, text, gate)``."""
-    return rf"""{_RULES},
+    return rf"""{rules},
 norm AS (SELECT doc_id, source, gate AS phone, text, {_casefold(_compact("text"))} AS n FROM ({source})),
 hits AS (SELECT d.doc_id, r.rule, r.intent, r.weight, r.word, r.pos, r.excl
   FROM norm d JOIN rules r ON contains(d.n, {_casefold("r.word")}) AND (NOT r.gate OR d.phone)),
@@ -469,6 +495,25 @@ SELECT e164 AS phone_normalized, arg_max(raw, seq) AS phone_raw, arg_max(intent,
   arg_max('https://x.example/posts/' || conv_id, seq) FILTER (turn > 0) AS permalink
 FROM seen GROUP BY 1"""
 
+_BUNDLED = f"""WITH {_judged(f"""SELECT doc_id, source, lang = 'en' AS gate,
+  coalesce(text, '') || ' ' || w[doc_id % len(w) + 1] || ' ' || w[doc_id * 7 % len(w) + 1] AS text
+  FROM documents, (SELECT {_words_of(True)} AS w)""", _bundled_rules())}"""
+ORACLES["bundled_rule_rows"] = f"""{_BUNDLED} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rule) - 1 AS place, intent,
+  weight::DOUBLE AS weight, array_to_string(words, '|') AS words FROM per_rule"""
+ORACLES["bundled_rule_scores"] = f"""{_BUNDLED} SELECT s.doc_id, s.intent, s.score, s.intent = j.intent AS best
+FROM score s JOIN judged j USING (doc_id)"""
+
+_LEAD_PAGES = f"""SELECT page_id, replace(html, '</article>', ' Tel 2' || lpad((page_id // 2)::VARCHAR, 7, '0') || ' '
+  || w[page_id % len(w) + 1] || '</article>') AS html FROM pages, (SELECT {_words_of(False)} AS w)"""
+_PAGE_TEXT = "SELECT page_id * 1000 + post_no AS doc_id, '' AS source, true AS gate, text FROM posts"
+ORACLES["page_leads"] = rf"""WITH {_block_posts(_LEAD_PAGES, r"(?is)<article\b[^>]*>.*?</article>")},
+{_phones(_PAGE_TEXT, "doc_id")}, {_judged(_PAGE_TEXT, _bundled_rules())},
+seen AS (SELECT p.*, j.intent, j.confidence, make_timestamp((1700000000 + p.doc_id // 1000) * 1000000) AS at_time,
+  row_number() OVER (ORDER BY p.doc_id, p.pos) AS seq FROM phones p JOIN judged j USING (doc_id))
+SELECT e164 AS phone_normalized, arg_max(raw, seq) AS phone_raw, arg_max(intent, seq) AS intent,
+  arg_max(confidence, seq) AS intent_confidence, count(*) AS post_count, min(at_time) AS first_seen, max(at_time) AS last_seen
+FROM seen GROUP BY 1"""
+
 _MASK = "(CASE WHEN length({v}) <= 8 THEN repeat('*', length({v})) ELSE left({v}, 4) || repeat('*', length({v}) - 8) || right({v}, 4) END)"
 ORACLES["masked_ids"] = "SELECT c_custkey, {} AS name, {} AS key, {} AS long_id FROM customer".format(
     *[_MASK.format(v=v) for v in ("c_name", "c_custkey::VARCHAR", "(c_mktsegment || lpad(c_custkey::VARCHAR, 9, '0'))")]

@@ -19,13 +19,14 @@ from leadloom.functions import phones as ph
 from leadloom.functions import text as tx
 from leadloom.functions import times, urls
 from leadloom.operators import activity, labels, merge, posts, reports, threads, validation
-from leadloom.operators.intents import IntentRule, classify_intents
+from leadloom.operators.intents import IntentRule, classify_intents, normalise, rule_hits
 from leadloom.operators.leads import lead_rows, sightings
 from leadloom.plans import jobs
 from leadloom.session import shared_path
 from leadloom.sources import pages as pg
 from leadloom.sources import sinks
 from leadloom.sources.keywords import load_keyword_groups
+from leadloom.sources.rules import load_rules
 from leadloom.sources.store import Tables
 from leadloom.sources.tables import read_table, spread
 from leadloom.streaming import merge as streaming
@@ -250,6 +251,34 @@ def evidence_json(spark, sf):
     return _judged(spark, sf).select("doc_id", whole.alias("evidence"))
 
 
+def _texts_with_bundled_words(spark, sf) -> DataFrame:
+    """Whole documents, each with two words of the bundled rules behind it."""
+    words = [w for r in load_rules() for w in (*r.keywords, *r.exclude_keywords)]
+    every = F.array(*[F.lit(w) for w in words])
+    chosen = [F.element_at(every, (F.pmod(F.col("doc_id") * step, F.lit(len(words))) + 1).cast("int")) for step in (1, 7)]
+    text = F.concat_ws(" ", F.coalesce("text", F.lit("")), *chosen)
+    return _documents(spark, sf).select("doc_id", "source", text.alias("text"), (F.col("lang") == "en").alias("gate"))
+
+
+def bundled_rule_rows(spark, sf):
+    """Which of the bundled rules hit which document, and by how many of their words."""
+    hits = rule_hits(normalise(F.col("text")), load_rules(), F.coalesce("gate", F.lit(False)))
+    rows = _texts_with_bundled_words(spark, sf).select("doc_id", F.posexplode(hits).alias("place", "hit"))
+    return rows.select(
+        "doc_id", F.col("place").cast("bigint").alias("place"), F.col("hit.intent").alias("intent"),
+        F.col("hit.weight").alias("weight"), F.array_join("hit.words", "|").alias("words"),
+    )
+
+
+def bundled_rule_scores(spark, sf):
+    judged = classify_intents(_texts_with_bundled_words(spark, sf), load_rules(), has_phone=F.col("gate"))
+    scores = judged.select("doc_id", "intent_result", F.explode("intent_result_scores").alias("s"))
+    return scores.select(
+        "doc_id", F.col("s.intent").alias("intent"), F.col("s.score").alias("score"),
+        (F.col("s.intent") == F.col("intent_result.intent")).alias("best"),
+    )
+
+
 def intents_by_source(spark, sf):
     r = F.col("intent_result.intent")
     return _judged(spark, sf).groupBy("source", r.alias("intent")).agg(F.count("*").alias("count"))
@@ -920,6 +949,23 @@ def validation_totals(spark, sf):
     return validation.validation_totals(validation.validate(*_expected(spark, sf), key="c_custkey"))
 
 
+def page_leads(spark, sf):
+    """The page job with the bundled rules over whole pages, each article with a number and a word of the rules."""
+    words = F.array(*[F.lit(w) for r in load_rules() for w in r.keywords])
+    page = F.col("page_id")
+    number = F.concat(F.lit(" Tel 2"), F.lpad(F.floor(page / 2).cast("string"), 7, "0"), F.lit(" "))
+    word = F.element_at(words, (F.pmod(page, F.size(words)) + 1).cast("int"))
+    html = F.replace(F.col("html"), F.lit("</article>"), F.concat(number, word, F.lit("</article>")))
+    pages = _table("pages")(spark, sf).select(
+        "page_id", html.alias("html"), F.timestamp_seconds(F.lit(1_700_000_000) + page).alias("captured_at")
+    )
+    store = Tables(spark, shared_path(spark, "page-leads"), buckets=8)
+    jobs.ingest_pages(store, spread(pages), load_rules(), "77")
+    return store.read("leads", schemas.LEADS).select(
+        "phone_normalized", "phone_raw", "intent", "intent_confidence", "post_count", "first_seen", "last_seen"
+    )
+
+
 def thread_leads(spark, sf):
     """Posts and comments with a number each, to sightings, to merged leads: the whole way."""
     turns = spread(_conversations(spark, sf))
@@ -942,13 +988,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         compact_and_digits, folded_text, masked_text, masked_ids, page_links, ordered_link_list, page_text,
         offer_and_need, names, document_phones, phones_by_source, local_phones, foreign_phones, phone_prefix_counts, intent_scores, intent_scores_by_join,
-        intent_best, intent_evidence, evidence_json, intents_by_source, documents_with_keyword, short_labels, keyword_group_hits, lead_sightings,
+        intent_best, intent_evidence, evidence_json, bundled_rule_rows, bundled_rule_scores, intents_by_source, documents_with_keyword, short_labels, keyword_group_hits, lead_sightings,
         lead_merge, lead_merge_in_batches, lead_merge_by_stream_batches, stream_merged_leads, ingest_counters, export_rows, link_union, link_lists, raw_text_fold, raw_text_fold_hot, merged_leads,
         upsert_counts, first_comment_wins, first_comment_stream, post_identity, post_upsert, posts_with_comment_counts,
         all_posts_with_comment_counts, recent_comments, thread_order, comment_parents, comments_per_post,
         thread_totals, report_totals, checked_run_rows, counts_by_intent, total_leads, recent_leads, top_contacts, top_contacts_by_count, recent_runs,
         runs_by_mode, last_runs, evolved_runs, page_posts, paragraph_posts, page_status, url_parts, post_ids,
         markup_fields, post_fields, comment_rows, nested_page_posts, page_comments, time_texts, freshness, rate_window, busy_type_window, dense_window, mean_gap,
-        validation_rows, validation_totals, thread_leads,
+        validation_rows, validation_totals, page_leads, thread_leads,
     )
 }

@@ -76,7 +76,7 @@ def random_cases():
 
 
 @pytest.mark.parametrize("max_literal", [2_000, 0])
-def test_literal_and_join_forms_equal_the_model(spark, max_literal):
+def test_literal_and_automaton_forms_equal_the_model(spark, max_literal):
     texts, rules = random_cases()
     df = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(texts)], "id long, text string, phone boolean")
     rows = it.classify_intents(
