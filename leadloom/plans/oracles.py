@@ -374,7 +374,16 @@ SELECT sha256(phone_normalized) AS id, phone_normalized, name, intent, post_coun
   least(length(source_mode) * 400 + length(run_id), 2000) AS n_detail FROM runs""",
     "report_totals": f"""WITH {_LEADS}, {_RUNS} SELECT 'leads' AS part, '' AS key, count(*) AS n FROM leads
 UNION ALL SELECT 'by_intent', intent, count(*) FROM leads GROUP BY intent
-UNION ALL SELECT 'runs_by_mode', source_mode, count(*) FROM runs GROUP BY source_mode""",
+UNION ALL SELECT 'by_phone_prefix', '2' || lpad(phone_normalized, 7, '0')[1:1], count(*) FROM leads GROUP BY 2
+UNION ALL SELECT 'runs_by_mode', source_mode, count(*) FROM runs GROUP BY source_mode
+UNION ALL SELECT 'last_run', arg_max(run_id, (started_at, run_id)), arg_max(posts_fetched, (started_at, run_id)) FROM runs
+UNION ALL SELECT 'last_success', arg_max(run_id, (started_at, run_id)), arg_max(posts_fetched, (started_at, run_id)) FROM runs
+  WHERE status IN ('live_success', 'live_failed_cache_used', 'cache_only')""",
+    "masked_export_rows": f"""WITH {_LEADS}, {_LINKS.removeprefix(_ORDER_SIGHTINGS + ",")},
+lists AS (SELECT phone_normalized, string_agg(link, '|' ORDER BY place) AS links FROM first_link GROUP BY 1),
+hidden AS (SELECT *, '2' || lpad(phone_normalized, 7, '0') AS local FROM leads JOIN lists USING (phone_normalized))
+SELECT sha256('fixed+216' || local) AS id, '+216 ' || local[1:2] || ' XXX XXX' AS phone_normalized, '+216 ' || local[1:2] || ' XXX XXX' AS phone_raw,
+  'Tel +216 ' || local[1:2] || ' XXX XXX merci' AS raw_text, intent, post_count, links FROM hidden""",
     "nested_page_posts": r"""SELECT conv_id::VARCHAR AS post_ref, (conv_id + 10000000)::VARCHAR AS post_fb_id, role AS author,
   trim(regexp_replace(text, '\s+', ' ', 'g')) || chr(10) || 'end of post' AS text,
   epoch(TIMESTAMP '2024-01-15 15:05:00')::BIGINT AS timestamp_unix FROM conversations WHERE turn = 0""",

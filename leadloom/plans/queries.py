@@ -443,6 +443,20 @@ def export_rows(spark, sf):
     return rows.select("id", "phone_normalized", "name", "intent", "post_count", F.array_join("links", "|").alias("links"))
 
 
+def _with_home_phones(leads: DataFrame) -> DataFrame:
+    """Customer keys as home numbers of eight digits."""
+    return leads.withColumn("phone_normalized", F.concat(F.lit("+2162"), F.lpad("phone_normalized", 7, "0")))
+
+
+def masked_export_rows(spark, sf):
+    """What a masked export holds, with a fixed salt: numbers hidden wherever they stand, ids that tell no phone."""
+    found = _order_sightings(spark, sf)
+    leads = merge.with_link_lists(merge.fold_scalars(merge.as_fold_rows(found)), merge.distinct_links(found))
+    leads = _with_home_phones(leads).withColumn("raw_text", F.concat(F.lit("Tel "), "phone_normalized", F.lit(" merci")))
+    rows = sinks.export_frame(leads, mask=True, salt="fixed")
+    return rows.select("id", "phone_normalized", "phone_raw", "raw_text", "intent", "post_count", F.array_join("links", "|").alias("links"))
+
+
 def link_union(spark, sf):
     links = merge.distinct_links(_order_sightings(spark, sf))
     at = F.col("first_at")
@@ -648,11 +662,16 @@ def checked_run_rows(spark, sf):
 
 
 def report_totals(spark, sf):
-    """The parts of the statistics bundle, one under the other."""
-    parts = reports.stats(lead_merge(spark, sf), _runs(spark, sf))
+    """The five parts of the statistics bundle, one under the other; of the last runs the number of posts."""
+    parts = reports.stats(_with_home_phones(lead_merge(spark, sf)), _runs(spark, sf))
     rows = parts["total_leads"].select(F.lit("leads").alias("part"), F.lit("").alias("key"), "n")
-    for part, key in (("by_intent", "intent"), ("runs_by_mode", "source_mode")):
+    for part, key in (("by_intent", "intent"), ("by_phone_prefix", "prefix"), ("runs_by_mode", "source_mode")):
         rows = rows.unionByName(parts[part].select(F.lit(part).alias("part"), F.col(key).alias("key"), F.col("count").alias("n")))
+    for name in ("last_run", "last_success"):
+        run = parts["last_runs"].select(
+            F.lit(name).alias("part"), F.col(f"{name}.run_id").alias("key"), F.col(f"{name}.posts_fetched").cast("bigint").alias("n")
+        )
+        rows = rows.unionByName(run)
     return rows
 
 
@@ -989,7 +1008,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         compact_and_digits, folded_text, masked_text, masked_ids, page_links, ordered_link_list, page_text,
         offer_and_need, names, document_phones, phones_by_source, local_phones, foreign_phones, phone_prefix_counts, intent_scores, intent_scores_by_join,
         intent_best, intent_evidence, evidence_json, bundled_rule_rows, bundled_rule_scores, intents_by_source, documents_with_keyword, short_labels, keyword_group_hits, lead_sightings,
-        lead_merge, lead_merge_in_batches, lead_merge_by_stream_batches, stream_merged_leads, ingest_counters, export_rows, link_union, link_lists, raw_text_fold, raw_text_fold_hot, merged_leads,
+        lead_merge, lead_merge_in_batches, lead_merge_by_stream_batches, stream_merged_leads, ingest_counters, export_rows, masked_export_rows, link_union, link_lists, raw_text_fold, raw_text_fold_hot, merged_leads,
         upsert_counts, first_comment_wins, first_comment_stream, post_identity, post_upsert, posts_with_comment_counts,
         all_posts_with_comment_counts, recent_comments, thread_order, comment_parents, comments_per_post,
         thread_totals, report_totals, checked_run_rows, counts_by_intent, total_leads, recent_leads, top_contacts, top_contacts_by_count, recent_runs,
