@@ -72,18 +72,24 @@ def _rule_literal(rules: Sequence[IntentRule]) -> Column:
 
 
 def rule_hits(norm: Column, rules: Sequence[IntentRule], has_phone: Column) -> Column:
-    """``array<struct<intent,weight,words>>``: the rules that apply, in rule order, and their keywords."""
+    """``array<struct<intent,weight,words>>``: the rules that apply, in rule order, and their keywords.
 
-    def applied(rule: Column) -> Column:
-        barred = (rule["require_phone"] & ~has_phone) | F.exists(rule["exclude"], lambda k: F.contains(norm, k))
-        words = F.transform(F.filter(rule["keywords"], lambda k: F.contains(norm, k["folded"])), lambda k: k["word"])
-        return F.struct(
-            rule["intent"].alias("intent"),
-            rule["weight"].alias("weight"),
-            F.when(barred, _strings([])).otherwise(words).alias("words"),
-        )
+    The text is normalised once, not once per keyword.
+    """
+
+    def found(n: Column) -> Column:
+        def applied(rule: Column) -> Column:
+            barred = (rule["require_phone"] & ~has_phone) | F.exists(rule["exclude"], lambda k: F.contains(n, k))
+            words = F.transform(F.filter(rule["keywords"], lambda k: F.contains(n, k["folded"])), lambda k: k["word"])
+            return F.struct(
+                rule["intent"].alias("intent"),
+                rule["weight"].alias("weight"),
+                F.when(barred, _strings([])).otherwise(words).alias("words"),
+            )
+
+        return F.transform(_rule_literal(rules), applied)
 
-    return F.filter(F.transform(_rule_literal(rules), applied), lambda h: F.size(h["words"]) > 0)
+    return F.filter(tx.let(norm, found), lambda h: F.size(h["words"]) > 0)
 
 
 def hit_score(hit: Column) -> Column:
@@ -181,7 +187,7 @@ def classify_intents(
 
     if keyword_count(rules) <= max_literal_keywords:
         result = df.withColumn(
-            "__judged", judged(lambda t: tx.let(normalise(t), lambda n: rule_hits(n, rules, gate)))
+            "__judged", judged(lambda t: rule_hits(normalise(t), rules, gate))
         )
     else:
         result = with_scanned_hits(df, rules, normalise(text), gate)

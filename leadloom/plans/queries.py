@@ -263,8 +263,9 @@ def _texts_with_bundled_words(spark, sf) -> DataFrame:
 def bundled_rule_rows(spark, sf):
     """Which of the bundled rules hit which document, and by how many of their words."""
     hits = rule_hits(normalise(F.col("text")), load_rules(), F.coalesce("gate", F.lit(False)))
-    rows = _texts_with_bundled_words(spark, sf).select("doc_id", F.posexplode(hits).alias("place", "hit"))
-    return rows.select(
+    # An outer generator, so that no filter looks for the words a second time.
+    rows = _texts_with_bundled_words(spark, sf).select("doc_id", F.posexplode_outer(hits).alias("place", "hit"))
+    return rows.filter(F.col("place").isNotNull()).select(
         "doc_id", F.col("place").cast("bigint").alias("place"), F.col("hit.intent").alias("intent"),
         F.col("hit.weight").alias("weight"), F.array_join("hit.words", "|").alias("words"),
     )

@@ -9,6 +9,7 @@ from leadloom.functions import text as tx
 from leadloom.operators import intents as it
 from leadloom.operators import merge, validation
 from leadloom.operators.leads import lead_rows, sightings
+from leadloom.plans import queries
 from leadloom.sources.rules import load_rules, rule_rows
 
 RULES = load_rules()
@@ -221,3 +222,22 @@ def test_empty_values_stay_empty(spark):
     )
     got = merge.fold_scalars(df, last_non_empty=("name",), last=("intent",), last_non_null=())
     assert {r["phone_normalized"]: r["name"] for r in got.collect()} == {"a": "", "b": None, "c": "x"}
+
+
+def _rule_documents(spark, tmp_path):
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(["USINE recrute", "fabric for sale, hiring", None])]
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bundled_rules_look_at_each_text_once(spark, tmp_path):
+    hits = queries.bundled_rule_rows(spark, _rule_documents(spark, tmp_path))
+    # Bound once inside the rules, and by no filter below the generator.
+    assert _plan(hits).count("lower(") == 1
+    found = {(r["intent"], r["words"]) for r in hits.filter("doc_id = 0").collect()}
+    assert ("job_offer", "recrute") in found and ("factory", "usine") in found
