@@ -273,7 +273,8 @@ def bundled_rule_rows(spark, sf):
 
 def bundled_rule_scores(spark, sf):
     judged = classify_intents(_texts_with_bundled_words(spark, sf), load_rules(), has_phone=F.col("gate"))
-    scores = judged.select("doc_id", "intent_result", F.explode("intent_result_scores").alias("s"))
+    # An outer generator, as above; every text has scores.
+    scores = judged.select("doc_id", "intent_result", F.explode_outer("intent_result_scores").alias("s"))
     return scores.select(
         "doc_id", F.col("s.intent").alias("intent"), F.col("s.score").alias("score"),
         (F.col("s.intent") == F.col("intent_result.intent")).alias("best"),

@@ -241,3 +241,10 @@ def test_bundled_rules_look_at_each_text_once(spark, tmp_path):
     assert _plan(hits).count("lower(") == 1
     found = {(r["intent"], r["words"]) for r in hits.filter("doc_id = 0").collect()}
     assert ("job_offer", "recrute") in found and ("factory", "usine") in found
+
+
+def test_bundled_scores_are_computed_by_no_filter(spark, tmp_path):
+    scores = queries.bundled_rule_scores(spark, _rule_documents(spark, tmp_path))
+    assert "Filter" not in _plan(scores)
+    assert scores.count() == 3 * len(vocab.INTENTS)
+    assert {r["doc_id"] for r in scores.filter("score > 0 and best").collect()} >= {0}
