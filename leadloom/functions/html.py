@@ -174,16 +174,41 @@ def block_author(block: Column) -> Column:
     return F.coalesce(*[_inner_text(block, p) for p in (_STRONG_AUTHOR, _SPAN_AUTHOR, _LINK_AUTHOR)])
 
 
+# A short message whose child blocks hold no further ones, in a block without a "<" inside a tag: its elements are what
+# the patterns match, so nothing has to be counted.
+_FLAT_CHARS = 2_000
+_MESSAGE_TAG = rf"<div(?=\s)[^>]*{_MESSAGE.removeprefix('(?is)')}[^>]*(?<!/)>"
+_NO_DIV = r"(?:[^<]++|<(?!div(?:\s[^>]*)?>|/div\s*>))*+"
+_FLAT_DIV = rf"<div(?:\s[^>]*)?(?<!/)>{_NO_DIV}</div\s*>"
+_FLAT_MESSAGE = rf"(?is)^{_MESSAGE_TAG}({_NO_DIV}(?:{_FLAT_DIV}{_NO_DIV})*+)</div\s*>"
+
+
 def block_message(block: Column) -> Column:
     """The message's child blocks, one per line; else its whole text; else a plain text block."""
 
+    def joined(children: Column, container: Column) -> Column:
+        texts = F.filter(F.transform(children, element_text), lambda t: t != "")
+        return tx.let(texts, lambda t: F.when(F.size(t) > 0, F.array_join(t, "\n")).otherwise(element_text(container)))
+
     def lines(container: Column) -> Column:
         inner = F.regexp_replace(container, r"(?is)^<div\b[^>]*>|</div\s*>$", "")
-        texts = F.filter(F.transform(balanced_blocks(inner, "div", ".", top_only=True), element_text), lambda t: t != "")
-        return tx.let(texts, lambda t: F.when(F.size(t) > 0, F.array_join(t, "\n")).otherwise(element_text(container)))
+        return joined(balanced_blocks(inner, "div", ".", top_only=True), container)
+
+    def flat_lines(begun: Column) -> Column:
+        # From the message's tag on; null where it isn't flat.
+        inner = F.regexp_extract(begun, _FLAT_MESSAGE, 1)
+        children = F.regexp_extract_all(inner, F.lit(f"(?is){_FLAT_DIV}"), F.lit(0))
+        return F.when(begun.rlike(_FLAT_MESSAGE), joined(children, F.regexp_extract(begun, _FLAT_MESSAGE, 0)))
+
+    def of_elements(b: Column) -> Column:
+        return tx.let(F.get(balanced_blocks(b, "div", _MESSAGE, top_only=True), F.lit(0)), lines)
+
+    def found(b: Column) -> Column:
+        plain = (F.length(b) <= _FLAT_CHARS) & ~b.rlike("<[^>]*<")
+        flat = F.when(plain, tx.let(F.regexp_extract(b, rf"(?is){_MESSAGE_TAG}.*", 0), flat_lines))
+        return F.when(b.rlike(rf"(?is)<div\b[^>]*{_MESSAGE.removeprefix('(?is)')}"), F.coalesce(flat, of_elements(b)))
 
-    found = balanced_blocks(block, "div", _MESSAGE, top_only=True)
-    message = F.when(block.rlike(rf"(?is)<div\b[^>]*{_MESSAGE.removeprefix("(?is)")}"), tx.let(F.get(found, F.lit(0)), lines))
+    message = tx.let(block, found)
     return F.coalesce(_none_if_empty(message), _inner_text(block, _AUTO_DIV), F.lit(""))
 
 

@@ -86,6 +86,10 @@ def map_literal(table: dict[str, str]) -> Column:
     )
 
 
+#: Stands for a match while a text is cut at its matches, unless the text holds it itself.
+_CUT = "\x01"
+
+
 def rewrite_matches(text: Column, pattern: str, rewrite: Callable[[Column], Column]) -> Column:
     """Replace each match of ``pattern`` by a computed text.
 
@@ -95,7 +99,9 @@ def rewrite_matches(text: Column, pattern: str, rewrite: Callable[[Column], Colu
 
     def rewritten(t: Column) -> Column:
         def rebuild(found: Column) -> Column:
-            pieces = F.split(t, pattern, -1)
+            # A split by one character compiles no pattern; a split by the pattern would, for every text.
+            marked = F.split(F.regexp_replace(t, pattern, _CUT), _CUT, -1)
+            pieces = F.when(t.contains(_CUT), F.split(t, pattern, -1)).otherwise(marked)
             tail = F.zip_with(
                 F.transform(found, rewrite), F.slice(pieces, F.lit(2), F.size(found)), lambda m, p: F.concat(m, p)
             )

@@ -125,10 +125,8 @@ def _named_day(shown: Column, base: Column) -> Column:
     return out.when(shown.rlike(pattern), _at_clock(shown, pattern, midnight, midnight))
 
 
-def _absolute(shown: Column, base: Column) -> Column:
-    """ISO times, numeric dates (day first), and dates with a month's name; without a year that of ``base``."""
-    plain = F.regexp_replace(shown, rf"^(?:{_ANY_DAY})(?![\p{{L}}])[,.]?\s*", "")
-    plain = tx.collapse_spaces(F.regexp_replace(plain, r",|(?<!\S)(?:at|à|الساعة)(?!\S)", " "))
+def _plain_date(plain: Column, base: Column) -> Column:
+    """Numeric dates (day first), and dates with a month's name; without a year that of ``base``. ``plain`` is bound."""
     month = rf"(?<![\p{{L}}])({_ANY_MONTH})(?![\p{{L}}])\.?"
     numbered = tx.rewrite_matches(
         plain, month, lambda w: F.try_element_at(tx.map_literal(_MONTH_OF), F.regexp_replace(w, r"\.$", ""))
@@ -142,7 +140,6 @@ def _absolute(shown: Column, base: Column) -> Column:
             F.regexp_replace(p, r"^(\d{1,2} \d{1,2})\b", F.concat(F.lit("$1 "), F.year(base).cast("string")))
         ),
     )
-    iso = F.when(shown.rlike(r"^\d{4}-\d{2}-\d{2}"), F.upper(shown).try_cast("timestamp"))
 
     def read(text: Column, date: str) -> Column:
         """One parse: the end of the text tells its format."""
@@ -159,7 +156,15 @@ def _absolute(shown: Column, base: Column) -> Column:
     numeric = F.lit(None).cast("timestamp")
     for mark, date in NUMERIC_DATES.items():
         numeric = F.when(F.regexp_extract(plain, r"^\d{1,2}([/.\-])", 1) == mark, read(plain, date)).otherwise(numeric)
-    return F.coalesce(iso, dated, numeric)
+    return F.coalesce(dated, numeric)
+
+
+def _absolute(shown: Column, base: Column) -> Column:
+    """ISO times, and dates without their weekday and joining words, see ``_plain_date``."""
+    plain = F.regexp_replace(shown, rf"^(?:{_ANY_DAY})(?![\p{{L}}])[,.]?\s*", "")
+    plain = tx.collapse_spaces(F.regexp_replace(plain, r",|(?<!\S)(?:at|à|الساعة)(?!\S)", " "))
+    iso = F.when(shown.rlike(r"^\d{4}-\d{2}-\d{2}"), F.upper(shown).try_cast("timestamp"))
+    return F.coalesce(iso, tx.let(plain, lambda p: _plain_date(p, base)))
 
 
 def parse_timestamp(text: Column, captured_at: Column) -> Column:

@@ -126,9 +126,11 @@ def post_fields(blocks: DataFrame, html_col: str = "html", url_col: str | None =
 
     def fields(html: Column) -> Column:
         labels = F.transform(hx.link_labels(html), lambda text: times.parse_timestamp(text, F.col("captured_at")))
-        shown = hx.block_time_text(html)
-        posted_at = F.when(shown.isNotNull(), times.parse_timestamp(shown, F.col("captured_at"))).otherwise(
-            F.get(F.filter(labels, lambda t: t.isNotNull()), F.lit(0))
+        posted_at = tx.let(
+            hx.block_time_text(html),
+            lambda shown: F.when(shown.isNotNull(), times.parse_timestamp(shown, F.col("captured_at"))).otherwise(
+                F.get(F.filter(labels, lambda t: t.isNotNull()), F.lit(0))
+            ),
         )
         return F.struct(
             url.alias("url"),

@@ -17,14 +17,22 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return df if schema is None else schemas.evolve(df, schema)
 
 
-def spread(df: DataFrame) -> DataFrame:
+# Of tables whose rows are parsed as markup, which takes far longer than to read or move them, a task gets so much.
+HEAVY_TASK_BYTES = 4 * 1024 * 1024
+
+
+def spread(df: DataFrame, task_bytes: int | None = None) -> DataFrame:
     """Use all cores for a small input that would be read by one task.
 
-    Large inputs bring enough splits of their own and pass through without a shuffle.
+    Large inputs bring enough splits of their own and pass through without a shuffle; with ``task_bytes`` they are cut into
+    tasks of that size, so that no task grows with the input.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if size < SPREAD_BELOW_BYTES and cores > 1 else df
+    tasks = cores if size < SPREAD_BELOW_BYTES else 0
+    if task_bytes:
+        tasks = max(cores, -(-size // task_bytes))
+    return df.repartition(tasks) if tasks > 1 else df
 
 
 def read_post_files(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import html as hx
 from leadloom.functions import times, urls
 from leadloom.sources import pages as pg
+from leadloom.sources.tables import spread
 
 UTC = dt.timezone.utc
 
@@ -253,3 +254,44 @@ def test_very_many_comments(spark):
     assert tuple(rows) == (19_000, 19_000, "said 9999")
     posts = "".join(f"<article>post number {i % 15_000} of many</article>" for i in range(20_000))
     assert pg.posts_from_pages(page(spark, posts)).count() == 15_000
+
+
+def test_flat_messages_are_read_as_by_elements(spark):
+    """The short way for flat messages gives what matching the elements gives; odd markup goes the long way."""
+    tag = '<div data-ad-preview="message">'
+    blocks = [
+        f"<div>a{tag}x<div>one &amp; two</div>\n<DIV class='c'>three<br>four</DIV > tail</div><div>z</div></div>",
+        f"</div></div>{tag}alone <b>bold</b></div>", f"{tag}<div></div><div> </div>blank</div>", f"{tag}</div>after",
+        f"{tag}<div>deep<div>er</div></div><div>next</div></div>", f"{tag}never <div>closed</div>", f"{tag}<div/>a<div />b</div>",
+        '<div class="k" data-ad-preview="message" /><div dir="auto">self</div>', f"{tag}<li>x</li><article>y</article></div>",
+        f"<article title='{tag}'>hidden</article>{tag}<div>shown</div></div>", f"{tag}a < b <div>c</div></div>",
+        f"{tag}<!-- </div> --><div>note</div></div>", f"{tag}<divan>no</divan><div-x>p</div-x></div x>q</div>",
+        f"{tag}<script>if (a) {{ }}</script><div>s\x01t\x02u</div></div>", f"{tag}<div>{'long ' * 500}</div><div>b</div></div>",
+        f"{tag}first</div>{tag}second</div>", f"<div x>{tag}<div>in</div></div>", tag, "", None,
+    ]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blocks)], "i int, html string")
+    short = {r["i"]: r["m"] for r in df.select("i", hx.block_message(F.col("html")).alias("m")).collect()}
+    flat_chars, hx._FLAT_CHARS = hx._FLAT_CHARS, -1
+    try:
+        long = {r["i"]: r["m"] for r in df.select("i", hx.block_message(F.col("html")).alias("m")).collect()}
+    finally:
+        hx._FLAT_CHARS = flat_chars
+    assert short == long
+    assert short[0] == "one & two\nthree four" and short[1] == "alone bold" and short[4] == "deep er\nnext"
+
+
+def test_time_text_is_cleaned_once(spark):
+    df = spark.createDataFrame([("Monday, May 5, 2024 at 3:04 PM",)], "t string")
+    read = df.select(times.parse_timestamp(F.col("t"), F.lit("2024-06-01").cast("timestamp")).alias("at"))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    # The step that takes the joining words out stands once; before, at each of its uses.
+    assert plan.count(",|(?<!") == 1
+    assert read.first()["at"] == dt.datetime(2024, 5, 5, 15, 4)
+
+
+def test_heavy_rows_are_cut_by_size(spark, tmp_path):
+    spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("t")).coalesce(1).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert spread(rows, size // 40).rdd.getNumPartitions() >= 40
+    assert spread(rows, size // 40).count() == 20_000
