@@ -20,6 +20,7 @@ from leadloom.operators.posts import merge_posts, resolve_posts
 from leadloom.sources.pages import group_page, posts_from_pages
 from leadloom.sources.sinks import export_leads
 from leadloom.sources.store import Change, Tables
+from leadloom.sources.tables import PAGES_A_TASK, spread
 
 
 def fold_leads(change: Change, found: DataFrame) -> tuple[int, int]:
@@ -76,7 +77,9 @@ def ingest_pages(
         n_posts = seen["n"]
         if n_posts == 0:
             status = "empty_or_markup_changed"
-        inserted, duplicates = fold_leads(change, sightings(shaped, None, rules, batch_no=change.version, **options))
+        # Whole posts are judged, which takes far longer than to move them: no task grows with the input.
+        posts = spread(shaped, PAGES_A_TASK, n_posts)
+        inserted, duplicates = fold_leads(change, sightings(posts, None, rules, batch_no=change.version, **options))
         change.commit()
     except Exception as exc:
         tables.add_run(

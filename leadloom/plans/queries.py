@@ -28,7 +28,7 @@ from leadloom.sources import sinks
 from leadloom.sources.keywords import load_keyword_groups
 from leadloom.sources.rules import load_rules
 from leadloom.sources.store import Tables
-from leadloom.sources.tables import HEAVY_TASK_BYTES, read_table, spread
+from leadloom.sources.tables import BLOCKS_A_TASK, PAGES_A_TASK, read_table, spread
 from leadloom.streaming import merge as streaming
 
 # Rules that reach every branch on the invented prose of ``documents``: several languages, a
@@ -796,7 +796,7 @@ def _order_blocks(spark, sf) -> DataFrame:
         F.col("o_orderpriority"), F.lit('</div></div><abbr title="'), long_date,
         F.lit('">x</abbr><a href="https://www.facebook.com/groups/77/posts/'), key, F.lit('?ref=1">l</a></div>'),
     )
-    return spread(_orders(spark, sf), HEAVY_TASK_BYTES).select(
+    return spread(_orders(spark, sf), BLOCKS_A_TASK).select(
         "o_orderkey", html.alias("html"), newer.alias("newer"), F.lit("2024-01-01").cast("timestamp").alias("captured_at")
     )
 
@@ -981,7 +981,7 @@ def page_leads(spark, sf):
         "page_id", html.alias("html"), F.timestamp_seconds(F.lit(1_700_000_000) + page).alias("captured_at")
     )
     store = Tables(spark, shared_path(spark, "page-leads"), buckets=8)
-    jobs.ingest_pages(store, spread(pages), load_rules(), "77")
+    jobs.ingest_pages(store, spread(pages, PAGES_A_TASK), load_rules(), "77")
     return store.read("leads", schemas.LEADS).select(
         "phone_normalized", "phone_raw", "intent", "intent_confidence", "post_count", "first_seen", "last_seen"
     )

@@ -17,21 +17,22 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return df if schema is None else schemas.evolve(df, schema)
 
 
-# Of tables whose rows are parsed as markup, which takes far longer than to read or move them, a task gets so much.
-HEAVY_TASK_BYTES = 4 * 1024 * 1024
+# Rows that are parsed as markup take far longer than to read or move them; a task gets so many short blocks or whole pages.
+BLOCKS_A_TASK, PAGES_A_TASK = 100_000, 2_000
 
 
-def spread(df: DataFrame, task_bytes: int | None = None) -> DataFrame:
+def spread(df: DataFrame, task_rows: int | None = None, n_rows: int | None = None) -> DataFrame:
     """Use all cores for a small input that would be read by one task.
 
-    Large inputs bring enough splits of their own and pass through without a shuffle; with ``task_bytes`` they are cut into
-    tasks of that size, so that no task grows with the input.
+    Large inputs bring enough splits of their own and pass through without a shuffle; with ``task_rows`` they are cut into
+    tasks of that many rows, so that no task grows with the input. Bytes wouldn't do for that: rows that resemble each other
+    may take hardly any. ``n_rows``: their number, where it is known; else they are counted (of Parquet, by the footers).
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
     tasks = cores if size < SPREAD_BELOW_BYTES else 0
-    if task_bytes:
-        tasks = max(cores, -(-size // task_bytes))
+    if task_rows:
+        tasks = max(cores, -(-(df.count() if n_rows is None else n_rows) // task_rows))
     return df.repartition(tasks) if tasks > 1 else df
 
 
