@@ -177,6 +177,32 @@ def test_similar_texts_share_a_sketch():
         assert min(shared["text_keys"], shared["word_keys"]) >= 145, (n, changed, shared)
 
 
+def test_codes_leave_no_similar_pair_out(spark):
+    """Texts with a common passage in one bucket: only what the codes can't tell apart meets, all similar pairs among it."""
+    rng = random.Random(16)
+    passage = prose(rng, 60)
+    texts = [passage + [f"u{rng.randrange(10**6)}" for _ in range(30)] for _ in range(120)]
+    texts += [substituted(rng, w, n) for w, n in zip(texts[:12], (2, 5, 9, 12, 16, 17, 18, 18, 18, 18, 18, 18))]
+    # Repeated words, and a class of texts that differ among themselves.
+    texts += [["a", "b"] * 20 + prose(rng, 20), ["a", "b"] * 24 + prose(rng, 12), *[substituted(rng, texts[0], 3) for _ in range(5)]]
+    words, _, _, at = order_minhash.word_runs(pa.array([" ".join(w) for w in texts]))
+    own = [words[i:j] for i, j in zip(at[:-1], at[1:])]
+    codes = np.array([order_minhash.word_code(w) for w in own])
+    for i in range(len(own)):
+        for j in range(i):
+            common = sum((Counter(own[i].tolist()) & Counter(own[j].tolist())).values())
+            assert np.bitwise_count((codes[i] ^ codes[j]).view(np.uint64)).sum() <= len(own[i]) + len(own[j]) - 2 * common
+    finer = [(i, len(w), len(w), [7, 100 + i], c.tolist()) for i, (w, c) in enumerate(zip(own, codes))]
+    finer = spark.createDataFrame(finer, "doc long, n int, words int, keys array<long>, code array<long>")
+    classes = spark.createDataFrame([(i, 0) for i in range(len(texts) - 5, len(texts))], "node long, root long")
+    got = {(r["a"], r["b"]) for r in order_minhash._pairs_across_classes(finer, classes, 0.8).collect()}
+    root = lambda i: 0 if i >= len(texts) - 5 else i
+    similar = {(j, i) for i in range(len(own)) for j in range(i) if order_minhash.similarity(own[j], own[i]) >= 0.8 and root(i) != root(j)}
+    assert len(similar) >= 12 and similar <= got
+    # All 8,000 pairs before.
+    assert len(got) < 400
+
+
 # ---- passages ---------------------------------------------------------------------
 
 
