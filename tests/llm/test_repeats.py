@@ -301,6 +301,29 @@ def test_passages_whose_parts_stand_in_earlier_documents(spark):
     assert [(r["doc_id"], r["source_id"], r["first_word"], r["last_word"], r["source_first"]) for r in got] == [(4, 3, 10, 70, 50)]
 
 
+def test_passages_that_grow_beyond_what_is_cut_for_them(spark, monkeypatch):
+    """The texts that meet are cut to their chains; where a passage goes on, the rows are still those of whole texts."""
+    rng = random.Random(17)
+    passage = prose(rng, 300)
+    docs = [
+        (1, ["zéro"] * 3 + passage[:200]), (2, prose(rng, 900) + passage + prose(rng, 900)), (3, prose(rng, 30) + passage[:140] + ["odd"] * 5 + passage[140:]),
+        (4, prose(rng, 1_200) + ["é"] + passage[150:] + prose(rng, 700)), (5, passage[220:] + prose(rng, 400)),
+    ]
+    rows = frame(spark, [(i, ", ".join(w)) for i, w in docs])
+    moved = []
+    cut = substring_dedup._spans
+    spans = cut([[(900 << 32) + 3]], False, 2_100, 64)
+    assert spans == [(836, 969)] and cut([[3], [900], [40]], True, 920, 64) == [(0, 109), (836, 920)]
+    for around in (substring_dedup.SURROUNDINGS, 1, 5_000):
+        monkeypatch.setattr(substring_dedup, "SURROUNDINGS", around)
+        moved.append(sorted(substring_dedup.repeated_passages(rows).collect()))
+    assert moved[0] == moved[1] == moved[2]
+    texts = {i: ", ".join(w) for i, w in docs}
+    own = {i: texts[i].split(", ") for i in texts}
+    assert {(r["doc_id"], r["source_id"]) for r in moved[0]} >= {(2, 1), (3, 1), (3, 2), (4, 2), (5, 2)}
+    assert all(texts[r["doc_id"]][r["start"] : r["end"]] == ", ".join(own[r["doc_id"]][r["first_word"] : r["last_word"]]) for r in moved[0])
+
+
 # ---- suffix dedup -----------------------------------------------------------------
 
 
