@@ -324,6 +324,98 @@ def test_passages_that_grow_beyond_what_is_cut_for_them(spark, monkeypatch):
     assert all(texts[r["doc_id"]][r["start"] : r["end"]] == ", ".join(own[r["doc_id"]][r["first_word"] : r["last_word"]]) for r in moved[0])
 
 
+def test_many_ends_grow_like_each_alone():
+    rng = np.random.default_rng(18)
+    a = rng.integers(0, 40, 3_000).astype(np.uint64)
+    b = np.concatenate([a[:900], rng.integers(0, 40, 400).astype(np.uint64), a[1_300:]])
+    b[rng.choice(len(b), 60, replace=False)] = 99
+    # Ends on one diagonal, which grow far, and by chance.
+    i = rng.integers(0, len(a), 600)
+    j = np.where(np.arange(600) < 300, i, rng.integers(0, len(b), 600))
+    step = np.where(rng.random(600) < 0.5, -1, 1)
+    room = np.where(step > 0, np.minimum(len(a) - i, len(b) - j), np.minimum(i, j) + 1)
+    room = np.where(rng.random(600) < 0.3, rng.integers(0, room + 1), room)
+    got, ended = substring_dedup.grown(a, b, i, j, step, room, 4.0)
+    for e in range(600):
+        here, there = (w[p:] if step[e] > 0 else w[: p + 1][::-1] for w, p in ((a, i[e]), (b, j[e])))
+        found = []
+        assert got[e] == substring_dedup._grow(here[: room[e]], there[: room[e]], 4.0, found) and ended[e] == found[0], e
+    assert got.max() > 512 and 0 < ended.sum() < 600
+
+
+def test_chance_chains_are_not_aligned_one_by_one(monkeypatch):
+    """Two texts share a passage and a hundred short stretches, each elsewhere: only the passage is cut into blocks."""
+    rng = random.Random(19)
+    word = lambda: f"u{rng.randrange(10**9)}"
+    passage, short = [word() for _ in range(60)], [[word() for _ in range(12)] for _ in range(100)]
+    texts = []
+    for turned in (False, True):
+        words = [word() for _ in range(40)] + passage
+        for own in short[::-1] if turned else short:
+            words += own + [word() for _ in range(30)]
+        texts.append(words)
+    words, _, _, at = substring_dedup.word_runs(pa.array([" ".join(w) for w in texts]))
+    doc, place, value, _ = substring_dedup.seeds(words, at)
+    first = {v: p for d, p, v in zip(doc.tolist(), place.tolist(), value.tolist()) if d == 0}
+    links = [(p << 32) + first[v] for d, p, v in zip(doc.tolist(), place.tolist(), value.tolist()) if d == 1 and v in first]
+    chained = [[links[i] for i in c] for c in substring_dedup.chains([k >> 32 for k in links], [k & 0xFFFFFFFF for k in links])]
+    sides = []
+    for w in texts[::-1]:
+        sides += [pa.array([len(w)], pa.int32()), pa.array([[0]], pa.list_(pa.int32())), pa.array([[0]], pa.list_(pa.int64())), pa.array([[" ".join(w)]])]
+    columns = [pa.array([7]), pa.array([3]), pa.array([chained], pa.list_(pa.list_(pa.int64()))), *sides]
+    batch = pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+    cut, blocks = [], substring_dedup._blocks
+    monkeypatch.setattr(substring_dedup, "_blocks", lambda *a: cut.append(a) or blocks(*a))
+    [out] = substring_dedup._passage_rows(iter([batch]), 45, 0.8)
+    assert len(chained) > 50
+    assert [(r["doc_id"], r["source_id"], r["first_word"], r["last_word"], r["source_first"]) for r in out.to_pylist()] == [(7, 3, 40, 100, 40)]
+    # One for each chain before.
+    assert len(cut) == 1
+
+
+def test_pairs_of_near_seeds_equal_brute_force():
+    rng = random.Random(20)
+    docs = [sorted((rng.randrange(300), rng.randrange(12), rng.randrange(3), rng.randrange(200)) for _ in range(n)) for n in (0, 1, 30, 7, 0, 90)]
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("seed", pa.int64()), ("source_id", pa.int64()), ("at", pa.int32())]))
+    own = pa.array([[dict(zip(("place", "seed", "source_id", "at"), x)) for x in d] for d in docs], kind)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10, 16)), own], names=["doc_id", "own"])
+    got = defaultdict(list)
+    for out in substring_dedup._pair_rows(iter([batch.slice(1), batch.slice(0, 1)])):
+        for r in out.to_pylist():
+            places = [(x["p"], x["q"]) for x in r["places"]]
+            assert places == sorted(places) and (r["doc_id"], r["pair"]) not in got
+            got[r["doc_id"], r["pair"]] = places
+    want = defaultdict(list)
+    for d, seeds in enumerate(docs, 10):
+        for i, x in enumerate(seeds):
+            for y in seeds[i + 1 : i + 1 + substring_dedup.LATER]:
+                if x[2] != y[2] or abs(y[3] - x[3] - y[0] + x[0]) > substring_dedup.WINDOW:
+                    want[d, x[1], y[1]].append((x[0], y[0]))
+    assert sorted((d, sorted(p)) for (d, *_), p in want.items()) == sorted((d, p) for (d, _), p in got.items())
+    # One hash for each pair of seeds, in whatever document.
+    assert len({k for _, k in got}) == len({k[1:] for k in want})
+
+
+def test_very_common_seeds_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 10)
+    rows = spark.createDataFrame([(5 if i % 4 else i, i, i % 3, -i) for i in range(400)], "seed long, doc_id long, place int, around long")
+    counted = Counter(r["seed"] for r in rows.collect())
+    seeds = spark.createDataFrame([(s, n, 10 * s) for s, n in counted.items() if s % 8 != 4], "seed long, n long, more long")
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        met = substring_dedup._with_seeds(rows, seeds)
+        tasks = Counter(r[0] for r in met.where("seed = 5").select(F.spark_partition_id()).collect())
+        got, want = sorted(met.collect()), sorted(rows.join(seeds.drop("n"), "seed").collect())
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    assert met.columns == ["seed", "doc_id", "place", "around", "more"] and got == want
+    # All in one before.
+    assert sum(tasks.values()) == 300 and max(tasks.values()) < 200
+
+
 # ---- suffix dedup -----------------------------------------------------------------
 
 
