@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from leadloom.llm import order_minhash, substring_dedup, suffix_dedup
+from leadloom.llm import arrays, order_minhash, substring_dedup, suffix_dedup
 from leadloom.llm.components import connected_components
 
 WORDS = [a + b for a in "ba ce di fo gu ha je ki lo mu".split() for b in "nar pel rit son tus vak wem xio yul zad".split()]
@@ -416,6 +416,25 @@ def test_very_common_seeds_are_dealt_over_tasks(spark, monkeypatch):
     assert sum(tasks.values()) == 300 and max(tasks.values()) < 200
 
 
+def test_an_id_with_several_texts_keeps_the_passages_of_each(spark):
+    """What another text of the same id does not hold is left to the text that holds it; before, this failed."""
+    rng = random.Random(21)
+    passage = prose(rng, 80)
+    texts = [(1, prose(rng, 500) + passage), (1, []), (2, prose(rng, 450) + passage), (2, ["a"])]
+    got = substring_dedup.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in texts])).collect()
+    assert [(r["doc_id"], r["source_id"], r["first_word"], r["last_word"], r["source_first"]) for r in got] == [(2, 1, 450, 530, 500)]
+
+
+def test_words_are_hashed_as_runs_of_bytes():
+    rng = random.Random(22)
+    for n in (0, 1, 30):
+        texts = pa.array(["".join(rng.choices("aBé1. \n漢-", k=rng.randrange(40))) for _ in range(n)], pa.string())
+        hashes, starts, ends, at = substring_dedup.word_runs(texts)
+        data = np.frombuffer("".join(texts.to_pylist()).encode().lower(), np.uint8)
+        assert (hashes == arrays.hash_runs(data, starts, ends)).all() and len(hashes) == len(starts) == at[-1]
+        assert all((x == y).all() for x, y in zip(arrays.word_bounds(texts), (starts, ends, at)))
+
+
 # ---- suffix dedup -----------------------------------------------------------------
 
 
