@@ -416,7 +416,7 @@ def test_very_common_seeds_are_dealt_over_tasks(spark, monkeypatch):
     assert sum(tasks.values()) == 300 and max(tasks.values()) < 200
 
 
-def edited(rng, words, share, kinds):
+def with_edits(rng, words, share, kinds):
     """Words of which this share is substituted (s), deleted (d) or followed by another (i)."""
     out = []
     for w in words:
@@ -448,9 +448,9 @@ def test_passages_with_scattered_edits_are_found():
         found = covered = words = 0
         for _ in range(60):
             passage = [f"w{rng.randrange(3000)}" for _ in range(n)]
-            copy = edited(rng, passage, share, kinds)
+            copy = with_edits(rng, passage, share, kinds)
             while plain_common([*map(hash, passage)], [*map(hash, copy)], n) < 0.8 * max(n, len(copy)):
-                copy = edited(rng, passage, share, kinds)
+                copy = with_edits(rng, passage, share, kinds)
             other = lambda k: [f"w{rng.randrange(3000)}" for _ in range(k)]
             got = pair_passages([other(120) + passage + other(90), other(70) + copy + other(150)])
             own = {i for r in got for i in range(r["first_word"], r["last_word"])}
@@ -465,7 +465,7 @@ def test_words_between_diagonals_are_split_where_they_differ():
     rng = random.Random(24)
     left = [f"w{i}" for i in range(60)]
     for _ in range(50):
-        right = edited(rng, left, 0.2, "sid")
+        right = with_edits(rng, left, 0.2, "sid")
         out = substring_dedup._between(left, right, 100, 200, 4.0)
         assert [o[0] for o in out] == [100, *[o[1] for o in out[:-1]]] and [o[2] for o in out] == [200, *[o[3] for o in out[:-1]]]
         assert (out[-1][1], out[-1][3]) == (160, 200 + len(right))
